@@ -1,0 +1,265 @@
+"""Operator inputs derived from the driver tables.
+
+The tables hold no notebooks, so these views make some: rows become cells, runs, file lists and collection rows, whole
+texts become documents. Formulas are SQL that Spark and DuckDB read alike. Operators do not know about this module.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# ---- plain SQL views, the same in both engines ----
+
+# conversation = notebook, turn = cell
+FX_CELLS = """
+select conv_id as nb_id, turn as cell_idx, cell_type,
+  case when cell_type = 'code' and (conv_id * 5 + turn) % 4 <> 0
+       then (conv_id * 31 + turn * 17) % 23 + 1 end as execution_count,
+  case when cell_type = 'markdown' then
+         case (conv_id + turn) % 6 when 0 then 'Drafted with ChatGPT: '
+           when 1 then 'as an ai language model, ' when 2 then 'precursors: ' else '' end || text
+       when cell_type = 'code' then
+         case (conv_id * 3 + turn) % 7 when 0 then 'import numpy as np, os.path'
+           when 1 then '%matplotlib inline' when 2 then '/data/raw.csv'
+           when 3 then 'p = "C:' || chr(92) || 'tmp"' when 4 then 'from .util import f'
+           when 5 then '```python' else 'from unittest import mock' end
+       else text end as source,
+  case when cell_type = 'code' then
+         case (conv_id + turn * 2) % 6 when 0 then 'text/plain' when 1 then 'image/png'
+           when 2 then 'text/html' when 3 then 'application/vnd.plotly.v1+json'
+           when 4 then 'text/latex' end end as output_mime,
+  case when cell_type = 'code' and (conv_id + turn) % 9 = 0 then 'error'
+       when cell_type = 'code' then 'display_data' end as output_type
+from (select conv_id, turn, text,
+        case when role = 'assistant' or (role = 'user' and (conv_id + turn) % 3 = 0) then 'code'
+             when role = 'user' then 'markdown' else 'raw' end as cell_type
+      from conversations) s
+"""
+
+# event = run
+FX_RUNS = """
+select event_id as row_id,
+  'org' || cast(user_id % 10 as varchar(20)) || '/repo' || cast(user_id as varchar(20)) as repo_full_name,
+  'nb/' || cast(event_id % 37 as varchar(20)) || '.ipynb' as file_path,
+  case when event_type in ('error', 'signup') then 'False' else 'True' end as exec_ok,
+  case when event_type = 'error' then case event_id % 4 when 0 then 'ModuleNotFoundError'
+         when 1 then 'TimeoutExpired' when 2 then 'FileNotFoundError' else '' end
+       when event_type = 'signup' then 'KeyError' else '' end as error,
+  case when event_type = 'error' and event_id % 4 = 0
+         then 'No module named ''mod' || cast(user_id % 5 as varchar(20)) || ''''
+       when event_type = 'signup' then 'HTTP 401' else '' end as exc_msg,
+  case when event_id % 50 = 0 then '' else cast(value as varchar(40)) end as elapsed_s,
+  case when event_id % 3 = 0 then 'False' else 'True' end as original_found,
+  case when event_id % 3 = 0 then ''
+       when event_type in ('error', 'signup') or event_id % 5 = 0 then 'False' else 'True' end as outputs_equal,
+  case when event_id % 3 = 0 then '' else 'h' || cast(user_id as varchar(20)) end as outputs_hash_orig,
+  case when event_type in ('error', 'signup') then ''
+       when event_id % 5 = 0 then 'x' || cast(user_id as varchar(20))
+       else 'h' || cast(user_id as varchar(20)) end as outputs_hash_exec,
+  case when event_id % 3 = 0 then '' else cast(user_id % 9 as varchar(20)) end as n_outputs_orig,
+  case when event_type in ('error', 'signup') then '0' else cast(user_id % 9 as varchar(20)) end as n_outputs_exec
+from events
+"""
+
+# part = tree entry
+FX_TREE = """
+select 'org' || cast(p_partkey % 20 as varchar(20)) || '/repo' || cast(p_partkey % 200 as varchar(20)) as repo_full_name,
+  case when p_partkey % 11 = 0 then 'tree' else 'blob' end as type,
+  'd' || cast(p_size as varchar(20)) || '/' || case p_partkey % 9
+    when 0 then 'dev-Requirements.txt' when 1 then 'setup.py' when 2 then 'Pipfile'
+    when 3 then 'a b.IPYNB' when 4 then 'x.ipynb' when 5 then 'Pipfile.lock'
+    when 6 then 'README.md' when 7 then 'setup.cfg' else 'y.ipynb' end as path
+from part
+"""
+
+# order = collection row, all text as in a CSV
+FX_COLLECTION = """
+select o_orderkey as row_id,
+  'org' || cast(o_custkey % 10 as varchar(20)) || '/repo' || cast(o_custkey as varchar(20)) as repo_full_name,
+  cast(o_custkey as varchar(20)) as repo_id,
+  case when o_orderkey % 6 = 0 then '' else 'dev' end as repo_default_branch,
+  cast(date '2024-12-25' + cast(o_orderkey % 290 as integer) as varchar(20)) || 'T12:00:00Z' as repo_created_at,
+  cast(o_orderkey % 12 as varchar(20)) as repo_stars,
+  'nb/' || cast(o_orderkey % 37 as varchar(20)) || '.ipynb' as file_path,
+  case when o_orderkey % 8 = 0 then '' else 'deadbeef' || cast(o_orderkey as varchar(20)) end as file_sha,
+  cast(o_orderkey % 9000 as varchar(20)) as file_size,
+  case when o_orderkey % 17 = 0 then 'False' when o_orderkey % 19 = 0 then 'true' else 'True' end as nb_ok_parse,
+  case o_orderkey % 4 when 0 then 'python3' when 1 then ' ir ' when 2 then '' else 'conda-env' end as kernel_name,
+  case o_orderkey % 5 when 0 then 'R' when 1 then 'Python' when 2 then 'ipython' when 3 then '' else 'python' end
+    as language,
+  case when o_orderkey % 17 = 0 then '' when o_orderkey % 101 = 0 then 'n/a'
+       else cast(o_orderkey % 41 as varchar(20)) end as n_code,
+  case when o_orderkey % 17 = 0 then '' else cast(o_orderkey % 23 as varchar(20)) || '.0' end as n_markdown,
+  case when o_orderkey % 17 = 0 then ''
+       else cast(cast(o_orderkey % 801 as double) / 8 as varchar(20)) end as percent_code_executed,
+  case when o_orderkey % 3 = 0 then 'True' else 'False' end as has_unambiguous_order,
+  case when o_orderkey % 7 < 3 then 'True' else 'False' end as out_of_order,
+  case when o_orderkey % 13 = 0 then ''
+       when o_orderkey % 11 = 0 then '[["pandas", 2], "zz", ["numpy", 5]]'
+       when o_orderkey % 7 = 0 then 'nope'
+       when o_orderkey % 5 = 0 then '{}'
+       else '[["numpy", ' || cast(o_orderkey % 4 + 1 as varchar(20)) || '], ["mod'
+            || cast(o_orderkey % 30 as varchar(20)) || '", 1]]' end as top_imports_json,
+  case o_orderkey % 3 when 0 then 'yes' when 1 then 'False' else '' end as deps_any,
+  case when o_orderkey % 29 = 0 then 'True' else 'False' end as has_abs_data_path
+from orders
+"""
+
+VIEWS = {"fx_cells": FX_CELLS, "fx_runs": FX_RUNS, "fx_tree": FX_TREE, "fx_collection": FX_COLLECTION}
+
+# ---- document = notebook, line = cell ----
+# Formulas over {nb} (document id), {i} (line number from 0) and {line}; they must read alike in both engines.
+
+NL = "chr(10)"
+CELL_TYPE = "case when ({nb} * 7 + {i} * 3) % 10 < 6 then 'code' when ({nb} * 7 + {i} * 3) % 10 < 9 then 'markdown' else 'raw' end"
+SOURCE = (
+    "case when ({nb} * 7 + {i} * 3) % 10 < 6 then case ({nb} * 3 + {i}) % 12"
+    " when 0 then 'import numpy as np, os.path'"
+    f" when 1 then '%matplotlib inline' || {NL} || 'import sys'"
+    " when 2 then '/data/raw.csv'"
+    " when 3 then 'p = \"C:' || chr(92) || 'tmp\"'"
+    " when 4 then 'from .util import f'"
+    " when 5 then '```python'"
+    " when 6 then 'from unittest import mock'"
+    f" when 7 then 'def f(x):' || {NL} || '    return x'"
+    f" when 8 then 'class A:' || {NL} || '    import pandas'"
+    f" when 9 then 'for i in range(3):' || {NL} || '    import my_test.x'"
+    f" when 10 then 'async def g():' || {NL} || '    pass'"
+    " else '# ' || {line} end"
+    " when ({nb} * 7 + {i} * 3) % 10 < 9 then case ({nb} + {i}) % 6 when 0 then 'Drafted with ChatGPT: '"
+    " when 1 then 'as an ai language model, ' when 2 then 'precursors: ' else '' end || {line}"
+    " else {line} end"
+)
+IS_CODE = "({nb} * 7 + {i} * 3) % 10 < 6"
+STAR = "({nb} + {i}) % 40 = 7"
+COUNT = "case when ({nb} * 5 + {i}) % 4 <> 0 and not (({nb} + {i}) % 40 = 7) then ({nb} * 31 + {i} * 17) % 97 + 1 end"
+OUTPUT = "({nb} + {i} * 2) % 8"
+LANGUAGE = "case {nb} % 7 when 0 then 'R' when 1 then 'IPython' else 'python' end"
+UNDECODED = "({nb} % 23 = 5 or {nb} % 29 = 3)"
+REPO = "'org' || cast({nb} % 20 as varchar(20)) || '/repo' || cast({nb} % 200 as varchar(20))"
+
+_SPARK_NAMES = {"nb": "doc_id", "i": "i", "line": "line"}
+
+
+def _spark(formula: str) -> str:
+    return formula.format(**_SPARK_NAMES)
+
+
+# JSON text of one document; every third cell stores its source as a list, some counts are the text "*".
+_OUTPUT_LIST = f"""
+case {_spark(OUTPUT)}
+  when 0 then array(named_struct('output_type', 'display_data', 'data', map('text/plain', line)))
+  when 1 then array(named_struct('output_type', 'display_data', 'data', map('text/plain', 'fig', 'image/png', base64(cast(line as binary)))))
+  when 2 then array(named_struct('output_type', 'execute_result', 'data', map('text/html', concat('<b>', line, '</b>'))))
+  when 3 then array(named_struct('output_type', 'display_data', 'data', map('application/vnd.plotly.v1+json', '{{}}')))
+  when 4 then array(named_struct('output_type', 'display_data', 'data', map('text/latex', '$x$')))
+  when 5 then array(named_struct('output_type', 'error', 'data', cast(null as map<string,string>)))
+  when 6 then array(named_struct('output_type', 'stream', 'data', cast(null as map<string,string>)))
+  else array() end
+"""
+_CELL = f"""
+named_struct(
+  'cell_type', {_spark(CELL_TYPE)},
+  'source', case when i % 3 = 0
+    then to_variant_object(array(left({_spark(SOURCE)}, 5), substr({_spark(SOURCE)}, 6)))
+    else cast({_spark(SOURCE)} as variant) end,
+  'execution_count', case when not ({_spark(IS_CODE)}) then null when {_spark(STAR)} then cast('*' as variant)
+    else cast({_spark(COUNT)} as variant) end,
+  'outputs', case when {_spark(IS_CODE)} then {_OUTPUT_LIST} end)
+"""
+_DOCUMENT = f"""
+to_json(named_struct(
+  'nbformat', 4,
+  'cells', transform(split(text, '\\n'), (line, i) -> {_CELL}),
+  'metadata', named_struct('kernelspec', named_struct('name', 'python3'),
+    'language_info', named_struct('name', {LANGUAGE.format(nb='doc_id')}, 'version', concat('3.', doc_id % 4 + 8)))))
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the plain SQL views, over the tables of ``sf_dir``."""
+    source = {"fx_cells": "conversations", "fx_runs": "events", "fx_tree": "part", "fx_collection": "orders"}[name]
+    return spark.sql(VIEWS[name].replace(f"from {source}", f"from parquet.`{sf_dir}/{source}.parquet`"))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_cells`` as a cell table."""
+    none = F.array().cast("array<string>")
+    kind, mime = F.col("output_type"), F.col("output_mime")
+    has_output = mime.isNotNull() | (kind == "error")
+    return view(spark, sf_dir, "fx_cells").select(
+        "nb_id", "cell_idx", "cell_type", "source", "execution_count",
+        F.col("execution_count").isNotNull().alias("execution_count_set"),
+        F.when(has_output, F.lit(1)).otherwise(F.lit(0)).alias("n_outputs"),
+        F.when(has_output, F.array(kind)).otherwise(none).alias("output_types"),
+        F.when(mime.isNotNull(), F.array(mime)).otherwise(none).alias("mime_types"),
+    )
+
+
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(nb_id, body)``: each document's text as notebook JSON, one cell per line."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nb_id"), F.expr(_DOCUMENT).alias("body"))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched files: most in line as base64, some to be taken from the download body, some unreadable."""
+    nb = F.col("nb_id")
+    broken = F.when(nb % 23 == 5, F.lit("not json")).when(nb % 29 == 3, F.lit("{}"))
+    body = F.coalesce(broken, F.col("body"))
+    separate = nb % 10 == 4
+    return document_texts(spark, sf_dir).select(
+        "nb_id",
+        F.expr(REPO.format(nb="nb_id")).alias("repo_full_name"),
+        F.expr("'nb/' || cast(nb_id as string) || '.ipynb'").alias("file_path"),
+        F.sha1(nb.cast("string").cast("binary")).alias("sha"),
+        (nb * 10).alias("size"),
+        F.expr("'https://example.org/' || cast(nb_id as string)").alias("html_url"),
+        F.when(separate, F.lit("none")).otherwise(F.lit("base64")).alias("encoding"),
+        F.when(~separate, F.base64(body.cast("binary"))).alias("content"),
+        F.when(separate, body).alias("download_body"),
+    )
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of ``contents``, derived from ``part`` so that some notebooks have none and some have no files."""
+    keys = table(spark, sf_dir, "part").select((F.col("p_partkey") % 190).alias("k")).distinct()
+    return keys.select(
+        F.expr("'org' || cast(k % 20 as string) || '/repo' || cast(k as string)").alias("full_name"),
+        F.col("k").alias("id"),
+        F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.lit("dev")).alias("default_branch"),
+        F.expr("timestamp '2025-01-01 00:00:00' + make_dt_interval(cast(k as int))").alias("created_at"),
+        (F.col("k") % 7).alias("stargazers_count"),
+    )
+
+
+# ---- the same documents as DuckDB CTEs ----
+
+_DUCK_NAMES = {"nb": "nb_id", "i": "cell_idx", "line": "line"}
+
+
+def _duck(formula: str) -> str:
+    return formula.format(**_DUCK_NAMES)
+
+
+DUCK_DOC_CELLS = f"""
+doc_lines as (
+  select doc_id as nb_id, cast(unnest(range(len(string_split(text, chr(10))))) as integer) as cell_idx,
+    unnest(string_split(text, chr(10))) as line
+  from documents),
+doc_cells as (
+  select nb_id, cell_idx, line, {_duck(CELL_TYPE)} as cell_type, {_duck(SOURCE)} as source,
+    case when {_duck(IS_CODE)} then {_duck(COUNT)} end as execution_count,
+    ({_duck(IS_CODE)}) and (({_duck(COUNT)}) is not null or {_duck(STAR)}) as execution_count_set,
+    case when {_duck(IS_CODE)} then {_duck(OUTPUT)} else 7 end as out_kind,
+    case when {_duck(IS_CODE)} then (nb_id * 3 + cell_idx) % 12 end as code_kind
+  from doc_lines)
+"""
+
+
+def duck_views(*names: str) -> str:
+    """Leading CTEs for an oracle query."""
+    return ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
