@@ -41,8 +41,12 @@ def _typed(name: str, dtype: T.DataType) -> Column:
 
 
 def type_columns(text: DataFrame, schema: T.StructType) -> DataFrame:
-    """Typed columns; what cannot be read as its type becomes NULL. Other columns are kept."""
-    typed = [_typed(f.name, f.dataType).alias(f.name) for f in schema.fields]
+    """Typed columns of ``schema``; what is absent or cannot be read as its type is NULL. Other columns are kept."""
+    present = set(text.columns)
+    typed = [
+        (_typed(f.name, f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ]
     others = [c for c in text.columns if c not in schema.fieldNames()]
     return text.select(*typed, *others)
 

@@ -105,7 +105,44 @@ select o_orderkey as row_id,
 from orders
 """
 
-VIEWS = {"fx_cells": FX_CELLS, "fx_runs": FX_RUNS, "fx_tree": FX_TREE, "fx_collection": FX_COLLECTION}
+# event = captured output of a run
+FX_LOGS = """
+select event_id as log_id,
+  'org' || cast(user_id % 10 as varchar(20)) || '/repo' || cast(user_id as varchar(20)) as repo_full_name,
+  'nb/' || cast(event_id % 37 as varchar(20)) || '.ipynb' as file_path,
+  case when event_type in ('error', 'signup') or event_id % 31 = 0 then 1 else 0 end as returncode,
+  event_id % 97 = 0 as timed_out,
+  case when event_id % 89 = 0 and event_id % 97 <> 0 then 'OSError' end as launch_error,
+  'start' || chr(10) || case
+    when event_id % 41 = 0 then 'NBEXEC_RESULT:{broken' || chr(10) || 'NBEXEC_RESULT:{"ok": true}'
+    when event_id % 43 = 0 then 'no NBEXEC_RESULT:{"ok": true}'
+    when event_type = 'error' then 'NBEXEC_RESULT: {"ok": false, "error": "ModuleNotFoundError", "missing_module": "mod'
+      || cast(user_id % 5 as varchar(20)) || '"}'
+    when event_type = 'signup' then 'NBEXEC_RESULT:{"ok": false, "error": "", "auth_error": true}'
+    else 'NBEXEC_RESULT:{"ok": true, "outputs_hash": "h' || cast(user_id as varchar(20)) || '", "n_outputs": '
+      || cast(user_id % 9 as varchar(20)) || '}' end || chr(10) || 'NBEXEC_RESULT:{"ok": false}' as stdout,
+  'stderr ' || repeat('x', case when event_id % 50 = 0 then 2500 else 3 end) as stderr,
+  cast(event_id % 100000 as double) / 16 as elapsed_s
+from events
+"""
+
+# part = archived original, light form
+FX_ORIGINALS = """
+select 'org' || cast(p_partkey % 10 as varchar(20)) as owner, 'repo' || cast(p_partkey % 100 as varchar(20)) as repo,
+  'ab' || cast(p_partkey % 97 as varchar(20)) || case p_partkey % 5 when 0 then '_x_' when 1 then '_y_z_' else '_' end
+    || cast(p_partkey % 37 as varchar(20)) || '.ipynb' as archive_name,
+  'h' || cast(p_partkey % 50 as varchar(20)) as outputs_hash_orig
+from part
+"""
+
+VIEWS = {
+    "fx_cells": FX_CELLS, "fx_runs": FX_RUNS, "fx_tree": FX_TREE, "fx_collection": FX_COLLECTION, "fx_logs": FX_LOGS,
+    "fx_originals": FX_ORIGINALS,
+}
+_BASE = {
+    "fx_cells": "conversations", "fx_runs": "events", "fx_tree": "part", "fx_collection": "orders", "fx_logs": "events",
+    "fx_originals": "part",
+}
 
 # ---- document = notebook, line = cell ----
 # Formulas over {nb} (document id), {i} (line number from 0) and {line}; they must read alike in both engines.
@@ -146,15 +183,24 @@ def _spark(formula: str) -> str:
 
 
 # JSON text of one document; every third cell stores its source as a list, some counts are the text "*".
+def _output(kind: str, data: str = "null", name: str = "null", text: str = "null", ename: str = "null") -> str:
+    traceback = "array('a', line)" if ename != "null" else "null"
+    return (
+        f"array(named_struct('output_type', '{kind}', 'data', cast({data} as map<string,string>), 'name', cast({name} as string),"
+        f" 'text', cast({text} as string), 'ename', cast({ename} as string), 'evalue', cast({text} as string),"
+        f" 'traceback', cast({traceback} as array<string>), 'metadata', line))"
+    )
+
+
 _OUTPUT_LIST = f"""
 case {_spark(OUTPUT)}
-  when 0 then array(named_struct('output_type', 'display_data', 'data', map('text/plain', line)))
-  when 1 then array(named_struct('output_type', 'display_data', 'data', map('text/plain', 'fig', 'image/png', base64(cast(line as binary)))))
-  when 2 then array(named_struct('output_type', 'execute_result', 'data', map('text/html', concat('<b>', line, '</b>'))))
-  when 3 then array(named_struct('output_type', 'display_data', 'data', map('application/vnd.plotly.v1+json', '{{}}')))
-  when 4 then array(named_struct('output_type', 'display_data', 'data', map('text/latex', '$x$')))
-  when 5 then array(named_struct('output_type', 'error', 'data', cast(null as map<string,string>)))
-  when 6 then array(named_struct('output_type', 'stream', 'data', cast(null as map<string,string>)))
+  when 0 then {_output('display_data', "map('text/plain', line)")}
+  when 1 then {_output('display_data', "map('text/plain', 'fig', 'image/png', md5(line))")}
+  when 2 then {_output('execute_result', "map('text/html', concat('<b>', line, '</b>'))")}
+  when 3 then {_output('display_data', "map('application/vnd.plotly.v1+json', '{}')")}
+  when 4 then {_output('display_data', "map('text/latex', '$x$')")}
+  when 5 then {_output('error', ename="'ValueError'")}
+  when 6 then {_output('stream', name="'stdout'", text='line')}
   else array() end
 """
 _CELL = f"""
@@ -182,7 +228,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the plain SQL views, over the tables of ``sf_dir``."""
-    source = {"fx_cells": "conversations", "fx_runs": "events", "fx_tree": "part", "fx_collection": "orders"}[name]
+    source = _BASE[name]
     return spark.sql(VIEWS[name].replace(f"from {source}", f"from parquet.`{sf_dir}/{source}.parquet`"))
 
 
@@ -245,18 +291,100 @@ def _duck(formula: str) -> str:
     return formula.format(**_DUCK_NAMES)
 
 
+def _mime_json(kind: str, pairs: list[tuple[str, str]]) -> str:
+    entries = " || ',' || ".join(
+        f"""'{{"mime":"{mime}","value":' || cast(to_json('text:' || {value}) as varchar) || '}}'""" for mime, value in pairs
+    )
+    return f"""'{{"output_type":"{kind}","data":[' || {entries} || ']}}'"""
+
+
+_CANON = f"""
+case out_kind
+  when 0 then {_mime_json('display_data', [('text/plain', 'line')])}
+  when 1 then {_mime_json('display_data', [('image/png', 'md5(line)'), ('text/plain', "'fig'")])}
+  when 2 then {_mime_json('execute_result', [('text/html', "'<b>' || line || '</b>'")])}
+  when 3 then {_mime_json('display_data', [('application/vnd.plotly.v1+json', "'{}'")])}
+  when 4 then {_mime_json('display_data', [('text/latex', "'$x$'")])}
+  when 5 then '{{"output_type":"error","ename":"ValueError","traceback":' || cast(to_json('a' || chr(10) || line) as varchar) || '}}'
+  when 6 then '{{"output_type":"stream","name":"stdout","text":' || cast(to_json(line) as varchar) || '}}' end
+"""
+
 DUCK_DOC_CELLS = f"""
 doc_lines as (
   select doc_id as nb_id, cast(unnest(range(len(string_split(text, chr(10))))) as integer) as cell_idx,
     unnest(string_split(text, chr(10))) as line
   from documents),
-doc_cells as (
+doc_cells_all as (
   select nb_id, cell_idx, line, {_duck(CELL_TYPE)} as cell_type, {_duck(SOURCE)} as source,
     case when {_duck(IS_CODE)} then {_duck(COUNT)} end as execution_count,
     ({_duck(IS_CODE)}) and (({_duck(COUNT)}) is not null or {_duck(STAR)}) as execution_count_set,
     case when {_duck(IS_CODE)} then {_duck(OUTPUT)} else 7 end as out_kind,
     case when {_duck(IS_CODE)} then (nb_id * 3 + cell_idx) % 12 end as code_kind
-  from doc_lines)
+  from doc_lines),
+doc_cells as (
+  select *, {_CANON} as canon from doc_cells_all where not {UNDECODED.format(nb="nb_id")}),
+mimes(out_kind, mime) as (values
+  (0, 'text/plain'), (1, 'image/png'), (1, 'text/plain'), (2, 'text/html'), (3, 'application/vnd.plotly.v1+json'),
+  (4, 'text/latex')),
+code_imports(code_kind, pos, module) as (values
+  (0, 0, 'numpy'), (0, 1, 'os'), (4, 0, 'util'), (6, 0, 'unittest'), (8, 0, 'pandas'), (9, 0, 'my_test')),
+imports as (
+  select nb_id, cell_idx, pos, module from doc_cells join code_imports using (code_kind)),
+ranked_imports as (
+  select nb_id, module, n, row_number() over (partition by nb_id order by n desc, first_cell, first_pos) as rank
+  from (select nb_id, module, count(*) as n, min(cell_idx) as first_cell, min(cell_idx * 10 + pos) as first_pos
+        from imports group by nb_id, module) c),
+nb as (select distinct nb_id from doc_cells),
+out_of_order as (
+  select nb_id, bool_or(execution_count < before) as out_of_order
+  from (select nb_id, execution_count, lag(execution_count) over (partition by nb_id order by cell_idx) as before
+        from doc_cells where execution_count is not null) s group by nb_id),
+gaps as (
+  select nb_id, counts[len(counts)] - counts[1] + 1 - len(counts) as n_skips_total,
+    case when len(counts) > 1 then counts[len(counts)] - counts[2] + 2 - len(counts) else 0 end as n_skips_middle
+  from (select nb_id, list_sort(list(distinct execution_count)) as counts from doc_cells
+        where execution_count is not null group by nb_id) s),
+import_lists as (
+  select nb_id, sum(n) as imports_total,
+    '[' || string_agg('["' || module || '", ' || cast(n as varchar) || ']', ', ' order by rank) || ']' as top_imports_json
+  from ranked_imports group by nb_id),
+doc_metrics as (
+  select c.nb_id, count(*) as n_cells_total, count(*) filter (cell_type = 'code') as n_code,
+    count(*) filter (cell_type = 'markdown') as n_markdown, count(*) filter (cell_type = 'raw') as n_raw,
+    count(execution_count) as n_code_executed,
+    case when count(*) filter (cell_type = 'code') > 0
+      then cast(count(execution_count) as double) / count(*) filter (cell_type = 'code') * 100 else 0 end
+      as percent_code_executed,
+    count(execution_count) > 0 and count(execution_count) = count(*) filter (execution_count_set) as has_unambiguous_order,
+    coalesce(max(execution_count), 0) as max_execution_count,
+    count(*) filter (cell_type = 'code' and out_kind < 7) as n_cells_with_output,
+    coalesce(bool_or(out_kind in (0, 1, 2, 4)), false) as outputs_text,
+    coalesce(bool_or(out_kind = 1), false) as outputs_image,
+    coalesce(bool_or(out_kind = 2), false) as outputs_html_js,
+    coalesce(bool_or(out_kind = 5), false) as outputs_error,
+    coalesce(bool_or(out_kind = 4), false) as outputs_formatted,
+    coalesce(bool_or(out_kind = 3), false) as outputs_ext,
+    coalesce(bool_or(code_kind = 4), false) as has_local_imports,
+    coalesce(bool_or(code_kind = 7), false) as defines_function,
+    coalesce(bool_or(code_kind = 8), false) as defines_class,
+    coalesce(bool_or(code_kind = 9), false) as has_control_flow,
+    coalesce(bool_or(code_kind in (6, 9)), false) as uses_testing_module,
+    bool_or(cell_type = 'markdown' and regexp_matches(source,
+      '(?i)\\b(ChatGPT|Copilot|Claude|CodeWhisperer|Cursor)\\b|As an AI language model')) as ai_marker_found,
+    bool_or(cell_type = 'code' and contains(source, '```')) as triple_backticks_in_code,
+    bool_or(cell_type = 'code' and regexp_matches(source, '(^/[^ \\n\\r]+)|([A-Za-z]:\\\\[^ \\n\\r]+)')) as has_abs_data_path
+  from doc_cells c group by c.nb_id),
+doc_all as (
+  select m.*, coalesce(o.out_of_order, false) as out_of_order, coalesce(g.n_skips_total, 0) as n_skips_total,
+    coalesce(g.n_skips_middle, 0) as n_skips_middle, cast(coalesce(i.imports_total, 0) as bigint) as imports_total,
+    coalesce(i.top_imports_json, '[]') as top_imports_json,
+    {LANGUAGE.format(nb="m.nb_id")} as language, 'python3' as kernel_name,
+    '3.' || cast(m.nb_id % 4 + 8 as varchar) as python_version_declared
+  from doc_metrics m left join out_of_order o using (nb_id) left join gaps g using (nb_id)
+    left join import_lists i using (nb_id)),
+fingerprints as (
+  select nb_id, sha256('[' || coalesce(string_agg(canon, ',' order by cell_idx), '') || ']') as outputs_hash,
+    count(canon) as n_outputs from doc_cells group by nb_id)
 """
 
 
