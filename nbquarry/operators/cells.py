@@ -152,7 +152,7 @@ def execution_gaps(cells: DataFrame) -> DataFrame:
     minimum equals the same on the counts above the minimum. Counts are made distinct first; the second smallest comes
     from a rank limit that Spark applies before its shuffle.
     """
-    ids = cells.groupBy(KEY).agg()
+    ids = cells.select(KEY).distinct()
     counts = cells.where(_executed()).select(KEY, F.col("execution_count").alias("e")).distinct()
     span = counts.groupBy(KEY).agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.count("e").alias("n"))
     lowest = Window.partitionBy(KEY).orderBy("e")

@@ -79,9 +79,10 @@ def fingerprint(outputs: Column) -> Column:
 
 
 def outputs_hash(notebooks: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Fingerprint per notebook. Runs inside each row: no shuffle."""
+    """Fingerprint per notebook, NULL where ``doc`` is. Runs inside each row: no shuffle."""
     keep = keep or ["nb_id"]
-    found = notebooks.select(*keep, D.let(code_outputs(F.col("doc")), fingerprint).alias("f"))
+    doc = F.col("doc")
+    found = notebooks.select(*keep, F.when(doc.isNotNull(), D.let(code_outputs(doc), fingerprint)).alias("f"))
     return found.select(*keep, "f.outputs_hash", "f.n_outputs")
 
 

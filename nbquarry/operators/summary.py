@@ -6,56 +6,64 @@ conversions. ``row_id`` is any column that orders rows as they came; ties in top
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nbquarry import constants as K
 from nbquarry.functions.coerce import blank_to_null, is_filled, pct, to_bool, to_float, to_int
 from nbquarry.functions.names import notebook_label
-from nbquarry.operators.filters import language_starts_with_python
+from nbquarry.operators.filters import has_output_columns, language_starts_with_python
 from nbquarry.operators.profile import median_and_mean
 
 
-def _rows(one_row: DataFrame, entries: list[tuple[str, Column, Column]]) -> DataFrame:
-    """Turn one aggregate row into ``(metric, n, pct)`` rows."""
-    structs = [F.struct(F.lit(m).alias("metric"), n.alias("n"), p.alias("pct")) for m, n, p in entries]
-    return one_row.select(F.inline(F.array(*structs)))
-
-
 def _flag(name: str) -> Column:
     return to_bool(F.col(name))
 
 
+# A rate is (name, column with the part, column with the whole) over a one-row table of counts.
+Rate = tuple[str, str, str]
+
+
+def rates(counts: DataFrame, entries: list[Rate]) -> DataFrame:
+    """``(metric, n, of, pct)``, one row per rate."""
+    def entry(metric: str, part: str, whole: str) -> Column:
+        n, of = F.col(part), F.col(whole)
+        return F.struct(F.lit(metric).alias("metric"), n.alias("n"), of.alias("of"), pct(n, of).alias("pct"))
+
+    return counts.select(F.inline(F.array(*[entry(*e) for e in entries])))
+
+
 def _stack(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """``(metric, value)`` rows, one per entry and input row; NULLs are dropped right away."""
     entries = [F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()]
     return df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull())
 
 
-def _top(df: DataFrame, key: Column, name: str, row_id: str, limit: int) -> DataFrame:
-    counts = df.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first_row"))
-    return counts.orderBy(F.desc("n"), "first_row", name).limit(limit)
+# ---- collection ----
 
+def collection_counts(collection: DataFrame) -> DataFrame:
+    """One row of counts behind size and rates; what a statistic does not use is pruned from it."""
+    return collection.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(_flag("nb_ok_parse")).alias("parsed"),
+        F.count_if(language_starts_with_python()).alias("python"),
+        F.count_if(_flag("deps_any")).alias("deps"),
+        F.count_if(_flag("has_unambiguous_order")).alias("unambiguous"),
+    )
+
+
+FLAG_RATES = [
+    ("nb_ok_parse", "parsed", "rows"), ("language_python", "python", "rows"),
+    ("deps_any", "deps", "rows"), ("has_unambiguous_order", "unambiguous", "rows"),
+]
 
-# ---- collection ----
 
 def collection_size(collection: DataFrame) -> DataFrame:
-    return collection.agg(F.count(F.lit(1)).alias("n"))
+    return collection_counts(collection).select(F.col("rows").alias("n"))
 
 
 def flag_rates(collection: DataFrame) -> DataFrame:
     """Parsed, Python, with dependency files, unambiguously ordered: count and share of all rows."""
-    flags = {
-        "nb_ok_parse": _flag("nb_ok_parse"),
-        "language_python": language_starts_with_python(),
-        "deps_any": _flag("deps_any"),
-        "has_unambiguous_order": _flag("has_unambiguous_order"),
-    }
-    counted = collection.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in flags.items()]
-    )
-    return _rows(counted, [(name, F.col(name), pct(F.col(name), F.col("rows"))) for name in flags])
+    return rates(collection_counts(collection), FLAG_RATES).drop("of")
 
 
 def numeric_profile(collection: DataFrame) -> DataFrame:
@@ -90,57 +98,120 @@ def top_imports_exact(imports: DataFrame, limit: int = K.TOP_IMPORTS) -> DataFra
 
 # ---- runs ----
 
+def run_counts(runs: DataFrame) -> DataFrame:
+    """One row of counts behind the rates of runs."""
+    ok = _flag("exec_ok")
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("ok")]
+    if has_output_columns(runs):
+        found, equal = _flag("original_found"), _flag("outputs_equal")
+        counts += [
+            F.count_if(equal).alias("equal"), F.count_if(ok & equal).alias("ok_equal"),
+            F.count_if(found).alias("found"), F.count_if(found & equal).alias("found_equal"),
+            F.count_if(found & ok).alias("found_ok"), F.count_if(found & ok & equal).alias("found_ok_equal"),
+        ]
+    return runs.agg(*counts)
+
+
+SUCCESS_RATE = [("success", "ok", "rows")]
+FOUND_RATE = [("originals_found", "found", "rows")]
+EQUAL_RATES = [("equal_all", "equal", "rows"), ("equal_ok", "ok_equal", "ok")]
+KPIS = [("reproduced", "found_equal", "found"), ("reproduced_ok", "found_ok_equal", "found_ok")]
+
+
+def run_success_rate(runs: DataFrame) -> DataFrame:
+    return rates(run_counts(runs), SUCCESS_RATE).select(F.col("of").alias("n_runs"), F.col("n").alias("n_ok"), "pct")
+
+
+def originals_found_rate(runs: DataFrame) -> DataFrame:
+    return rates(run_counts(runs), FOUND_RATE).select("n", "pct")
+
+
+def outputs_equal_rate(runs: DataFrame) -> DataFrame:
+    """Runs with equal outputs: among all runs and among successful ones."""
+    return rates(run_counts(runs), EQUAL_RATES).drop("of")
+
+
+def reproducibility_kpis(runs: DataFrame) -> DataFrame:
+    """``(metric, n, of, pct)``: equal among found, and among found and successful; only for a non-zero base."""
+    return rates(run_counts(runs), KPIS).where("of > 0")
+
+
 def failures(runs: DataFrame) -> DataFrame:
     return runs.where(~_flag("exec_ok"))
 
 
-def run_success_rate(runs: DataFrame) -> DataFrame:
-    counted = runs.agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(_flag("exec_ok")).alias("n_ok"))
-    return counted.select("n_runs", "n_ok", pct(F.col("n_ok"), F.col("n_runs")).alias("pct"))
+# Failure lists and their lengths.
+FAILURE_LISTS = {"error": K.TOP_ERRORS, "repo_full_name": K.TOP_FAILURES, "notebook": K.TOP_FAILURES}
 
 
-def _error_name() -> Column:
-    return F.coalesce(blank_to_null(F.col("error")), F.lit(K.MISSING_ERROR))
+def _failure_key(name: str) -> Column:
+    if name == "error":
+        return F.coalesce(blank_to_null(F.col("error")), F.lit(K.MISSING_ERROR))
+    if name == "notebook":
+        return notebook_label(F.col("repo_full_name"), F.col("file_path"))
+    return F.col(name)
 
 
-def top_errors(runs: DataFrame, row_id: str = "row_id", limit: int = K.TOP_ERRORS) -> DataFrame:
-    return _top(failures(runs), _error_name(), "error", row_id, limit).select("error", "n")
+def _top_failures(runs: DataFrame, name: str, row_id: str, limit: int | None) -> DataFrame:
+    counts = failures(runs).groupBy(_failure_key(name).alias(name)).agg(
+        F.count(F.lit(1)).alias("n"), F.min(row_id).alias("first_row")
+    )
+    return counts.orderBy(F.desc("n"), "first_row", name).limit(limit or FAILURE_LISTS[name]).select(name, "n")
 
 
-def elapsed_profile(runs: DataFrame) -> DataFrame:
-    """Median and mean run time of all, successful and failed runs."""
+def top_errors(runs: DataFrame, row_id: str = "row_id", limit: int | None = None) -> DataFrame:
+    return _top_failures(runs, "error", row_id, limit)
+
+
+def failures_by_repo(runs: DataFrame, row_id: str = "row_id", limit: int | None = None) -> DataFrame:
+    return _top_failures(runs, "repo_full_name", row_id, limit)
+
+
+def failures_by_notebook(runs: DataFrame, row_id: str = "row_id", limit: int | None = None) -> DataFrame:
+    return _top_failures(runs, "notebook", row_id, limit)
+
+
+def failure_lists(runs: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """All three failure lists in one pass: ``(list, key, n)``."""
+    names = list(FAILURE_LISTS)
+    keyed = failures(runs).select(F.col(row_id).alias("_row"), *[_failure_key(n).alias(n) for n in names])
+    counts = keyed.groupingSets([[n] for n in names], *names).agg(
+        *[F.grouping(n).alias(f"not_{n}") for n in names], F.count(F.lit(1)).alias("n"), F.min("_row").alias("first_row")
+    )
+    of_list = lambda value: F.coalesce(*[F.when(F.col(f"not_{n}") == 0, value(n)) for n in names])
+    lists = counts.select(
+        of_list(lambda n: F.lit(n)).alias("list"), of_list(F.col).alias("key"), "n", "first_row",
+        of_list(lambda n: F.lit(FAILURE_LISTS[n])).alias("length"),
+    )
+    order = Window.partitionBy("list").orderBy(F.desc("n"), "first_row", "key")
+    ranked = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(FAILURE_LISTS.values()))
+    return ranked.where(F.col("rank") <= F.col("length")).select("list", "key", "n")
+
+
+def _elapsed_values() -> dict[str, Column]:
     seconds = F.when(is_filled(F.col("elapsed_s")), to_float(F.col("elapsed_s")))
     ok = _flag("exec_ok")
-    return median_and_mean(_stack(runs, {
-        "elapsed_all": seconds, "elapsed_ok": F.when(ok, seconds), "elapsed_failed": F.when(~ok, seconds),
-    }))
+    return {"elapsed_all": seconds, "elapsed_ok": F.when(ok, seconds), "elapsed_failed": F.when(~ok, seconds)}
 
 
-def failures_by_repo(runs: DataFrame, row_id: str = "row_id", limit: int = K.TOP_FAILURES) -> DataFrame:
-    return _top(failures(runs), F.col("repo_full_name"), "repo_full_name", row_id, limit).select("repo_full_name", "n")
+def _output_counts() -> dict[str, Column]:
+    return {n: F.when(is_filled(F.col(n)), to_int(F.col(n))) for n in ["n_outputs_orig", "n_outputs_exec"]}
 
 
-def failures_by_notebook(runs: DataFrame, row_id: str = "row_id", limit: int = K.TOP_FAILURES) -> DataFrame:
-    label = notebook_label(F.col("repo_full_name"), F.col("file_path"))
-    return _top(failures(runs), label, "notebook", row_id, limit).select("notebook", "n")
+def elapsed_profile(runs: DataFrame) -> DataFrame:
+    """Median and mean run time of all, successful and failed runs."""
+    return median_and_mean(_stack(runs, _elapsed_values()))
 
 
-def originals_found_rate(runs: DataFrame) -> DataFrame:
-    counted = runs.agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(_flag("original_found")).alias("n"))
-    return counted.select("n", pct(F.col("n"), F.col("n_runs")).alias("pct"))
+def output_count_profile(runs: DataFrame) -> DataFrame:
+    """Median and mean number of outputs of originals and of runs; 0 counts, blanks do not."""
+    return median_and_mean(_stack(runs, _output_counts()))
 
 
-def outputs_equal_rate(runs: DataFrame) -> DataFrame:
-    """Runs with equal outputs: among all runs and among successful ones."""
-    ok, equal = _flag("exec_ok"), _flag("outputs_equal")
-    counted = runs.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("ok"),
-        F.count_if(equal).alias("equal"), F.count_if(ok & equal).alias("ok_equal"),
-    )
-    return _rows(counted, [
-        ("equal_all", F.col("equal"), pct(F.col("equal"), F.col("rows"))),
-        ("equal_ok", F.col("ok_equal"), pct(F.col("ok_equal"), F.col("ok"))),
-    ])
+def run_profile(runs: DataFrame) -> DataFrame:
+    """Both profiles in one pass."""
+    values = _elapsed_values() | (_output_counts() if has_output_columns(runs) else {})
+    return median_and_mean(_stack(runs, values))
 
 
 def divergence_examples(runs: DataFrame, row_id: str = "row_id", limit: int = K.DIVERGENCE_EXAMPLES) -> DataFrame:
@@ -155,27 +226,3 @@ def divergence_examples(runs: DataFrame, row_id: str = "row_id", limit: int = K.
         to_int(F.col("n_outputs_orig")).alias("n_orig"),
         to_int(F.col("n_outputs_exec")).alias("n_exec"),
     )
-
-
-def output_count_profile(runs: DataFrame) -> DataFrame:
-    """Median and mean number of outputs of originals and of runs; 0 counts, blanks do not."""
-    names = ["n_outputs_orig", "n_outputs_exec"]
-    return median_and_mean(_stack(runs, {n: F.when(is_filled(F.col(n)), to_int(F.col(n))) for n in names}))
-
-
-def reproducibility_kpis(runs: DataFrame) -> DataFrame:
-    """``(metric, n, of, pct)``: equal among found, and among found and successful; only for a non-zero base."""
-    found, ok, equal = _flag("original_found"), _flag("exec_ok"), _flag("outputs_equal")
-    counted = runs.agg(
-        F.count_if(found).alias("found"), F.count_if(found & equal).alias("found_equal"),
-        F.count_if(found & ok).alias("found_ok"), F.count_if(found & ok & equal).alias("found_ok_equal"),
-    )
-    row = lambda metric, n, of: F.struct(
-        F.lit(metric).alias("metric"), F.col(n).alias("n"), F.col(of).alias("of"), pct(F.col(n), F.col(of)).alias("pct")
-    )
-    rows = F.array(row("reproduced", "found_equal", "found"), row("reproduced_ok", "found_ok_equal", "found_ok"))
-    return counted.select(F.inline(rows)).where("of > 0")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -29,9 +29,9 @@ def _order_metrics(counts: Column, stored: Column) -> list[Column]:
     return [
         ((n > 0) & (n == stored)).alias("has_unambiguous_order"),
         (counts != F.array_sort(counts)).alias("out_of_order"),
-        F.when(n > 0, item(-1) - item(1) + 1 - n_distinct).otherwise(F.lit(0)).alias("n_skips_total"),
-        F.when(n_distinct > 1, item(-1) - item(2) + 2 - n_distinct).otherwise(F.lit(0)).alias("n_skips_middle"),
-        F.coalesce(F.array_max(counts), F.lit(0)).alias("max_execution_count"),
+        F.when(n > 0, item(-1) - item(1) + 1 - n_distinct).when(n == 0, F.lit(0)).alias("n_skips_total"),
+        F.when(n_distinct > 1, item(-1) - item(2) + 2 - n_distinct).when(n_distinct < 2, F.lit(0)).alias("n_skips_middle"),
+        F.when(n > 0, F.array_max(counts)).when(n == 0, F.lit(0)).alias("max_execution_count"),
     ]
 
 

@@ -1,17 +1,27 @@
-"""The whole report as one long table ``(section, metric, dim, n, value)``."""
+"""The whole report as one long table ``(section, metric, dim, n, value)``.
+
+Statistics that share an input share a pass over it: all counts, all medians and all failure lists of the runs take one
+scan each.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nbquarry.operators import summary as S
 from nbquarry.operators.filters import has_output_columns
 from nbquarry.operators.shred import explode_import_counts
 
+_FAILURE_METRICS = {
+    "error": "top_errors", "repo_full_name": "failures_by_repo", "notebook": "failures_by_notebook",
+}
+
 
-def _part(df: DataFrame, section: str, metric: Column, dim: Column, n: Column, value: Column) -> DataFrame:
+def _part(df: DataFrame, section: Column, metric: Column, dim: Column, n: Column, value: Column) -> DataFrame:
     return df.select(
-        F.lit(section).alias("section"), metric.cast("string").alias("metric"), dim.cast("string").alias("dim"),
+        section.alias("section"), metric.cast("string").alias("metric"), dim.cast("string").alias("dim"),
         n.cast("bigint").alias("n"), value.cast("double").alias("value"),
     )
 
@@ -20,7 +30,7 @@ def _none() -> Column:
     return F.lit(None)
 
 
-def _profile(df: DataFrame, section: str) -> DataFrame:
+def _profile(df: DataFrame, section: Column) -> DataFrame:
     """Two rows per metric: its median and its mean."""
     kinds = F.array(
         F.struct(F.lit("median").alias("dim"), F.col("median").alias("value")),
@@ -30,55 +40,44 @@ def _profile(df: DataFrame, section: str) -> DataFrame:
     return _part(long, section, F.col("metric"), F.col("dim"), F.col("n"), F.col("value"))
 
 
-def _top(df: DataFrame, section: str, metric: str, key: str) -> DataFrame:
-    return _part(df, section, F.lit(metric), F.col(key), F.col("n"), _none())
-
-
-def _rates(df: DataFrame, section: str) -> DataFrame:
-    return _part(df, section, F.col("metric"), _none(), F.col("n"), F.col("pct"))
-
-
 def collection_report(collection: DataFrame, row_id: str = "row_id") -> list[DataFrame]:
-    size = _part(S.collection_size(collection), "collection", F.lit("rows"), _none(), F.col("n"), _none())
+    section = F.lit("collection")
+    counted = S.rates(S.collection_counts(collection), [("rows", "rows", "rows"), *S.FLAG_RATES])
+    share = F.when(F.col("metric") != "rows", F.col("pct"))
     imports = S.top_imports_overall(explode_import_counts(collection, row_id), row_id)
     return [
-        size,
-        _rates(S.flag_rates(collection), "collection"),
-        _profile(S.numeric_profile(collection), "collection"),
-        _top(imports, "collection", "top_imports", "module"),
+        _part(counted, section, F.col("metric"), _none(), F.col("n"), share),
+        _profile(S.numeric_profile(collection), section),
+        _part(imports, section, F.lit("top_imports"), F.col("module"), F.col("n"), _none()),
     ]
 
 
 def run_report(runs: DataFrame, row_id: str = "row_id") -> list[DataFrame]:
-    success = S.run_success_rate(runs)
-    return [
-        _part(success, "runs", F.lit("success"), F.col("n_runs"), F.col("n_ok"), F.col("pct")),
-        _top(S.top_errors(runs, row_id), "runs", "top_errors", "error"),
-        _profile(S.elapsed_profile(runs), "runs"),
-        _top(S.failures_by_repo(runs, row_id), "runs", "failures_by_repo", "repo_full_name"),
-        _top(S.failures_by_notebook(runs, row_id), "runs", "failures_by_notebook", "notebook"),
-    ]
-
-
-def output_report(runs: DataFrame, row_id: str = "row_id") -> list[DataFrame]:
-    found = S.originals_found_rate(runs).withColumn("metric", F.lit("originals_found"))
-    kpis = S.reproducibility_kpis(runs)
-    divergent = S.divergence_examples(runs, row_id)
-    pair = F.concat_ws(" ", F.col("notebook"), F.col("hash_orig"), F.col("hash_exec"))
-    return [
-        _rates(found, "outputs"),
-        _rates(S.outputs_equal_rate(runs), "outputs"),
-        _part(divergent, "outputs", F.lit("divergence"), pair, F.col("n_orig"), F.col("n_exec")),
-        _profile(S.output_count_profile(runs), "outputs"),
-        _part(kpis, "outputs", F.col("metric"), F.col("of"), F.col("n"), F.col("pct")),
+    """Runs, and with output columns also the comparison of outputs."""
+    compared = has_output_columns(runs)
+    outputs_metrics = ["originals_found", "equal_all", "equal_ok", "reproduced", "reproduced_ok",
+                       "n_outputs_orig", "n_outputs_exec"]
+    metric = F.col("metric")
+    section = F.when(metric.isin(outputs_metrics), F.lit("outputs")).otherwise(F.lit("runs"))
+    entries = S.SUCCESS_RATE + (S.FOUND_RATE + S.EQUAL_RATES + S.KPIS if compared else [])
+    kpis = ["reproduced", "reproduced_ok"]
+    counted = S.rates(S.run_counts(runs), entries).where(~metric.isin(kpis) | (F.col("of") > 0))
+    shown_base = F.when(metric.isin("success", *kpis), F.col("of"))
+    lists = S.failure_lists(runs, row_id)
+    list_name = F.coalesce(*[F.when(F.col("list") == k, F.lit(v)) for k, v in _FAILURE_METRICS.items()])
+    parts = [
+        _part(counted, section, metric, shown_base, F.col("n"), F.col("pct")),
+        _part(lists, F.lit("runs"), list_name, F.col("key"), F.col("n"), _none()),
+        _profile(S.run_profile(runs), section),
     ]
+    if compared:
+        pair = F.concat_ws(" ", "notebook", "hash_orig", "hash_exec")
+        divergent = S.divergence_examples(runs, row_id)
+        parts.append(_part(divergent, F.lit("outputs"), F.lit("divergence"), pair, F.col("n_orig"), F.col("n_exec")))
+    return parts
 
 
 def corpus_report(collection: DataFrame, runs: DataFrame | None = None, row_id: str = "row_id") -> DataFrame:
     """All statistics. The run block needs ``runs``, the output block its output columns."""
-    parts = collection_report(collection, row_id)
-    if runs is not None:
-        parts += run_report(runs, row_id)
-        if has_output_columns(runs):
-            parts += output_report(runs, row_id)
-    return S.union_all(parts)
+    parts = collection_report(collection, row_id) + (run_report(runs, row_id) if runs is not None else [])
+    return reduce(DataFrame.unionByName, parts)

@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import DataFrame, SparkSession
 
-from nbquarry.session import configure
+from nbquarry.session import BUILD_SETTINGS, configure
 
 
 def session(cores: str = "8", partitions: str = "8") -> SparkSession:
@@ -18,7 +18,7 @@ def session(cores: str = "8", partitions: str = "8") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("nbquarry")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", partitions)
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config(map=BUILD_SETTINGS).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
@@ -56,5 +56,9 @@ def compare(df: DataFrame, duck: duckdb.DuckDBPyConnection, oracle: str | None)
     expected = Counter(tuple(_plain(row[i]) for i in order) for row in result.fetchall())
     if rows == expected:
         return "", count
-    extra, missing = list((rows - expected).items())[:2], list((expected - rows).items())[:2]
-    return f"rows {count} vs {sum(expected.values())}; columns {columns}; only spark {extra}; only duckdb {missing}", count
+    by_text = lambda row: tuple(str(v) for v in row)
+    extra, missing = (sorted((a - b).elements(), key=by_text) for a, b in ((rows, expected), (expected, rows)))
+    first = [
+        f"{c}: {x!r} vs {y!r}" for e, m in zip(extra[:1], missing[:1]) for c, x, y in zip(columns, e, m) if x != y
+    ]
+    return f"rows {count} vs {sum(expected.values())}, {len(extra)} only in Spark, {len(missing)} only in DuckDB; {first}", count

@@ -191,7 +191,7 @@ def _logs(spark, sf):
 
 
 @checked("parse_run_log", f"""{_LOGS}, {_OUTCOMES}
-select log_id, case kind when 'ok' then true when 'failed' then false when 'denied' then false end as ok,
+select log_id, case when log_id % 41 = 0 then null else kind = 'ok' end as ok,
   case kind when 'failed' then 'ModuleNotFoundError' when 'denied' then '' end as error from outcomes""")
 def parse_run_log(spark, sf):
     parsed = R.parse_run_log(_logs(spark, sf))

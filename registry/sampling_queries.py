@@ -27,7 +27,7 @@ ranges as (
   union all
   select h.a, h.b, (select coalesce(sum(rows), 0) from daily where day between h.a and h.b)
   from (
-    select case side when 0 then a else a + (b - a) // 2 + 1 end as a, case side when 0 then a + (b - a) // 2 else b end as b
+    select case side when 0 then a else a + cast((b - a) // 2 + 1 as integer) end as a, case side when 0 then a + cast((b - a) // 2 as integer) else b end as b
     from (select cast(a as date) as a, cast(b as date) as b, total from ranges) r, (values (0), (1)) s(side)
     where total >= {_CAP} and a < b) h),
 final as (select a, b, cast(total as bigint) as total from ranges where total < {_CAP} or a = b)
