@@ -58,6 +58,11 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
 
 
+def is_true(v: Column) -> Column:
+    """True for JSON ``true`` alone; a cast would also take numbers and text."""
+    return F.coalesce(F.to_json(v) == "true", F.lit(False))
+
+
 def is_absent(v: Column) -> Column:
     """True for a missing value and for JSON null."""
     return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))

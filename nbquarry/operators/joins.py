@@ -4,39 +4,54 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
-
-# Keys treated as heavy. A key outside the heaviest HEAVY_KEYS holds less than 1/HEAVY_KEYS of the rows. The list of
-# heavy keys has at most this many rows whatever the input, which is what makes broadcasting it safe.
-HEAVY_KEYS = 256
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Keys are counted by hash bucket: at most BUCKETS rows per task reach the shuffle, whatever the number of keys.
+BUCKETS = 1 << 16
+# A bucket is heavy if it holds at least this share of the rows. So there are never more than HEAVY_SHARE heavy buckets,
+# which is what makes broadcasting them safe, and a key that is not in one holds a smaller share.
+HEAVY_SHARE = 1024
+# Smaller buckets are not worth spreading.
+HEAVY_ROWS = 10_000
+# Parts a heavy bucket is spread over.
 SPREAD = 32
 
 
-def heavy_keys(df: DataFrame, keys: list[str], limit: int = HEAVY_KEYS) -> DataFrame:
-    """The ``limit`` most frequent key combinations that occur more than once."""
-    counts = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    return counts.orderBy(F.desc("_rows"), *keys).limit(limit).select(*keys, F.lit(True).alias("_heavy"))
+def _bucket(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def heavy_buckets(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``_bucket`` of the key buckets that hold a large share of the rows.
+
+    Counts are exact, so computing this twice gives the same buckets: both sides of a join can rely on it.
+    """
+    counts = df.select(_bucket(keys).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"))
+    # This window runs over at most BUCKETS rows.
+    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    shares = counts.withColumn("total", total).where(F.col("rows") >= min_rows)
+    return shares.where(F.col("rows") * HEAVY_SHARE >= F.col("total")).select("_bucket", F.lit(True).alias("_heavy"))
 
 
 def left_join_unique(
     left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-    heavy_from: DataFrame | None = None,
+    count_on: DataFrame | None = None, min_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
-    Left rows of a heavy key are spread over ``SPREAD`` parts by a hash of ``spread_by``, and the right row of that key
-    is repeated once per part; every other key is joined as usual. The result does not depend on which keys are heavy.
-    ``heavy_from`` may name a cheaper table with the same key distribution to count keys on.
+    Left rows in a heavy bucket of keys are spread over ``SPREAD`` parts by a hash of ``spread_by``, and the right rows
+    of that bucket are repeated once per part; all others are joined as usual. The result does not depend on which
+    buckets are heavy. ``count_on`` may name a cheaper table with the same keys to count on.
     """
-    heavy = F.broadcast(heavy_keys(left if heavy_from is None else heavy_from, keys))
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    parts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, min_rows))
     # A NULL key matches nothing, so such rows may go anywhere.
     unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread_left = left.join(heavy, keys, "left").withColumn(
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
+    spread_left = left.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
         "_part", F.when(F.col("_heavy") | unmatched, part).otherwise(F.lit(0))
-    ).drop("_heavy")
-    spread_right = right.join(heavy, keys, "left").withColumn(
+    ).drop("_bucket", "_heavy")
+    parts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    spread_right = right.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
         "_part", F.explode(F.when(F.col("_heavy"), parts).otherwise(F.array(F.lit(0))))
-    ).drop("_heavy")
+    ).drop("_bucket", "_heavy")
     return spread_left.join(spread_right, [*keys, "_part"], how).drop("_part")

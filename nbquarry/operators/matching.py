@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nbquarry.functions.names import owner_of, repo_of, sanitize_file_name, sanitize_name
-from nbquarry.operators.joins import left_join_unique
+from nbquarry.operators.joins import HEAVY_ROWS, left_join_unique
 
 
 def originals_by_name(originals: DataFrame, carry: list[str]) -> DataFrame:
@@ -26,16 +26,20 @@ def originals_by_name(originals: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
-def match_originals(runs: DataFrame, originals: DataFrame, carry: list[str], spread_by: list[str]) -> DataFrame:
+def match_originals(
+    runs: DataFrame, originals: DataFrame, carry: list[str], spread_by: list[str], count_on: DataFrame | None = None,
+    min_rows: int = HEAVY_ROWS,
+) -> DataFrame:
     """Each run with the chosen original's ``archive_name`` and ``carry`` columns, NULL where none matches."""
     keys = ["_owner", "_repo", "_name"]
-    keyed = runs.withColumns({
+    keyed = lambda df: df.withColumns({
         "_owner": sanitize_name(owner_of(F.col("repo_full_name"))),
         "_repo": sanitize_name(repo_of(F.col("repo_full_name"))),
         "_name": sanitize_file_name(F.col("file_path")),
     })
     named = originals_by_name(originals, carry).toDF(*keys, "_original")
-    matched = left_join_unique(keyed, named, keys, spread_by)
+    counted = None if count_on is None else keyed(count_on)
+    matched = left_join_unique(keyed(runs), named, keys, spread_by, count_on=counted, min_rows=min_rows)
     return matched.select(*runs.columns, *[F.col(f"_original.{c}").alias(c) for c in ["archive_name", *carry]])
 
 

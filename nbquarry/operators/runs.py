@@ -47,7 +47,7 @@ def normalize_outcome(parsed: DataFrame) -> DataFrame:
     """
     reported = lambda name, dtype: F.try_variant_get("info", f"$.{name}", dtype)
     not_finished = F.coalesce(F.col("timed_out"), F.lit(False)) | F.col("launch_error").isNotNull()
-    ok = ~not_finished & (F.col("returncode") == 0) & F.coalesce(reported("ok", "boolean"), F.lit(False))
+    ok = ~not_finished & (F.col("returncode") == 0) & D.is_true(F.try_variant_get("info", "$.ok", "variant"))
     unnamed = F.when(F.col("returncode") != 0, F.lit(K.ERROR_SUBPROCESS)).otherwise(F.lit(K.ERROR_UNKNOWN))
     error = (
         F.when(F.coalesce(F.col("timed_out"), F.lit(False)), F.lit(K.ERROR_TIMEOUT))

@@ -32,31 +32,36 @@ def explode_mime(outputs: DataFrame) -> DataFrame:
 def import_pairs(imports_json: Column) -> Column:
     """Array of ``(pos, module, n)`` from a JSON list of pairs.
 
-    Pairs before the first bad one count, those after it do not; text that is not such a list gives an empty array.
+    Pairs before the first bad one count, those after it do not; text that is not such a list gives NULL.
     """
-    items = D.list_items(D.parse_json(imports_json))
-
     def read(item: Column, pos: Column) -> Column:
-        pair = D.list_items(item)
-        count = F.get(pair, F.lit(1))
+        return D.let(D.list_items(item), lambda pair: D.let(F.get(pair, F.lit(1)), lambda count: entry(pos, pair, count)))
+
+    def entry(pos: Column, pair: Column, count: Column) -> Column:
+        module = F.get(pair, F.lit(0))
         # A count may be stored as a number, a boolean or integer text.
-        as_number = F.try_variant_get(count, "$", "double").try_cast("bigint")
         as_integer_text = F.when(D.string_value(count).rlike(r"^\s*[+-]?[0-9]+\s*$"), to_int(D.string_value(count)))
+        as_number = F.try_variant_get(count, "$", "double").try_cast("bigint")
         n = F.when(D.is_string(count), as_integer_text).otherwise(as_number)
-        good = (F.array_size(pair) == 2) & D.is_string(F.get(pair, F.lit(0))) & n.isNotNull()
+        two_items = F.coalesce(F.array_size(pair) == 2, F.lit(False))
         return F.struct(
             pos.cast("int").alias("pos"),
-            D.string_value(F.get(pair, F.lit(0))).alias("module"),
-            n.alias("n"),
-            F.coalesce(good, F.lit(False)).alias("good"),
+            F.when(two_items & D.is_string(module), D.string_value(module)).alias("module"),
+            F.when(two_items, n).alias("n"),
+        )
+
+    def before_first_bad(entries: Column) -> Column:
+        bad = F.transform(entries, lambda e: e.module.isNull() | e.n.isNull())
+        return D.let(
+            F.array_position(bad, F.lit(True)),
+            lambda at: F.when(at == 0, entries).when(at > 1, F.slice(entries, 1, (at - 1).cast("int"))),
         )
 
-    read_items = F.transform(items, read)
-    first_bad = F.array_position(F.transform(read_items, lambda p: p.good), F.lit(False))
-    return F.when(first_bad == 0, read_items).otherwise(F.slice(read_items, 1, F.greatest(first_bad - 1, F.lit(0)).cast("int")))
+    return D.let(F.transform(D.list_items(D.parse_json(imports_json)), read), before_first_bad)
 
 
 def explode_import_counts(collection: DataFrame, row_id: str = "row_id") -> DataFrame:
     """``(row_id, pos, module, n)`` from the ``top_imports_json`` column."""
-    pairs = collection.select(row_id, import_pairs(F.col("top_imports_json")).alias("pairs"))
-    return pairs.select(row_id, F.explode("pairs").alias("p")).select(row_id, "p.pos", "p.module", "p.n")
+    # The outer form keeps the optimizer from testing the list for emptiness first, which would parse each text twice.
+    pairs = collection.select(row_id, F.inline_outer(import_pairs(F.col("top_imports_json"))))
+    return pairs.where(F.col("module").isNotNull())

@@ -136,7 +136,7 @@ def build_collection(
         F.col("created_at").alias("repo_created_at"),
         F.coalesce("stargazers_count", F.lit(0)).alias("repo_stars"),
     ).join(repo_dependencies(repo_tree), "repo_full_name", "left")
-    joined = left_join_unique(metrics, repo_facts, ["repo_full_name"], ["file_path"], heavy_from=contents)
+    joined = left_join_unique(metrics, repo_facts, ["repo_full_name"], ["file_path"], count_on=contents)
     deps = fill_dependencies(joined)
     named = deps.withColumnsRenamed({"sha": "file_sha", "size": "file_size"}).withColumn("nb_ok_parse", parsed)
     # Dependency flags are metrics too: an undecoded file has none.

@@ -43,7 +43,7 @@ def run_table(
         *_NOTEBOOK, log_id, "exec_ok", "error", "exc_name", "failed_cell_index", "elapsed_s",
         "outputs_hash_exec", "n_outputs_exec",
     )
-    runs = left_join_unique(outcomes, declared, _NOTEBOOK, [log_id], how="inner", heavy_from=logs)
+    runs = left_join_unique(outcomes, declared, _NOTEBOOK, [log_id], how="inner", count_on=logs)
     runs = resolve_kernel(runs, known_kernels, [log_id]).withColumn("nb_ok_parse", F.lit(True))
     if originals is None:
         none = F.lit(None)
@@ -52,6 +52,6 @@ def run_table(
         })
     else:
         carry = ["readable", "outputs_hash_orig", "n_outputs_orig"]
-        matched = match_originals(runs, fingerprinted_originals(originals), carry, [log_id])
+        matched = match_originals(runs, fingerprinted_originals(originals), carry, [log_id], count_on=logs)
     found = matched.withColumn("original_found", F.coalesce("readable", F.lit(False)))
     return compare_outputs(found).select(*RUN_FIELDS)

@@ -206,9 +206,8 @@ case {_spark(OUTPUT)}
 _CELL = f"""
 named_struct(
   'cell_type', {_spark(CELL_TYPE)},
-  'source', case when i % 3 = 0
-    then to_variant_object(array(left({_spark(SOURCE)}, 5), substr({_spark(SOURCE)}, 6)))
-    else cast({_spark(SOURCE)} as variant) end,
+  'source', element_at(transform(array({_spark(SOURCE)}), s ->
+    case when i % 3 = 0 then to_variant_object(array(left(s, 5), substr(s, 6))) else cast(s as variant) end), 1),
   'execution_count', case when not ({_spark(IS_CODE)}) then null when {_spark(STAR)} then cast('*' as variant)
     else cast({_spark(COUNT)} as variant) end,
   'outputs', case when {_spark(IS_CODE)} then {_OUTPUT_LIST} end)
@@ -226,6 +225,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row, even if the input is one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the plain SQL views, over the tables of ``sf_dir``."""
     source = _BASE[name]
@@ -248,7 +253,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(nb_id, body)``: each document's text as notebook JSON, one cell per line."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("nb_id"), F.expr(_DOCUMENT).alias("body"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("nb_id"), F.expr(_DOCUMENT).alias("body"))
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
