@@ -145,14 +145,13 @@ def out_of_order(cells: DataFrame, piece: int = PIECE) -> DataFrame:
     return seams.groupBy(KEY).agg((_any(F.col("falls")) | _any(F.col("seam_falls"))).alias("out_of_order"))
 
 
-def execution_gaps(cells: DataFrame) -> DataFrame:
-    """``n_skips_total`` and ``n_skips_middle``.
+def _with_gaps(notebooks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add the two gap metrics to a table with one row per notebook.
 
     Sorting the counts and adding up gaps equals ``max - min + 1 - distinct``; leaving out gaps that start at the
     minimum equals the same on the counts above the minimum. Counts are made distinct first; the second smallest comes
     from a rank limit that Spark applies before its shuffle.
     """
-    ids = cells.select(KEY).distinct()
     counts = cells.where(_executed()).select(KEY, F.col("execution_count").alias("e")).distinct()
     span = counts.groupBy(KEY).agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.count("e").alias("n"))
     lowest = Window.partitionBy(KEY).orderBy("e")
@@ -160,16 +159,21 @@ def execution_gaps(cells: DataFrame) -> DataFrame:
         counts.withColumn("rank", F.row_number().over(lowest)).where("rank <= 2").where("rank = 2")
         .select(KEY, F.col("e").alias("second"))
     )
-    joined = ids.join(span, KEY, "left").join(second, KEY, "left")
+    joined = notebooks.join(span, KEY, "left").join(second, KEY, "left")
     total = F.col("hi") - F.col("lo") + 1 - F.col("n")
     middle = F.col("hi") - F.col("second") + 1 - (F.col("n") - 1)
     return joined.select(
-        KEY,
+        *notebooks.columns,
         F.coalesce(total, F.lit(0)).alias("n_skips_total"),
         F.coalesce(middle, F.lit(0)).alias("n_skips_middle"),
     )
 
 
+def execution_gaps(cells: DataFrame) -> DataFrame:
+    """``n_skips_total`` and ``n_skips_middle``."""
+    return _with_gaps(cells.select(KEY).distinct(), cells)
+
+
 def skips_total(cells: DataFrame) -> DataFrame:
     return execution_gaps(cells).select(KEY, "n_skips_total")
 
@@ -184,8 +188,4 @@ def cell_metrics(cells: DataFrame) -> DataFrame:
         _type_counts(), _executed_counts(), _unambiguous(), _max_count(), _with_output(), _output_error(),
         *[_output_kind(name) for name in marks.OUTPUT_KINDS], _ai(), _fence(), _absolute_path(),
     ])
-    return (
-        cells.groupBy(KEY).agg(*plain)
-        .join(out_of_order(cells), KEY, "left")
-        .join(execution_gaps(cells), KEY, "left")
-    )
+    return _with_gaps(cells.groupBy(KEY).agg(*plain).join(out_of_order(cells), KEY, "left"), cells)

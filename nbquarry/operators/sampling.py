@@ -32,8 +32,8 @@ def calendar_windows() -> list[CalendarWindow]:
 
 def window_days(spark: SparkSession, windows: list[CalendarWindow]) -> DataFrame:
     """One row per day of each window: as many rows as the windows have days."""
-    table = spark.createDataFrame(windows, "window_id int, a date, b date, quota int")
-    return table.withColumn("_day", F.explode(F.sequence("a", "b")))
+    rows = ", ".join(f"({w.window_id}, date '{w.a}', date '{w.b}', {w.quota})" for w in windows)
+    return spark.sql(f"select *, explode(sequence(a, b)) as _day from values {rows} as w(window_id, a, b, quota)")
 
 
 def assign_windows(df: DataFrame, windows: list[CalendarWindow], date: Column) -> DataFrame:

@@ -67,6 +67,14 @@ def test_no_cross_joins(spark, name):
     assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
+@pytest.mark.parametrize("name,scans", [("elapsed_profile", 1), ("adaptive_date_ranges", 1), ("corpus_report", 7)])
+def test_inputs_are_scanned_no_more_than_needed(spark, name, scans):
+    df = entry.queries()[name](spark, SF)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert final.count("FileScan") <= scans and "ReusedExchange" in final
+
+
 def test_joins_do_not_depend_on_broadcasting(spark):
     """With automatic broadcasts off, only the bounded lists of heavy buckets are broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
