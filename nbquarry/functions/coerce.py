@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from nbquarry.constants import TRUE_WORDS
 
-_BLANKS = " \t\n\r\f\x0b"
+BLANKS = " \t\n\r\f\x0b"
 _DIGITS = r"[0-9](?:_?[0-9])*"
 _NUMBER = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
@@ -14,7 +14,7 @@ _NUMBER = (
 
 
 def _text(c: Column) -> Column:
-    return F.btrim(c.cast("string"), F.lit(_BLANKS))
+    return F.btrim(c.cast("string"), F.lit(BLANKS))
 
 
 def parse_float(c: Column) -> Column:

@@ -30,11 +30,13 @@ def filter_created_between(
 ) -> DataFrame:
     """Repositories created in ``[start, end]``, both days included.
 
-    Comparing the column itself with the bounds, rather than its date, lets the scan skip files and row groups.
+    Comparing the column itself with the bounds, rather than its date, lets the scan skip files and row groups. A table
+    stored by date (a ``created_date`` column) also skips folders.
     """
     a, b = check_date_bounds(start, end)
     created = F.col(date_col)
-    return repos.where((created >= F.lit(a)) & (created < F.lit(b + dt.timedelta(days=1))))
+    kept = repos.where((created >= F.lit(a)) & (created < F.lit(b + dt.timedelta(days=1))))
+    return kept.where(F.col("created_date").between(F.lit(a), F.lit(b))) if "created_date" in repos.columns else kept
 
 
 def repo_dependencies(repo_tree: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nbquarry import constants as K
 from nbquarry.functions import documents as D
-from nbquarry.functions.coerce import blank_to_null
+from nbquarry.functions.coerce import BLANKS, blank_to_null
 from nbquarry.functions.names import log_tail, round_elapsed
 from nbquarry.operators.joins import left_join_unique
 
@@ -23,7 +23,7 @@ def resolve_kernel(df: DataFrame, known: Iterable[str] | DataFrame, spread_by: l
     ``known`` is a list of names, or a table with a ``name`` column of any size (then ``spread_by`` names the columns
     that tell rows apart).
     """
-    asked = F.trim(F.coalesce(blank_to_null(F.col("kernel_name")), F.lit(K.DEFAULT_KERNEL)))
+    asked = F.btrim(F.coalesce(blank_to_null(F.col("kernel_name")), F.lit(K.DEFAULT_KERNEL)), F.lit(BLANKS))
     if not isinstance(known, DataFrame):
         return df.withColumn("kernel_name", F.when(asked.isin(list(known)), asked).otherwise(F.lit(K.DEFAULT_KERNEL)))
     names = known.select(F.col("name").alias("_asked")).distinct().withColumn("_known", F.lit(True))
@@ -56,7 +56,7 @@ def normalize_outcome(parsed: DataFrame) -> DataFrame:
     )
     has_tail = ~ok & ~not_finished
     return parsed.withColumns({
-        "exec_ok": ok,
+        "exec_ok": F.coalesce(ok, F.lit(False)),
         "error": error,
         "exc_name": F.lit(None).cast("string"),
         "failed_cell_index": F.lit(None).cast("string"),

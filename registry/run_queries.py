@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nbquarry.functions import documents as D, names
 from nbquarry.operators import matching, outputs as O, repos, runs as R, summary as S
+from nbquarry.operators.filters import has_output_columns
 from nbquarry.plans.report import corpus_report
 from nbquarry.plans.run_table import run_table as build_run_table
 from registry import collection_queries as CQ, fixtures as X
@@ -116,6 +117,17 @@ def report(spark, sf):
     return long.withColumn("value", F.round("value", 6))
 
 
+@checked("require_columns", f"{_FX} select count(*) as n_runs, true as complete, false as without_hash {_SRC}")
+def require_columns(spark, sf):
+    """The guard of the output block: all six columns, or no block."""
+    runs = _runs(spark, sf)
+    counted = runs.agg(F.count(F.lit(1)).alias("n_runs"))
+    return counted.withColumns({
+        "complete": F.lit(has_output_columns(runs)),
+        "without_hash": F.lit(has_output_columns(runs.drop("outputs_hash_exec"))),
+    })
+
+
 # ---- error classes, comparison, work list ----
 
 @checked("classify_errors", f"""{_FX} select row_id,

@@ -51,6 +51,16 @@ def write_collection(spark, sf):
     return spark.read.parquet(path).select(*_FIELDS)
 
 
+@checked("filter_created_between_stored_by_date", f"""{_COLLECTION}
+select repo_full_name, file_path, cast(left(repo_created_at, 10) as date) as created_date from fx_collection
+where cast(left(repo_created_at, 10) as date) between date '2025-02-27' and date '2025-03-03'""")
+def stored_by_date(spark, sf):
+    path = scratch_path(spark, "collection")
+    T.write_collection_by_date(_collection(spark, sf), path)
+    kept = repos.filter_created_between(spark.read.parquet(path), "2025-02-27", "2025-03-03", "repo_created_at")
+    return kept.select("repo_full_name", "file_path", "created_date")
+
+
 _RUN_FIELDS = [
     "repo_full_name", "file_path", "exec_ok", "error", "elapsed_s", "original_found", "outputs_equal",
     "outputs_hash_orig", "n_outputs_orig", "n_outputs_exec",

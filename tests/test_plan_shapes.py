@@ -49,6 +49,11 @@ def test_date_filter_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan(entry.queries()["filter_created_between"](spark, SF))
 
 
+def test_date_filter_skips_folders(spark):
+    text = plan(entry.queries()["filter_created_between_stored_by_date"](spark, SF))
+    assert re.search(r"PartitionFilters: \[[^]]*created_date", text)
+
+
 @pytest.mark.parametrize("name", ["window_quota", "newest_per_range", "ranked_imports", "skips_middle"])
 def test_rank_limits_apply_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(entry.queries()[name](spark, SF))
