@@ -25,11 +25,8 @@ Rate = tuple[str, str, str]
 
 def rates(counts: DataFrame, entries: list[Rate]) -> DataFrame:
     """``(metric, n, of, pct)``, one row per rate."""
-    def entry(metric: str, part: str, whole: str) -> Column:
-        n, of = F.col(part), F.col(whole)
-        return F.struct(F.lit(metric).alias("metric"), n.alias("n"), of.alias("of"), pct(n, of).alias("pct"))
-
-    return counts.select(F.inline(F.array(*[entry(*e) for e in entries])))
+    rows = ", ".join(f"struct('{metric}' as metric, `{part}` as n, `{whole}` as `of`)" for metric, part, whole in entries)
+    return counts.selectExpr(f"inline(array({rows}))").withColumn("pct", pct(F.col("n"), F.col("of")))
 
 
 def _stack(df: DataFrame, values: dict[str, Column]) -> DataFrame:
