@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, simhash
+from nbquarry.llm import bpe, mixing, oracles, quality, simhash
+from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,15 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = stored(quality.features(_table(spark, sf_dir, "documents")).drop("text"))
+    judged = quality.judge(featured, stored(quality.limits(quality.sketches(featured))))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@_query("op1_mixing", oracles.OP1_MIXING)
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
