@@ -28,3 +28,28 @@ select d.doc_id, d.size, b.source_size, b.target,
   (b.epochs * d.size + greatest(0, least(d.size, floor((round(b.target) - b.epochs * b.source_size - r.before) / r.n))))::bigint as taken
 from docs d join budgets b using (name) join running r using (name, key)
 """
+
+OP7_URLS = r"""
+with u as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+rules(v, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'),
+  ('block', 'net', '/fr/'))
+select page_id, host, path, w.h || w.p as rule, coalesce(w.v, 'allow') as verdict
+from u left join lateral (
+  select * from rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  order by length(h) + length(p) desc, length(h) desc, v desc limit 1) w on true
+"""
+
+OP2_TOP_K = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e
+  from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
