@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, mixing, oracles, quality, simhash, topk, urls
+from nbquarry.llm import bpe, licenses, mixing, oracles, quality, simhash, topk, urls
 from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_top_k", oracles.OP2_TOP_K)
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f for f in licenses.FIELDS if f != "spans"])
