@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, licenses, mixing, oracles, quality, simhash, topk, urls
+from nbquarry.llm import bpe, ctw, licenses, mixing, oracles, quality, simhash, topk, urls
 from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[f for f in licenses.FIELDS if f != "spans"])
+
+
+@_query("op8_ctw")
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.score_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
