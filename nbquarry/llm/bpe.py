@@ -28,8 +28,12 @@ from nbquarry.llm.common import col
 
 # Bytes read beyond the lookahead before a piece is merged again.
 CHUNK = 4096
-# Pieces and words remembered by a worker, and the longest ones remembered.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+# Pieces and words that a worker remembers in each of two generations, and the longest ones remembered.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
+# Marks that are a piece of their own after letters.
+MARKS = frozenset(".,;:!?()")
+# Up to this many symbols, looking through all pairs is faster than a heap.
+SHORT = 64
 
 # White space of the vocabulary's own patterns (the White_Space property of Unicode).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,6 +52,32 @@ def byte_names() -> dict[int, str]:
     return names
 
 
+class Recent:
+    """What was used lately: when a generation is full, it becomes the older one, and the one before is dropped."""
+
+    def __init__(self, make):
+        self._make, self._new, self._old = make, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self._new.get, keys))
+        if None in found:
+            found = [self._find(k) if f is None else f for f, k in zip(found, keys)]
+        return found
+
+    def _find(self, key: str) -> bytes:
+        found = self._new.get(key)
+        if found is None:
+            found = self._old.get(key)
+            if found is None:
+                found = self._make(key)
+                if len(key) > REMEMBERED_LENGTH:
+                    return found
+            if len(self._new) >= REMEMBERED:
+                self._new, self._old = {}, self._new
+            self._new[key] = found
+        return found
+
+
 class Vocabulary:
     """A BPE vocabulary with byte-level symbols, as read from a tokenizer's JSON text."""
 
@@ -74,14 +104,19 @@ class Vocabulary:
         self.inner = [vocabulary[names[b]] for b in range(256)]
         self.final = [vocabulary[names[b] + self.suffix] for b in range(256)]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {}
+        self.ranks: dict[int, int] = {}
         for rank, (a, b) in enumerate(pairs):
-            self.merges.setdefault((vocabulary[a], vocabulary[b]), (rank, vocabulary[a + b]))
+            self.ranks.setdefault(vocabulary[a] << 32 | vocabulary[b], rank)
+        self.merged = [vocabulary[a + b] for a, b in pairs]
         values = {n: b for b, n in names.items()}
         self._values = values
         self._strings = [self._symbols(a) + self._symbols(b) for a, b in pairs]
         self.lookahead = sufficient_lookahead(self._strings)
-        self._words: dict[str, tuple[bytes, int]] = {}
+        self.size = {vocabulary[a + b]: len(s) for (a, b), s in zip(pairs, self._strings)} | dict.fromkeys(self.inner + self.final, 1)
+        # Whether a run of letters is always one piece.
+        self._letters = r"|[\p{L}]+|" in split["pattern"]["Regex"]
+        self._pieces = Recent(lambda piece: _packed(list(self.piece(piece.encode()))))
+        self._words = Recent(self._word)
 
     @staticmethod
     def _require(holds: bool, part: str) -> None:
@@ -102,35 +137,49 @@ class Vocabulary:
         ends = bool(self.suffix) and text.endswith(self.suffix)
         return bytes(self._values[c] for c in (text[: -len(self.suffix)] if ends else text)), ends
 
-    def merge(self, symbols: list[int]) -> list[tuple[int, int]]:
-        """``(token, bytes)`` of a run of symbols: the merge that comes first in the list, leftmost first."""
-        n = len(symbols)
-        token, size = list(symbols), [1] * n
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        merges = self.merges
-        heap = [(*merges[p], i) for i, p in enumerate(zip(token, token[1:])) if p in merges]
-        heap = [(rank, i, new, token[i], token[i + 1]) for rank, new, i in heap]
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Tokens of a run of symbols: the merge that comes first in the list, leftmost first."""
+        if len(symbols) > SHORT:
+            return self._merge_long(symbols)
+        token, get, none = list(symbols), self.ranks.get, len(self.merged)
+        ranks = [get(a << 32 | b, none) for a, b in zip(token, token[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
+                break
+            i = ranks.index(rank)
+            token[i] = new = self.merged[rank]
+            del token[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(new << 32 | token[i + 1], none)
+            if i:
+                ranks[i - 1] = get(token[i - 1] << 32 | new, none)
+        return token
+
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between neighbours."""
+        n, get, gone = len(symbols), self.ranks.get, -1
+        token, before, after = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rank, i) for i, (a, b) in enumerate(zip(token, token[1:])) if (rank := get(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if not size[i] or token[i] != a or j >= n or token[j] != b:
+            # A pair that has changed since is another pair, with its own entry.
+            if token[i] == gone or j >= n or get(token[i] << 32 | token[j]) != rank:
                 continue
-            token[i], size[i], size[j] = new, size[i] + size[j], 0
-            token[j] = -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (found := merges.get((new, token[k]))):
-                    heapq.heappush(heap, (found[0], i, found[1], new, token[k]))
-            h = before[i]
-            if h >= 0 and (found := merges.get((token[h], new))):
-                heapq.heappush(heap, (found[0], h, found[1], token[h], new))
-        return [(t, s) for t, s in zip(token, size) if s]
+            token[i], token[j] = self.merged[rank], gone
+            after[i] = after[j]
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n:
+                    before[right] = left
+                    if (found := get(token[left] << 32 | token[right])) is not None:
+                        heapq.heappush(heap, (found, left))
+        return [t for t in token if t != gone]
 
     def piece(self, data: bytes, chunk: int = CHUNK) -> Iterator[int]:
         """Tokens of one piece, of which at most ``lookahead + chunk`` bytes are held at a time."""
-        start, end, inner = 0, 0, self.inner
+        end, inner = 0, self.inner
         held: list[int] = []
         while True:
             if end < len(data):
@@ -139,53 +188,55 @@ class Vocabulary:
                 held += [inner[b] for b in more]
             if end == len(data):
                 held[-1] = self.final[data[-1]]
-                yield from (t for t, _ in self.merge(held))
+                yield from self.merge(held)
                 return
             stable = len(held) - self.lookahead
             done = 0
-            for token, size in self.merge(held):
-                if done + size > stable:
+            for token in self.merge(held):
+                if done + self.size[token] > stable:
                     break
-                done += size
+                done += self.size[token]
                 yield token
             held = held[done:]
-            start += done
             if not done:  # one token is longer than the chunk: read on
                 chunk *= 2
 
-    def word(self, text: str) -> Iterator[int]:
-        """Tokens of a run of text without white space."""
+    def _word(self, text: str) -> bytes:
+        """The ids of a run of text without white space."""
+        whole = _normal(text)
+        if self._letters and whole.isalpha():  # one piece
+            return self._pieces.all([whole])[0]
         parts = self._special.split(text) if self._special else [text]
+        out = []
         for part in parts:
             if part in self.special:
-                yield self.special[part]
+                out.append(_packed([self.special[part]]))
             elif part:
-                for piece in self.pieces(_lower(unicodedata.normalize("NFC", part))):
-                    yield from self.piece(piece.encode())
+                part = _normal(part)
+                # Letters and one mark after them, the most common case, need no pattern.
+                ends = self._letters and part[:-1].isalpha() and part[-1] in MARKS
+                out += self._pieces.all([part[:-1], part[-1]] if ends else self.pieces(part))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, as little-endian unsigned 32-bit integers."""
         words = _WHITE_RUN.split(text) if _SEPARATORS.search(text) else text.split()
-        known, out = self._words, []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                tokens = list(self.word(word))
-                ids = struct.pack(f"<{len(tokens)}I", *tokens)
-                if len(word) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(self._words.all(words))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _listed(part: dict | None, key: str) -> list[dict]:
     return [] if part is None else part.get(key, [part])
 
 
-def _lower(text: str) -> str:
-    """Lower case letter by letter: a sigma at the end of a word is like any other."""
+def _normal(text: str) -> str:
+    """Composed and in lower case, letter by letter: a sigma at the end of a word is like any other."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
