@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, ctw, licenses, mixing, oracles, quality, simhash, topk, urls
+from nbquarry.llm import bpe, ctw, html, licenses, mixing, oracles, quality, simhash, topk, urls
 from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ctw.score_documents(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@_query("op4_html")
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
