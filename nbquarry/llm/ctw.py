@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nbquarry.llm.common import col, stored
 
@@ -127,14 +127,13 @@ def _node(byte: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
     return (byte | np.uint64(256)) >> np.uint64(8 - bit), (byte >> np.uint64(7 - bit)) & np.uint64(1)
 
 
-def _subtree(runs: np.ndarray, counts: np.ndarray, depth: int) -> list[list[dict]]:
+def _subtree(runs: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[list[dict]]:
     """For each bit of the byte predicted: the nodes of depths 2 to ``depth`` of the subtree that holds ``runs``.
 
     A node has its counts, the logarithm of its weighted probability, the weight of its own estimate, and ``at``: which
     node each run belongs to.
     """
     byte, context = runs & np.uint64(255), runs >> np.uint64(8)
-    levels = []
     for bit in range(8):
         prefix, value = _node(byte, bit)
         nodes: list[dict] = []
@@ -153,8 +152,7 @@ def _subtree(runs: np.ndarray, counts: np.ndarray, depth: int) -> list[list[dict
                 children = np.bincount(node["at"][deeper["first"]], deeper["log_w"], minlength=len(node["zeros"]))
                 node["log_w"] = np.logaddexp(node["log_kt"], children) - math.log(2)
                 node["own"] = np.exp(node["log_kt"] - math.log(2) - node["log_w"])
-        levels.append(nodes)
-    return levels
+        yield nodes
 
 
 def _upper_sums(table: pa.Table, depth: int) -> pa.Table:
@@ -218,9 +216,11 @@ def _score(docs: pa.Table, model: pa.Table, depth: int, total: int, distinct: in
     of_words = model.filter(pa.compute.is_valid(model.column("word")))
     lookup = pd.Index(of_runs.column("run").to_numpy())
     values = of_runs.column("value").to_numpy()
-    known = dict(zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist()))
-    logs = {w: math.log10((c + ADDED) / (total + ADDED * (distinct + 1))) for w, c in known.items()}
-    seen = {w for w, c in known.items() if c}
+    counts = of_words.column("value").to_numpy()
+    words = of_words.column("word").to_pylist()
+    logs = dict(zip(words, np.log10((counts + ADDED) / (total + ADDED * (distinct + 1))).tolist()))
+    unseen = {words[i] for i in np.flatnonzero(counts == 0)}
+    del words
     score, base, n_tokens, n_known, n_bytes = [], [], [], [], []
     for _, texts in _chunks(docs.column("text")):
         joined = [b" ".join(t) for t in texts]
@@ -230,7 +230,7 @@ def _score(docs: pa.Table, model: pa.Table, depth: int, total: int, distinct: in
             t.append(b"")
             base.append(math.fsum(map(logs.__getitem__, t)))
             n_tokens.append(len(t))
-            n_known.append(sum(map(seen.__contains__, t)))
+            n_known.append(len(t) - sum(map(unseen.__contains__, t)))
             n_bytes.append(len(whole) + 1)
     scores = np.concatenate(score)
     return pa.table({
@@ -263,8 +263,13 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", dep
     needs = stored(dealt.groupBy("block").applyInArrow(lambda t: _count(t, depth), "block long, run long, word binary, n long"))
 
     runs = stored(needs.where("run is not null").groupBy("run").agg(F.sum("n").alias("n")))
-    words = stored(needs.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    # A word has one row for each block that has it, at most.
+    same = Window.partitionBy("word")
+    words = stored(needs.where("word is not null").select(
+        "block", "word", F.sum("n").over(same).alias("n"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
+    ))
+    once = words.where("first and n > 0")
+    total, distinct = once.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
     subtree = F.shiftright("run", 8).bitwiseAND(0xFFFF)
     sums = runs.groupBy(subtree).applyInArrow(
@@ -275,7 +280,7 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", dep
     predicted = runs.groupBy(subtree).applyInArrow(lambda t: _predict(t, depth, upper), "run long, value double")
 
     given = needs.where("run is not null").select("block", "run").join(predicted, "run").select("block", "run", F.lit(None).cast("binary").alias("word"), "value")
-    given_words = needs.where("word is not null").select("block", "word").join(words, "word").select(
+    given_words = words.select(
         "block", F.lit(None).cast("long").alias("run"), "word", F.col("n").cast("double").alias("value")
     )
     model = given.unionByName(given_words)
