@@ -1,22 +1,56 @@
-"""From raw documents to token ids: quality rules, near duplicates, mixing, encoding."""
+"""From raw documents to token ids: quality rules, near duplicates, mixing of sources, encoding.
+
+Each stage takes the documents that the one before has kept; ``run`` writes them in between, so that a stage reads a
+table, and a lost executor costs no more than its share of one stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from nbquarry.llm import bpe, mixing, quality, simhash
+from nbquarry.llm.common import stored
 
-from nbquarry.llm import simhash
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep."""
+    return quality.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; the last one of a source may be cut, and its ``n_chars`` follows."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else mixed
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document as little-endian unsigned 32-bit integers, and the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    return coded.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("mixing", mix_sources),
+    ("token ids", encode_tokens),
+]
+
+# SQL has neither fingerprints nor merges; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs)
     return docs

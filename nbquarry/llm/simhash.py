@@ -15,7 +15,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from nbquarry.llm.common import col, free_name, stored
 from nbquarry.operators.joins import left_join_unique
@@ -24,11 +24,19 @@ DISTANCE = 4
 BLOCKS = 7
 SHINGLE = 4
 SEED = 42
+# Finding texts with a similarity of five-word shingles of 0.8 or more. Such texts differ in some 15 % of the bits of those
+# shingles' fingerprint, and in some 9 % of that of word pairs, so a band of 24 bits agrees for one pair in ten.
+WORDS, PAIR = 5, 2
+BITS, SIMILAR_BITS = 256, 48
+BANDS, BAND_BITS = 32, 24
 # Fingerprints of one key that one task holds at a time.
 RUN_ROWS = 1 << 15
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
+# Odd numbers that make many hashes of one: powers of a fixed multiplier.
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range((BANDS * BAND_BITS + BITS) // 64)], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -65,8 +73,12 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
     return docs.withColumn(name, of(col(text)))
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
-    """Pairs of ``fps`` (distinct, uint64) that span the graph of all links between them.
+    """Pairs of rows of ``fps`` (uint64) that span the graph of all links between them.
 
     A search from member to member compares each with those not reached so far: a tight group is reached at once, and
     costs little more than its size.
@@ -78,7 +90,7 @@ def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
         ids, rest = ids[1:], rest[1:]
         while to_visit and len(ids):
             i, at = to_visit.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = _distance(rest, at) <= distance
             if near.any():
                 found = ids[near]
                 left.append(np.full(len(found), i))
@@ -90,106 +102,102 @@ def _forest(fps: np.ndarray, distance: int) -> np.ndarray:
     return np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
 
 
-def _links(fps: np.ndarray, distance: int) -> pa.RecordBatch | None:
-    forest = _forest(fps, distance)
-    if not len(forest):
-        return None
-    ends = np.sort(fps.view(np.int64)[forest], axis=1)
-    return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64())], ["a", "b", "part"])
-
-
-def _pairs_of_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> Iterator[pa.RecordBatch]:
-    """Links within each run of equal keys. Short runs are compared all at once, by the gap between two positions."""
+def _pairs_of_runs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
+    """Links within each run of equal keys, as pairs of nodes. Short runs are compared all at once, by the gap between two positions."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     short = lengths <= 4
     in_short = np.repeat(short, lengths)
-    left, right = [], []
+    found = [np.empty((0, 2), dtype=np.int64)]
     for gap in range(1, int(lengths[short].max(initial=1))):
         at = np.flatnonzero((keys[gap:] == keys[:-gap]) & in_short[gap:])
-        at = at[np.bitwise_count(fps[at] ^ fps[at + gap]) <= distance]
-        left.append(at)
-        right.append(at + gap)
-    if left and sum(map(len, left)):
-        ends = np.sort(fps.view(np.int64)[np.stack([np.concatenate(left), np.concatenate(right)], axis=1)], axis=1)
-        ends = np.unique(ends, axis=0)
-        yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.nulls(len(ends), pa.int64())], ["a", "b", "part"])
+        at = at[_distance(fps[at], fps[at + gap]) <= distance]
+        found.append(nodes[np.stack([at, at + gap], axis=1)])
     for start, length in zip(starts[~short], lengths[~short]):
-        if (found := _links(fps[start:start + length], distance)) is not None:
-            yield found
+        found.append(nodes[start + _forest(fps[start:start + length], distance)])
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Links ``(a, b)``, a < b, between the distinct longs ``fp`` that differ in at most ``distance`` bits.
+def links(keyed: DataFrame, distance: int, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Links ``(a, b)``, a < b, between the nodes of ``(keys, node, bits)`` that share a key and differ in at most ``distance`` bits.
 
-    Not every such pair is listed, but every such pair is connected by listed ones. ``blocks`` must exceed ``distance``;
-    more blocks give longer keys, hence fewer chance meetings, and more keys for each fingerprint.
+    ``keys`` is an array of longs, ``node`` a long that stands for one fingerprint, ``bits`` the fingerprint as a struct of longs.
+    Not every such pair is listed, but every such pair is connected by listed ones.
     """
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [
-        np.array([sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)], dtype=np.uint64).view(np.int64)[0].item()
-        for chosen in combinations(range(blocks), blocks - distance)
-    ]
-    keyed = fps.select(
-        F.explode(F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(t)) for t, m in enumerate(masks)])).alias("key"), "fp"
-    )
+    words = keyed.schema["bits"].dataType.names
+    bits = ", ".join(f"{w} long" for w in words)
+    flat = keyed.select(F.explode("keys").alias("key"), "node", *[F.col("bits")[w].alias(w) for w in words])
 
     def within_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held, long_key, passed = np.empty(0, np.int64), np.empty(0, np.uint64), None, 0
+        def table(ends: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(ends), pa.int64())
+            return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1]), none, *[none] * len(words)], ["a", "b", "part", *words])
 
-        def pending(key, members, passed):
-            parts = (passed + np.arange(len(members))) // run_rows
-            return pa.record_batch([pa.array(np.full(len(members), key)), pa.array(members.view(np.int64)), pa.array(parts)], ["a", "b", "part"])
+        def pending(key: int, nodes: np.ndarray, fps: np.ndarray, passed: int) -> pa.RecordBatch:
+            parts = (passed + np.arange(len(nodes))) // run_rows
+            columns = [np.full(len(nodes), key), nodes, parts, *fps.view(np.int64).T]
+            return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], ["a", "b", "part", *words])
 
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(words)), np.uint64))
+        long_key, passed = None, 0
         for batch in batches:
-            keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-            members = np.concatenate([held, batch.column(1).to_numpy().view(np.uint64)])
+            columns = [c.to_numpy() for c in batch.columns]
+            new = (columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64))
+            keys, nodes, fps = (np.concatenate(x) for x in zip(held, new))
             if not len(keys):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            done_keys, done = keys[:last], members[:last]
+            last, first = int(np.searchsorted(keys, keys[-1])), 0
             if long_key is not None:  # a run too long to hold goes on: pass it through with part numbers
-                end = int(np.searchsorted(keys, long_key, side="right"))
-                if end:
-                    yield pending(long_key, members[:end], passed)
-                    passed += end
-                if end == len(keys):
-                    held_keys, held = keys[:0], members[:0]
+                first = int(np.searchsorted(keys, long_key, side="right"))
+                if first:
+                    yield pending(long_key, nodes[:first], fps[:first], passed)
+                    passed += first
+                if first == len(keys):
+                    held = (keys[:0], nodes[:0], fps[:0])
                     continue
-                done_keys, done = keys[end:last], members[end:last]
-                long_key, passed = None, 0
-            if len(done_keys):
-                yield from _pairs_of_runs(done_keys, done, distance)
-            held_keys, held = keys[last:], members[last:]
-            if len(held) > run_rows:
-                long_key = int(held_keys[0])
-                yield pending(long_key, held, 0)
-                passed = len(held)
-                held_keys, held = held_keys[:0], held[:0]
-        if len(held):
-            yield from _pairs_of_runs(held_keys, held, distance)
+                long_key, passed, last = None, 0, max(last, first)
+            if last > first:
+                yield table(_pairs_of_runs(keys[first:last], nodes[first:last], fps[first:last], distance))
+            held = (keys[last:], nodes[last:], fps[last:])
+            if len(held[0]) > run_rows:
+                long_key = int(held[0][0])
+                yield pending(long_key, held[1], held[2], 0)
+                passed, held = len(held[0]), (keys[:0], nodes[:0], fps[:0])
+        if len(held[0]):
+            yield table(_pairs_of_runs(*held, distance))
 
     found = stored(
-        keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(within_runs, "a long, b long, part long")
+        flat.repartition("key").sortWithinPartitions("key", "node").mapInArrow(within_runs, f"a long, b long, part long, {bits}")
     )
     # Long runs: one task for each pair of parts of a key.
-    pending = found.where("part is not null").select(F.col("a").alias("key"), F.col("b").alias("fp"), "part")
-    counts = pending.groupBy("key").agg((F.max("part") + 1).alias("parts"))
-    spread = pending.join(counts, "key").select(
-        "key", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "part"
-    ).select("key", "fp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-    def within_parts(table: pa.Table) -> pa.Table:
-        members = np.unique(table.column("fp").to_numpy()).view(np.uint64)
-        found = _links(members, distance)
-        if found is None:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return pa.Table.from_batches([found.select(["a", "b"])])
+    waiting = found.where("part is not null").withColumnsRenamed({"a": "key", "b": "node"})
+    counts = waiting.groupBy("key").agg((F.max("part") + 1).alias("parts"))
+    spread = waiting.join(counts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    spread = spread.select("key", "node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *words)
+
+    def within_parts(members: pa.Table) -> pa.Table:
+        nodes, first = np.unique(members.column("node").to_numpy(), return_index=True)
+        fps = np.stack([members.column(w).to_numpy()[first] for w in words], axis=1).view(np.uint64)
+        ends = np.sort(nodes[_forest(fps, distance)], axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     across = spread.groupBy("key", "i", "j").applyInArrow(within_parts, "a long, b long")
     return found.where("part is null").select("a", "b").unionByName(across).distinct()
 
 
+def block_keys(fp: Column, distance: int, blocks: int) -> Column:
+    """The keys under which a fingerprint meets every other that differs in at most ``distance`` bits.
+
+    ``blocks`` must exceed ``distance``; more blocks give longer keys, hence fewer chance meetings, and more keys.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [
+        sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)
+    ]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.xxhash64(fp.bitwiseAND(F.lit(m)), F.lit(t)) for t, m in enumerate(signed)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of the edges ``(a, b)``; the root is the smallest node of its component.
 
@@ -241,31 +249,64 @@ def near_duplicates(
 def component_ids(marked: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """``(fp, root, component_id)`` for the fingerprints of a stored table with ``doc_id`` and ``fp``."""
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(nodes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
+    keyed = nodes.select(block_keys(F.col("fp"), distance, blocks).alias("keys"), F.col("fp").alias("node"), F.struct("fp").alias("bits"))
+    roots = components(links(keyed, distance)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return stored(left_join_unique(rooted, ids, ["root"], ["fp"]).select("fp", "root", "component_id"))
 
 
-def keep_one(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS,
-    shingle: int = SHINGLE,
-) -> DataFrame:
+def signatures(text: str | None) -> tuple[list[int], list[int]]:
+    """``(bands, bits)``: keys from a long fingerprint of word pairs, and a fingerprint of five-word shingles.
+
+    Both are of sets of shingles, lower-cased in A-Z, and have zeros only without words.
+    """
+    def fingerprint(shingle: int, multipliers: np.ndarray) -> np.ndarray:
+        hashes = np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
+        if not len(hashes):
+            return np.zeros(64 * len(multipliers), np.uint8)
+        mixed = hashes * multipliers[:, None]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX
+        lanes = (mixed ^ mixed >> np.uint64(29)).view(np.uint8).reshape(len(multipliers), -1, 8).astype(np.int64)
+        lanes += (np.arange(len(multipliers) * 8) * 256).reshape(-1, 1, 8)
+        ones = np.bincount(lanes.ravel(), minlength=len(multipliers) * 2048).reshape(-1, 256).astype(np.float32) @ _BITS.astype(np.float32)
+        return (2 * ones.ravel() > len(hashes)).astype(np.uint8)
+
+    bands = fingerprint(PAIR, _MULTIPLIERS[:BANDS * BAND_BITS // 64]).reshape(BANDS, BAND_BITS)
+    numbers = bands @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (np.arange(BANDS) << BAND_BITS)
+    bits = np.packbits(fingerprint(WORDS, _MULTIPLIERS[-BITS // 64:]), bitorder="little").view("<i8")
+    return numbers.tolist(), bits.tolist()
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = SIMILAR_BITS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id.
 
-    Of rows that share that id, the one with the smallest hash of its text stays, and of equal rows one. NULL ids come
-    after all others. Only hashes and ids take part in the search; whole rows are shuffled once, to meet the survivors.
+    Documents are near duplicates if their sets of five-word shingles have a similarity of about 0.8 or more: the Hamming
+    distance between fingerprints of ``BITS`` bits tells, at most ``distance``. Candidates meet under the bands of a longer
+    fingerprint of word pairs, which an edit changes less. Of rows that share the smallest id, the one with the smallest
+    hash of its text stays, and of equal rows one. NULL ids come after all others. NULL and empty texts are copies of each
+    other. Only signatures and ids take part in the search; whole rows are shuffled once, to meet the survivors.
     """
+    @F.arrow_udf("bands array<long>, bits array<long>")
+    def sign(texts: pa.Array) -> pa.Array:
+        both = [signatures(t.as_py()) for t in texts]
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in both], kind) for i in (0, 1)], ["bands", "bits"])
+
     hashed, number, missing = (free_name(docs, n) for n in ("text_hash", "id_number", "id_missing"))
     keyed = docs.withColumns({
         hashed: F.xxhash64(F.coalesce(col(text), F.lit(""))), number: F.coalesce(col(id), F.lit(0)), missing: col(id).isNull(),
     })
     thin = keyed.select(
-        col(id).alias("doc_id"), col(text).alias("_text"), col(hashed).alias("h"), col(number).alias("n"), col(missing).alias("m"),
+        sign(col(text)).alias("s"), col(hashed).alias("h"), col(number).alias("n"), col(missing).alias("m"),
     )
-    marked = stored(with_fingerprint(thin, "_text", shingle=shingle).drop("_text"))
-    members = left_join_unique(marked, component_ids(marked, distance, blocks), ["fp"], ["doc_id", "h"])
-    best = members.groupBy("root").agg(F.min(F.struct("m", "n", "h")).alias("best"))
-    best = stored(best.select(F.col("best.h").alias(hashed), F.col("best.n").alias(number), F.col("best.m").alias(missing)))
+    marked = stored(thin.select(F.xxhash64("s").alias("node"), "s.bands", "s.bits", "h", "n", "m"))
+    words = F.struct(*[F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)])
+    nodes = stored(marked.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"), F.min(F.struct("m", "n", "h")).alias("least")))
+    found = links(nodes.select(F.col("bands").alias("keys"), "node", words.alias("bits")), distance)
+    rooted = nodes.select("node", "least").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = stored(rooted.groupBy("root").agg(F.min("least").alias("best")).select(
+        F.col("best.h").alias(hashed), F.col("best.n").alias(number), F.col("best.m").alias(missing)
+    ))
     keys = [hashed, number, missing]
     return keyed.join(best, keys, "left_semi").dropDuplicates(keys).select(*[col(c) for c in docs.columns])

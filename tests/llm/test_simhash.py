@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from nbquarry.llm import simhash
 
@@ -46,7 +47,9 @@ def chain(rng, n):
 def test_links_connect_what_all_pairs_connect(spark, run_rows):
     fps = sorted(set(chain(random.Random(1), 400)))
     rows = [(int(np.uint64(f).astype(np.int64)),) for f in fps]
-    edges = simhash.links(spark.createDataFrame(rows, "fp long"), run_rows=run_rows).collect()
+    fp = F.col("fp")
+    keyed = spark.createDataFrame(rows, "fp long").select(simhash.block_keys(fp, 4, 7).alias("keys"), fp.alias("node"), F.struct("fp").alias("bits"))
+    edges = simhash.links(keyed, 4, run_rows=run_rows).collect()
     number = {f[0]: i for i, f in enumerate(rows)}
     label = list(range(len(fps)))
     for e in edges:
@@ -89,9 +92,37 @@ def test_documents(spark):
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in found), key=key) == sorted(expected, key=key)
 
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(4)
+    rows, group = [], {}
+    common = " ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(60))
+    for g in range(40):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(200)]
+        for c in range(4):
+            copy = list(words)
+            for _ in range(c):
+                copy[rng.randrange(200)] = "y" + str(rng.randrange(900))
+            rows.append((1000 - 10 * g - c, " ".join(copy) if g % 4 else " ".join(copy) + " " + common))
+            group[rows[-1][0]] = g
+    for i, (_, text) in enumerate(rows):
+        s, t = shingles(text), shingles(rows[i - i % 4][1])
+        assert len(s & t) / len(s | t) >= 0.8
+    odd = [(5, None), (6, ""), (None, " "), (7, "z " * 100_000), (8, "one"), (9, "one"), (9, "two"), (9, "two"), (None, "three")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows + odd], "doc_id long, text string, node int, root string, text_hash int")
     kept = simhash.keep_one(docs).collect()
-    assert len(kept) == len(set(label)) and set(kept[0].asDict()) == set(docs.columns)
-    assert {r.doc_id for r in kept} == set(ids.values())
+    assert kept[0].asDict().keys() == set(docs.columns)
+    assert sorted(((r.doc_id, r.text) for r in kept if r.doc_id not in group), key=str) == sorted(
+        [(5, None), (7, "z " * 100_000), (8, "one"), (9, "two"), (None, "three")], key=str
+    )
+    least = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    left = [r.doc_id for r in kept if r.doc_id in group]
+    assert set(least.values()) <= set(left) and len(left) <= 42
 
 
 def test_empty_table(spark):
