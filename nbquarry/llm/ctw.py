@@ -11,18 +11,20 @@ Texts are dealt into blocks of bounded size. A block gives its distinct runs of
 over blocks these hold every context. The tree is cut below its first two levels: subtrees, one for each pair of last
 bytes, are weighed in separate tasks, and only sums for the two upper levels, at most 256 * 255 rows, come to the
 driver. Each run gets its probability there, and runs return to the blocks that asked for them: no task ever holds
-more of the model than its own block needs.
+more of the model than its own block needs. Counts of words, for the base score, go the same way; words are told apart
+by 63-bit hashes, of which two among a billion distinct words are equal with a chance of one in twenty.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nbquarry.llm.common import col, stored
@@ -75,39 +77,42 @@ def _chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield first, held
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    runs, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return [(runs, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64))]
+def _hashed(texts: list[list[bytes]]) -> np.ndarray:
+    """Keys of the words of some texts, each text followed by its end, the empty word: negative numbers, unlike runs."""
+    whole = chain.from_iterable(chain(t, (b"",)) for t in texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, whole), np.uint64)
+    return -1 - (hashes >> np.uint64(1)).astype(np.int64)
+
+
+class _Counts:
+    """Distinct keys with counts, kept sorted and merged now and then."""
+
+    def __init__(self):
+        self._parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, learned: np.ndarray) -> None:
+        found, at = np.unique(keys, return_inverse=True)
+        self._parts.append((found, np.bincount(at, learned, minlength=len(found)).astype(np.int64)))
+        if sum(len(p[0]) for p in self._parts) > 1 << 21:
+            self._parts = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([p[0] for p in self._parts]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([p[1] for p in self._parts])).astype(np.int64)
 
 
 def _count(table: pa.Table, depth: int) -> pa.Table:
-    """What a block needs of the model: its runs and words, each with its count in the block's training texts."""
+    """What a block needs of the model: keys of its runs and words, each with its count in the block's training texts."""
     train = table.column("train").to_numpy(zero_copy_only=False)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    words: Counter = Counter()
+    counts = _Counts()
     for first, texts in _chunks(table.column("text")):
-        sizes = np.array([sum(map(len, t)) + max(len(t) - 1, 0) + 1 for t in texts])
-        runs, _ = _runs([b" ".join(t) for t in texts], depth)
         learned = train[first:first + len(texts)]
-        found, at = np.unique(runs, return_inverse=True)
-        parts.append((found, np.bincount(at, np.repeat(learned, sizes), minlength=len(found)).astype(np.int64)))
-        if sum(len(p[0]) for p in parts) > 1 << 22:
-            parts = _merge(parts)
-        for t, learn in zip(texts, learned):
-            if learn:
-                words.update(t)
-                words[b""] += 1
-            else:
-                words.update(dict.fromkeys(t, 0))
-                words[b""] += 0
-    runs, counts = _merge(parts)[0]
-    n, m = len(runs), len(words)
-    return pa.table({
-        "block": pa.array(np.full(n + m, table.column("block")[0].as_py()), pa.int64()),
-        "run": pa.concat_arrays([pa.array(runs.view(np.int64)), pa.nulls(m, pa.int64())]),
-        "word": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(words), pa.binary())]),
-        "n": pa.concat_arrays([pa.array(counts), pa.array(list(words.values()), pa.int64())]),
-    })
+        joined = [b" ".join(t) for t in texts]
+        runs, _ = _runs(joined, depth)
+        counts.add(runs.view(np.int64), np.repeat(learned, [len(j) + 1 for j in joined]))
+        counts.add(_hashed(texts), np.repeat(learned, [len(t) + 1 for t in texts]))
+    keys, n = counts.merged()
+    return pa.table({"block": np.full(len(keys), table.column("block")[0].as_py()), "key": keys, "n": n})
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -212,32 +217,28 @@ def _upper(rows: list) -> dict[str, np.ndarray]:
 
 def _score(docs: pa.Table, model: pa.Table, depth: int, total: int, distinct: int) -> pa.Table:
     """Scores of a block's texts from what the block was given of the model."""
-    of_runs = model.filter(pa.compute.is_valid(model.column("run")))
-    of_words = model.filter(pa.compute.is_valid(model.column("word")))
-    lookup = pd.Index(of_runs.column("run").to_numpy())
-    values = of_runs.column("value").to_numpy()
-    counts = of_words.column("value").to_numpy()
-    words = of_words.column("word").to_pylist()
-    logs = dict(zip(words, np.log10((counts + ADDED) / (total + ADDED * (distinct + 1))).tolist()))
-    unseen = {words[i] for i in np.flatnonzero(counts == 0)}
-    del words
+    order = np.argsort(model.column("key").to_numpy())
+    keys, values = model.column("key").to_numpy()[order], model.column("value").to_numpy()[order]
+    words = int(np.searchsorted(keys, 0))
+    of_runs, of_words = pd.Index(keys[words:]), pd.Index(keys[:words])
+    run_values, counts = values[words:], values[:words]
+    logs = np.log10((counts + ADDED) / (total + ADDED * (distinct + 1)))
     score, base, n_tokens, n_known, n_bytes = [], [], [], [], []
     for _, texts in _chunks(docs.column("text")):
         joined = [b" ".join(t) for t in texts]
         runs, starts = _runs(joined, depth)
-        score.append(np.add.reduceat(values[lookup.get_indexer(runs.view(np.int64))], starts))
-        for t, whole in zip(texts, joined):
-            t.append(b"")
-            base.append(math.fsum(map(logs.__getitem__, t)))
-            n_tokens.append(len(t))
-            n_known.append(len(t) - sum(map(unseen.__contains__, t)))
-            n_bytes.append(len(whole) + 1)
+        score.append(np.add.reduceat(run_values[of_runs.get_indexer(runs.view(np.int64))], starts))
+        sizes = np.array([len(t) + 1 for t in texts])
+        at, starts = of_words.get_indexer(_hashed(texts)), np.r_[0, np.cumsum(sizes)[:-1]]
+        base.append(np.add.reduceat(logs[at], starts))
+        n_known.append(np.add.reduceat((counts[at] > 0).astype(np.int64), starts))
+        n_tokens.append(sizes)
+        n_bytes += [len(j) + 1 for j in joined]
     scores = np.concatenate(score)
     return pa.table({
-        "doc_id": docs.column("doc_id"), "held_out": pa.compute.invert(docs.column("train")), "n_tokens": pa.array(n_tokens, pa.int64()),
-        "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(docs), pa.int64()),
-        "base_score": pa.array(base, pa.float64()), "score": pa.array(scores),
-        "bits_per_byte": pa.array(-scores / math.log10(2) / np.array(n_bytes)),
+        "doc_id": docs.column("doc_id"), "held_out": pa.compute.invert(docs.column("train")), "n_tokens": np.concatenate(n_tokens),
+        "n_known": np.concatenate(n_known), "train_tokens": np.full(len(docs), total), "base_score": np.concatenate(base), "score": scores,
+        "bits_per_byte": -scores / math.log10(2) / np.array(n_bytes),
     })
 
 
@@ -254,23 +255,23 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", dep
     learned from. NULL and empty texts consist of their end alone. Repeated rows are documents of their own. Without
     training texts each bit has probability 1/2. An empty table gives an empty result.
     """
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be between 2 and 7")
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be between 2 and 6")
     plain = docs.select(col(id).alias("doc_id"), col(text).alias("text"), training(col(id)).alias("train"))
     size = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
     blocks = max(1, -(-size // block_bytes))
     dealt = plain.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    needs = stored(dealt.groupBy("block").applyInArrow(lambda t: _count(t, depth), "block long, run long, word binary, n long"))
+    needs = stored(dealt.groupBy("block").applyInArrow(lambda t: _count(t, depth), "block long, key long, n long"))
 
-    runs = stored(needs.where("run is not null").groupBy("run").agg(F.sum("n").alias("n")))
     # A word has one row for each block that has it, at most.
-    same = Window.partitionBy("word")
-    words = stored(needs.where("word is not null").select(
-        "block", "word", F.sum("n").over(same).alias("n"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
+    same = Window.partitionBy("key")
+    words = stored(needs.where("key < 0").select(
+        "block", "key", F.sum("n").over(same).alias("n"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")
     ))
-    once = words.where("first and n > 0")
-    total, distinct = once.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct = words.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
+    asked = needs.where("key >= 0").select("block", F.col("key").alias("run"), "n")
+    runs = stored(asked.groupBy("run").agg(F.sum("n").alias("n")))
     subtree = F.shiftright("run", 8).bitwiseAND(0xFFFF)
     sums = runs.groupBy(subtree).applyInArrow(
         lambda t: _upper_sums(t, depth), "last long, node long, zeros long, ones long, log_w double"
@@ -279,10 +280,8 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", dep
     upper = _upper(sums.collect())
     predicted = runs.groupBy(subtree).applyInArrow(lambda t: _predict(t, depth, upper), "run long, value double")
 
-    given = needs.where("run is not null").select("block", "run").join(predicted, "run").select("block", "run", F.lit(None).cast("binary").alias("word"), "value")
-    given_words = words.select(
-        "block", F.lit(None).cast("long").alias("run"), "word", F.col("n").cast("double").alias("value")
-    )
-    model = given.unionByName(given_words)
+    # Single precision is enough for one byte, and packs better.
+    given = asked.select("block", "run").join(predicted, "run").select("block", F.col("run").alias("key"), F.col("value").cast("float").cast("double"))
+    model = given.unionByName(words.select("block", "key", F.col("n").cast("double").alias("value")))
     both = dealt.groupBy("block").cogroup(model.groupBy("block"))
     return both.applyInArrow(lambda texts, given: _score(texts, given, depth, total, distinct), SCHEMA)

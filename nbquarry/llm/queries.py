@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, ctw, html, licenses, mixing, oracles, quality, simhash, topk, urls
+from nbquarry.llm import bpe, ctw, html, licenses, mixing, oracles, packing, quality, simhash, topk, urls
 from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_html")
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@_query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
