@@ -143,19 +143,20 @@ def top_k(
     block = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = usable.where("asks").select("id", "row", "v", block(q_blocks).alias("q"), every(c_blocks).alias("c"))
-    offered = usable.select("id", "row", "v", block(c_blocks).alias("c"), every(q_blocks).alias("q"))
+    # Columns of its own: both sides of a cogroup must not share any, or pruning one side would prune the other.
+    offered = usable.select(*[F.col(c).alias(f"{c}_") for c in ("id", "row", "v")], block(c_blocks).alias("c"), every(q_blocks).alias("q"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query", "query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pa.table({n: pa.array([], pa.int64()) for n in names})
-        width = max(_width(left.column("v")), _width(right.column("v")))
-        rows, ids = right.column("row").to_numpy(), right.column("id").to_numpy()
+        width = max(_width(left.column("v")), _width(right.column("v_")))
+        rows, ids = right.column("row_").to_numpy(), right.column("id_").to_numpy()
         asking = left.column("row").to_numpy()
         order = np.argsort(rows)
         at = np.minimum(np.searchsorted(rows[order], asking), len(rows) - 1)
         own = np.where(rows[order][at] == asking, order[at], -1)
-        q, c, score = block_top(_matrix(left.column("v"), width), _matrix(right.column("v"), width), own, ids, k)
+        q, c, score = block_top(_matrix(left.column("v"), width), _matrix(right.column("v_"), width), own, ids, k)
         return pa.table([pa.array(x, pa.int64()) for x in (asking[q], left.column("id").to_numpy()[q], ids[c], score)], names)
 
     met = asked.groupBy("q", "c").cogroup(offered.groupBy("q", "c")).applyInArrow(meet, "query long, query_id long, vec_id long, score long")
