@@ -26,20 +26,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nbquarry.llm.common import col
 
-# Bytes read beyond the lookahead before a piece is merged again.
-CHUNK = 4096
-# Pieces and words that a worker remembers in each of two generations, and the longest ones remembered.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
-# Marks that are a piece of their own after letters.
-MARKS = frozenset(".,;:!?()")
+# Bytes read beyond the lookahead before a piece is merged again; characters of text normalized at a time.
+CHUNK, TEXT_CHUNK = 4096, 1 << 20
+# Pieces that a worker remembers in each of two generations, and the longest ones remembered.
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
 # Up to this many symbols, looking through all pairs is faster than a heap.
 SHORT = 64
 
 # White space of the vocabulary's own patterns (the White_Space property of Unicode).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WHITE_RUN = re.compile(f"[{WHITE}]+")
-# Python's own split also takes these four as white space.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+# The usual pattern of such a vocabulary, and the same for Python's re: for lower-case ASCII, and for texts without numerals
+# other than decimal digits, in which the letters are what re calls word characters but for digits and "_".
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASCII = re.compile(rf"{_ENDINGS}|[a-z]+|[0-9]|[^{WHITE}a-z0-9]+").findall
+_LETTERS = re.compile(rf"{_ENDINGS}|[^\W\d_]+|\d|(?:[^{WHITE}\w]|_)+").findall
+_NUMERALS = regex.compile(r"[\p{Nl}\p{No}]").search
+_WHITE_NEXT = re.compile(f"[{WHITE}]").search
 
 
 def byte_names() -> dict[int, str]:
@@ -94,8 +97,9 @@ class Vocabulary:
         self._require(spec["decoder"] is None, "decoder")
         self.suffix = model["end_of_word_suffix"] or ""
         # The pattern's own \s is narrower than that of the regex module.
-        pattern = split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}")
-        self.pieces = regex.compile(pattern).findall
+        pattern = split["pattern"]["Regex"]
+        self._usual = pattern == PATTERN
+        self._pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}")).findall
         vocabulary = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
@@ -113,10 +117,7 @@ class Vocabulary:
         self._strings = [self._symbols(a) + self._symbols(b) for a, b in pairs]
         self.lookahead = sufficient_lookahead(self._strings)
         self.size = {vocabulary[a + b]: len(s) for (a, b), s in zip(pairs, self._strings)} | dict.fromkeys(self.inner + self.final, 1)
-        # Whether a run of letters is always one piece.
-        self._letters = r"|[\p{L}]+|" in split["pattern"]["Regex"]
-        self._pieces = Recent(lambda piece: _packed(list(self.piece(piece.encode()))))
-        self._words = Recent(self._word)
+        self._known = Recent(lambda piece: _packed(list(self.piece(piece.encode()))))
 
     @staticmethod
     def _require(holds: bool, part: str) -> None:
@@ -179,6 +180,11 @@ class Vocabulary:
 
     def piece(self, data: bytes, chunk: int = CHUNK) -> Iterator[int]:
         """Tokens of one piece, of which at most ``lookahead + chunk`` bytes are held at a time."""
+        if len(data) <= SHORT:
+            symbols = list(map(self.inner.__getitem__, data))
+            symbols[-1] = self.final[data[-1]]
+            yield from self.merge(symbols)
+            return
         end, inner = 0, self.inner
         held: list[int] = []
         while True:
@@ -201,27 +207,33 @@ class Vocabulary:
             if not done:  # one token is longer than the chunk: read on
                 chunk *= 2
 
-    def _word(self, text: str) -> bytes:
-        """The ids of a run of text without white space."""
-        whole = _normal(text)
-        if self._letters and whole.isalpha():  # one piece
-            return self._pieces.all([whole])[0]
-        parts = self._special.split(text) if self._special else [text]
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a normalized text."""
+        if not self._usual:
+            return self._pattern(text)
+        if text.isascii():
+            return _ASCII(text)
+        return self._pattern(text) if _NUMERALS(text) else _LETTERS(text)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of ``text``, as little-endian unsigned 32-bit integers."""
         out = []
-        for part in parts:
+        for part in self._special.split(text) if self._special else [text]:
             if part in self.special:
                 out.append(_packed([self.special[part]]))
-            elif part:
-                part = _normal(part)
-                # Letters and one mark after them, the most common case, need no pattern.
-                ends = self._letters and part[:-1].isalpha() and part[-1] in MARKS
-                out += self._pieces.all([part[:-1], part[-1]] if ends else self.pieces(part))
+                continue
+            for chunk in _chunks(part):
+                out += self._known.all(self.pieces(_normal(chunk)))
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text``, as little-endian unsigned 32-bit integers."""
-        words = _WHITE_RUN.split(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(self._words.all(words))
+
+def _chunks(text: str) -> Iterator[str]:
+    """A text in parts that begin with white space, across which nothing is composed and no piece goes on."""
+    start = 0
+    while len(text) - start > TEXT_CHUNK and (white := _WHITE_NEXT(text, start + TEXT_CHUNK)):
+        yield text[start:white.start()]
+        start = white.start()
+    yield text[start:] if start else text
 
 
 def _packed(ids: list[int]) -> bytes:

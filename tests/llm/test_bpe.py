@@ -16,6 +16,7 @@ TEXTS = [
     "", " ", "Hello, World's  <|endoftext|>x \u00e91234", "\u0391\u03a3 \u0130 \x1c\x1dab \u0085 e\u0301  !", "<|startoftext|>",
     "a<|endoftext|> <|endoftext|b", "don't DON'T we'll'", "\u4f60\u597d\u4e16\u754c\U0001f680\U0001f680", "\u0301start \u2028 \u3000x", "\x00\x01 \x7f",
     "a" * 20_000, "the" * 5_000, "ab" * 9_999 + "!", "\u00e9\u00df" * 4_000, "!?" * 7_000, "word " * 30_000, "\ufb01 \u1e9b\u0323 \u212b", "1234567890" * 100,
+    "\u00b2 x\u00b2_y\u2167 \u00bd\u0663\u0967 a_b__ \u00aa\u02b0 it's \u00e9's _", "ab\u00e9 \u00a0" * 300_000, "ab " * 500_000,
 ]
 
 
