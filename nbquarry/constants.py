@@ -52,7 +52,6 @@ FILE_ERROR_TEXTS = ["No such file or directory", "not found"]
 
 # Limits of sampling and of the printed top lists.
 RANGE_CAP = 900
-RANGE_TOTAL_LIMIT = 1_000_000
 ROWS_PER_RANGE = 1000
 ROWS_PER_PAGE = 100
 DEFAULT_ITEM_LIMIT = 1000

@@ -19,8 +19,11 @@ FEATURES = T.StructType([
     T.StructField("defines_function", T.BooleanType()),
     T.StructField("defines_class", T.BooleanType()),
     T.StructField("has_control_flow", T.BooleanType()),
+    T.StructField("module_counts", T.ArrayType(T.StructType([
+        T.StructField("module", T.StringType()), T.StructField("n", T.LongType()),
+    ]))),
 ])
-FLAGS = FEATURES.fieldNames()[1:]
+FLAGS = FEATURES.fieldNames()[1:5]
 
 # A superset of the sources that can yield a feature; it need not be exact.
 KEYWORDS = "import|def|class|for|while|if|try|with"
@@ -44,8 +47,13 @@ def _features_function():
                 local = local or node.level > 0
                 if node.module:
                     modules.append(node.module.partition(".")[0])
+        counts: dict = {}
+        for module in modules:
+            counts[module] = counts.get(module, 0) + 1
+        # Sorting is stable: equal counts stay in the order of first use.
+        counted = [{"module": m, "n": n} for m, n in sorted(counts.items(), key=lambda item: -item[1])]
         branching = {ast.For, ast.While, ast.If, ast.Try, ast.With}
-        return modules, local, ast.FunctionDef in kinds, ast.ClassDef in kinds, bool(kinds & branching)
+        return modules, local, ast.FunctionDef in kinds, ast.ClassDef in kinds, bool(kinds & branching), counted
 
     def parse(source):
         import ast
@@ -82,7 +90,7 @@ def cell_code_features(cells: DataFrame) -> DataFrame:
     """``(nb_id, cell_idx, modules, flags…)`` for code cells that may hold a feature."""
     code = cells.where((F.col("cell_type") == "code") & worth_parsing(F.col("source")))
     return code.select("nb_id", "cell_idx", code_features(F.array("source")).alias("f")).select(
-        "nb_id", "cell_idx", "f.*"
+        "nb_id", "cell_idx", "f.modules", *[f"f.{flag}" for flag in FLAGS]
     )
 
 

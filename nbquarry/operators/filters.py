@@ -28,7 +28,9 @@ def filter_executed_state(metrics: DataFrame) -> DataFrame:
 
 
 def filter_parsed_strict(collection: DataFrame) -> DataFrame:
-    """Rows whose parse flag is spelled exactly ``True`` (or is a true boolean)."""
+    """Rows whose parse flag is spelled exactly ``True`` (or is a true boolean of which no spelling is known)."""
+    if "nb_ok_parse_text" in collection.columns:
+        return collection.where(F.col("nb_ok_parse_text") == "True")
     if dict(collection.dtypes)["nb_ok_parse"] == "boolean":
         return collection.where("nb_ok_parse")
     return collection.where(F.col("nb_ok_parse") == "True")

@@ -4,54 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Keys are counted by hash bucket: at most BUCKETS rows per task reach the shuffle, whatever the number of keys.
+# Keys are counted by hash bucket: at most BUCKETS rows per task reach the shuffle, whatever the number of keys, and the
+# list of buckets is small enough to broadcast.
 BUCKETS = 1 << 16
-# A bucket is heavy if it holds at least this share of the rows. So there are never more than HEAVY_SHARE heavy buckets,
-# which is what makes broadcasting them safe, and a key that is not in one holds a smaller share.
-HEAVY_SHARE = 1024
-# Smaller buckets are not worth spreading.
-HEAVY_ROWS = 10_000
-# Parts a heavy bucket is spread over.
-SPREAD = 32
+# Rows that a bucket may have before it is split, and that each of its parts has on average.
+PART_ROWS = 1_000_000
 
 
 def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def heavy_buckets(df: DataFrame, keys: list[str], min_rows: int = HEAVY_ROWS) -> DataFrame:
-    """``_bucket`` of the key buckets that hold a large share of the rows.
+def heavy_buckets(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """``(_bucket, _parts)`` of the key buckets with more than ``part_rows`` rows.
 
-    Counts are exact, so computing this twice gives the same buckets: both sides of a join can rely on it.
+    Counts are exact, so computing this twice gives the same parts: both sides of a join can rely on it.
     """
     counts = df.select(_bucket(keys).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"))
-    # This window runs over at most BUCKETS rows.
-    total = F.sum("rows").over(Window.partitionBy(F.lit(0)))
-    shares = counts.withColumn("total", total).where(F.col("rows") >= min_rows)
-    return shares.where(F.col("rows") * HEAVY_SHARE >= F.col("total")).select("_bucket", F.lit(True).alias("_heavy"))
+    return counts.where(F.col("rows") > part_rows).select("_bucket", F.ceil(F.col("rows") / part_rows).cast("int").alias("_parts"))
+
+
+def spread_left(
+    left: DataFrame, heavy: DataFrame, keys: list[str], spread_by: list[str]
+) -> DataFrame:
+    """``left`` with ``_part``: rows of a heavy bucket are dealt to its parts by a hash of ``spread_by``."""
+    # A NULL key matches nothing, so such rows may go anywhere.
+    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    parts = F.coalesce("_parts", F.when(unmatched, BUCKETS).otherwise(1))
+    return left.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
+        "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
+    ).drop("_bucket", "_parts")
 
 
 def left_join_unique(
     left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-    count_on: DataFrame | None = None, min_rows: int = HEAVY_ROWS,
+    count_on: DataFrame | None = None, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
-    Left rows in a heavy bucket of keys are spread over ``SPREAD`` parts by a hash of ``spread_by``, and the right rows
-    of that bucket are repeated once per part; all others are joined as usual. The result does not depend on which
-    buckets are heavy. ``count_on`` may name a cheaper table with the same keys to count on.
+    Left rows in a bucket of keys with more than ``part_rows`` rows are dealt to as many parts as keep each below that on
+    average, and the right rows of that bucket are repeated once per part; all others are joined as usual. The result
+    does not depend on how buckets are split. ``count_on`` may name a cheaper table with the same keys to count on.
     """
-    heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, min_rows))
-    # A NULL key matches nothing, so such rows may go anywhere.
-    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int")
-    spread_left = left.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
-        "_part", F.when(F.col("_heavy") | unmatched, part).otherwise(F.lit(0))
-    ).drop("_bucket", "_heavy")
-    parts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+    heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, part_rows))
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     spread_right = right.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
-        "_part", F.explode(F.when(F.col("_heavy"), parts).otherwise(F.array(F.lit(0))))
-    ).drop("_bucket", "_heavy")
-    return spread_left.join(spread_right, [*keys, "_part"], how).drop("_part")
+        "_part", F.explode(parts)
+    ).drop("_bucket", "_parts")
+    return spread_left(left, heavy, keys, spread_by).join(spread_right, [*keys, "_part"], how).drop("_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nbquarry.functions.names import owner_of, repo_of, sanitize_file_name, sanitize_name
-from nbquarry.operators.joins import HEAVY_ROWS, left_join_unique
+from nbquarry.operators.joins import PART_ROWS, left_join_unique
 
 
 def originals_by_name(originals: DataFrame, carry: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def originals_by_name(originals: DataFrame, carry: list[str]) -> DataFrame:
 
 def match_originals(
     runs: DataFrame, originals: DataFrame, carry: list[str], spread_by: list[str], count_on: DataFrame | None = None,
-    min_rows: int = HEAVY_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Each run with the chosen original's ``archive_name`` and ``carry`` columns, NULL where none matches."""
     keys = ["_owner", "_repo", "_name"]
@@ -39,7 +39,7 @@ def match_originals(
     })
     named = originals_by_name(originals, carry).toDF(*keys, "_original")
     counted = None if count_on is None else keyed(count_on)
-    matched = left_join_unique(keyed(runs), named, keys, spread_by, count_on=counted, min_rows=min_rows)
+    matched = left_join_unique(keyed(runs), named, keys, spread_by, count_on=counted, part_rows=part_rows)
     return matched.select(*runs.columns, *[F.col(f"_original.{c}").alias(c) for c in ["archive_name", *carry]])
 
 

@@ -99,7 +99,7 @@ def adaptive_date_ranges(
     totals = (
         nested.join(daily, "_day", "left")
         .groupBy("a", "b", "around_a", "around_b")
-        .agg(F.least(F.coalesce(F.sum("rows"), F.lit(0)), F.lit(K.RANGE_TOTAL_LIMIT)).alias("total"))
+        .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
     )
     outer = totals.select(F.col("a").alias("around_a"), F.col("b").alias("around_b"), F.col("total").alias("around_total"))
     joined = totals.join(outer, ["around_a", "around_b"], "left")

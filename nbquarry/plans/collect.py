@@ -12,11 +12,12 @@ from nbquarry.constants import DEFAULT_ITEM_LIMIT, TOP_IMPORTS
 from nbquarry.functions import documents as D, marks
 from nbquarry.functions.coerce import executed_percent
 from nbquarry.functions.names import default_branch
-from nbquarry.operators.code import code_features, imports_json, worth_parsing
+from nbquarry.operators.code import FLAGS, code_features, imports_json, worth_parsing
 from nbquarry.operators.filters import is_executed_state, is_python_document, project_fields
 from nbquarry.operators.joins import left_join_unique
 from nbquarry.operators.repos import fill_dependencies, repo_dependencies
 from nbquarry.operators.sampling import limit_items
+from nbquarry.schema import DEPENDENCY_FIELDS
 from nbquarry.sources.archive import decode_contents
 
 
@@ -35,18 +36,6 @@ def _order_metrics(counts: Column, stored: Column) -> list[Column]:
     ]
 
 
-def _import_counts(modules: Column) -> Column:
-    """The top modules with their counts; ties stay in the order of first use."""
-    counted = F.transform(
-        F.array_distinct(modules),
-        lambda m, i: F.struct(
-            (-F.array_size(F.filter(modules, lambda x: x == m))).alias("rank"), i.alias("seen"), m.alias("module")
-        ),
-    )
-    top = F.slice(F.array_sort(counted), 1, TOP_IMPORTS)
-    return F.transform(top, lambda t: F.struct(t.module.alias("module"), (-t["rank"]).cast("bigint").alias("n")))
-
-
 def notebook_metrics(notebooks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All content metrics, one row per notebook; NULL metrics where ``doc`` is NULL. No shuffle."""
     keep = keep or ["nb_id"]
@@ -84,7 +73,6 @@ def notebook_metrics(notebooks: DataFrame, keep: list[str] | None = None) -> Dat
     )
     modules = F.col("features.modules")
     decoded = F.col("n_cells_total").isNotNull()
-    code_flags = ["has_local_imports", "defines_function", "defines_class", "has_control_flow"]
     return read.select(
         *keep, "kernel_name", "language", "python_version_declared",
         "n_cells_total", "n_code", "n_markdown", "n_raw",
@@ -93,8 +81,8 @@ def notebook_metrics(notebooks: DataFrame, keep: list[str] | None = None) -> Dat
         *_order_metrics(F.col("counts"), F.col("stored")),
         "n_cells_with_output", *kinds, "outputs_error",
         F.when(decoded, F.array_size(modules)).alias("imports_total"),
-        F.when(decoded, imports_json(_import_counts(modules))).alias("top_imports_json"),
-        *[F.when(decoded, F.col(f"features.{flag}")).alias(flag) for flag in code_flags],
+        F.when(decoded, imports_json(F.slice("features.module_counts", 1, TOP_IMPORTS))).alias("top_imports_json"),
+        *[F.when(decoded, F.col(f"features.{flag}")).alias(flag) for flag in FLAGS],
         F.when(decoded, F.exists(modules, marks.is_test_module)).alias("uses_testing_module"),
         "ai_marker_found", "triple_backticks_in_code", "has_abs_data_path",
     )
@@ -119,7 +107,8 @@ def build_collection(
     """The 45-column collection.
 
     ``contents`` has one row per notebook file (``repo_full_name, file_path, sha, size, html_url, encoding, content,
-    download_body``), ``repos`` one per repository, ``repo_tree`` one per path. Undecoded files give a row with
+    download_body``), ``repos`` one per repository (of several, the one with the smallest id, then branch, date and stars, counts),
+    ``repo_tree`` one per path. Undecoded files give a row with
     ``nb_ok_parse`` False and NULL metrics, whatever the filters. ``limit`` keeps the first rows in ``order_by`` order
     (repository name and path by default).
     """
@@ -129,7 +118,10 @@ def build_collection(
     parsed = F.col("n_cells_total").isNotNull()
     if require_outputs:
         metrics = metrics.where(~parsed | is_executed_state())
-    repo_facts = repos.select(
+    # Overlapping search windows list a repository more than once.
+    listed = ["id", "default_branch", "created_at", "stargazers_count"]
+    once = repos.groupBy("full_name").agg(F.min(F.struct(*listed)).alias("r")).select("full_name", "r.*")
+    repo_facts = once.select(
         F.col("full_name").alias("repo_full_name"),
         F.col("id").alias("repo_id"),
         default_branch(F.col("default_branch")).alias("repo_default_branch"),
@@ -140,7 +132,7 @@ def build_collection(
     deps = fill_dependencies(joined)
     named = deps.withColumnsRenamed({"sha": "file_sha", "size": "file_size"}).withColumn("nb_ok_parse", parsed)
     # Dependency flags are metrics too: an undecoded file has none.
-    for flag in ["deps_requirements_txt", "deps_setup_py", "deps_pipfile", "deps_any"]:
+    for flag in DEPENDENCY_FIELDS:
         named = named.withColumn(flag, F.when(F.col("nb_ok_parse"), F.col(flag)))
     collection = project_fields(named)
     return limit_items(collection, order_by or ["repo_full_name", "file_path"], limit)

@@ -1,8 +1,7 @@
-"""Session settings the operators rely on, and the shared scratch folder."""
+"""Session settings the operators rely on, and paths in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,10 +29,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder named by ``spark.checkpoint.dir``; a local folder only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path under ``folder``, by default the shared folder named by ``spark.checkpoint.dir``.
+
+    Driver and executors must both see that folder, so there is no local one to fall back to.
+    """
+    base = folder or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="nbquarry-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, or name a folder")
     return f"{base.rstrip('/')}/nbquarry/{name}-{uuid.uuid4().hex}"

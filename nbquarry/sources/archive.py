@@ -30,20 +30,29 @@ def decode_contents(contents: DataFrame) -> DataFrame:
     encoded = ["encoding", "content", "download_body"]
     text = decoded_text(*[F.col(c) for c in encoded])
     parsed = contents.select(*[c for c in contents.columns if c not in encoded], D.parse_json(text).alias("_parsed"))
+    return _with_document(parsed)
+
+
+def _with_document(parsed: DataFrame) -> DataFrame:
+    """``doc`` for ``_parsed``: NULL unless it is a notebook."""
     return D.computed_once(parsed.withColumn("doc", D.usable_document(F.col("_parsed"))).drop("_parsed"), "doc")
 
 
 def read_notebook_archive(spark: SparkSession, base: str) -> DataFrame:
-    """``(owner, repo, archive_name, path, doc)`` from files ``base/owner/repo/{sha8}_{name}.ipynb``."""
+    """``(owner, repo, archive_name, path, doc)`` from files ``base/owner/repo/{sha8}_{name}.ipynb``.
+
+    ``doc`` is NULL where a file is no notebook. Meant for a one-time import, as there is a small file for each row; plans
+    are better served by the packed table of :func:`write_notebook_archive`.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.ipynb").load(base)
     )
     part = lambda k: F.regexp_extract("path", _ARCHIVE_PATH, k)
     rows = files.select(
         part(1).alias("owner"), part(2).alias("repo"), part(3).alias("archive_name"), "path",
-        D.parse_json(utf8_text(F.col("content"))).alias("doc"),
+        D.parse_json(utf8_text(F.col("content"))).alias("_parsed"),
     )
-    return D.computed_once(rows, "doc")
+    return _with_document(rows)
 
 
 def archive_rows(notebooks: DataFrame) -> DataFrame:
@@ -65,5 +74,5 @@ def write_notebook_archive(notebooks: DataFrame, path: str) -> None:
 
 def read_archive_table(spark: SparkSession, path: str) -> DataFrame:
     """The table written by :func:`write_notebook_archive`, in the shape of :func:`read_notebook_archive`."""
-    rows = spark.read.parquet(path).select("owner", "repo", "archive_name", D.parse_json(F.col("raw")).alias("doc"))
-    return D.computed_once(rows, "doc")
+    rows = spark.read.parquet(path).select("owner", "repo", "archive_name", D.parse_json(F.col("raw")).alias("_parsed"))
+    return _with_document(rows)

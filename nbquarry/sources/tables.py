@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from nbquarry.functions.coerce import blank_to_null, parse_float, to_bool
+from nbquarry.functions.coerce import blank_to_null, to_bool, to_float, to_int
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA, as_text_schema
 
 # Quotes inside a field are doubled and fields may hold line breaks.
@@ -31,28 +31,36 @@ def _typed(name: str, dtype: T.DataType) -> Column:
     c = F.col(name)
     if isinstance(dtype, T.BooleanType):
         return F.when(blank_to_null(c).isNotNull(), to_bool(c))
+    filled = blank_to_null(c).isNotNull()
     if isinstance(dtype, T.LongType):
-        return F.coalesce(c.try_cast("bigint"), parse_float(c).try_cast("bigint"))
+        return F.when(filled, F.coalesce(c.try_cast("bigint"), to_int(c)))
     if isinstance(dtype, T.DoubleType):
-        return parse_float(c)
+        return F.when(filled, to_float(c))
     if isinstance(dtype, T.TimestampType):
         return c.try_cast("timestamp")
     return blank_to_null(c)
 
 
-def type_columns(text: DataFrame, schema: T.StructType) -> DataFrame:
-    """Typed columns of ``schema``; what is absent or cannot be read as its type is NULL. Other columns are kept."""
+def type_columns(text: DataFrame, schema: T.StructType, keep_spelling: bool = False) -> DataFrame:
+    """Typed columns of ``schema``; what is absent or blank is NULL. Other columns are kept.
+
+    A number that cannot be read is zero, as summaries of the text form take it; times that cannot be read are NULL. With
+    ``keep_spelling`` the text of the parse flag stays as ``nb_ok_parse_text``: strict filters go by it.
+    """
     present = set(text.columns)
     typed = [
         (_typed(f.name, f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
     others = [c for c in text.columns if c not in schema.fieldNames()]
-    return text.select(*typed, *others)
+    spelled = [F.col("nb_ok_parse").alias("nb_ok_parse_text")] if keep_spelling else []
+    return text.select(*typed, *others, *spelled)
 
 
-def read_collection(spark: SparkSession, paths: str | list[str], row_order: bool = False) -> DataFrame:
-    return type_columns(read_text_table(spark, paths, COLLECTION_SCHEMA, row_order), COLLECTION_SCHEMA)
+def read_collection(
+    spark: SparkSession, paths: str | list[str], row_order: bool = False, keep_spelling: bool = False
+) -> DataFrame:
+    return type_columns(read_text_table(spark, paths, COLLECTION_SCHEMA, row_order), COLLECTION_SCHEMA, keep_spelling)
 
 
 def read_runs(spark: SparkSession, paths: str | list[str], row_order: bool = False) -> DataFrame:
@@ -63,7 +71,7 @@ def _as_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(dtype, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return c.cast("string")
 
 

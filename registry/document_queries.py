@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from nbquarry.functions import documents as D
 from nbquarry.operators import code as G, filters, outputs as O, shred
 from nbquarry.plans.collect import build_collection, keep_unparsed, notebook_metrics
-from nbquarry.session import configure, scratch_path
+from nbquarry.session import configure
 from nbquarry.sources import archive
 from registry import fixtures as X
 from registry.book import checked
+from registry.scratch import scratch_path
 
 _DOC = f"with {X.DUCK_DOC_CELLS}"
 _IS_PYTHON = f"contains(lower({X.LANGUAGE.format(nb='nb_id')}), 'python')"

@@ -236,7 +236,7 @@ checked("round_elapsed", f"{_LOGS} select log_id, round(elapsed_s, 3) as elapsed
 _ORIGINAL_NAME = "left(md5(cast(doc_id as varchar)), 8) || case doc_id % 4 when 0 then '_x_' else '_' end || cast(doc_id % 37 as varchar) || '.ipynb'"
 
 
-@checked("run_table", f"""{_LOGS}, {X.duck_views('fx_collection')}, {_OUTCOMES}, {X.DUCK_DOC_CELLS},
+_RUN_TABLE = f"""{_LOGS}, {X.duck_views('fx_collection')}, {_OUTCOMES}, {X.DUCK_DOC_CELLS},
 declared as (
   select repo_full_name, file_path, min({{'b': case when repo_default_branch = '' then 'main' else repo_default_branch end,
     'k': kernel_name, 'l': language}}) as d
@@ -248,26 +248,68 @@ originals as (
 matched as (
   select log_id, arg_min(nb_id, archive_name) as nb_id
   from fx_logs l join originals o on l.repo_full_name = o.repo_full_name
-    and ends_with(archive_name, '_' || split_part(file_path, '/', 2)) group by log_id)
-select o.repo_full_name, o.file_path, d.b as repo_default_branch, d.l as language,
-  case trim(d.k) when 'ir' then 'ir' else 'python3' end as kernel_name, exec_ok, error, outputs_hash_exec, n_outputs_exec,
-  f.nb_id is not null as original_found, f.outputs_hash as outputs_hash_orig, f.n_outputs as n_outputs_orig,
-  case when f.nb_id is not null then f.outputs_hash = outputs_hash_exec end as outputs_equal
-from outcomes o join declared using (repo_full_name, file_path) left join matched m using (log_id)
-  left join fingerprints f on f.nb_id = m.nb_id""")
-def run_table(spark, sf):
+    and ends_with(archive_name, '_' || split_part(file_path, '/', 2)) group by log_id),
+executed as (
+  select log_id, f.outputs_hash, f.n_outputs
+  from matched m join fingerprints f on f.nb_id = m.nb_id + log_id % 3 where log_id % 3 < 2),
+hashed as (
+  select o.* exclude (outputs_hash_exec, n_outputs_exec), exec_ok and x.log_id is not null as hashed_here,
+    case when exec_ok and x.log_id is not null then x.outputs_hash when o.outputs_hash_exec = '' then '' end as outputs_hash_exec,
+    case when exec_ok and x.log_id is not null then x.n_outputs else o.n_outputs_exec end as n_outputs_exec
+  from outcomes o left join executed x using (log_id)),
+run_rows as (
+  select o.repo_full_name, o.file_path, d.b as repo_default_branch, d.l as language,
+    case trim(d.k) when 'ir' then 'ir' else 'python3' end as kernel_name, exec_ok, error, outputs_hash_exec, n_outputs_exec,
+    f.nb_id is not null as original_found, f.outputs_hash as outputs_hash_orig, f.n_outputs as n_outputs_orig,
+    case when f.nb_id is not null and (hashed_here or not exec_ok) then f.outputs_hash = coalesce(outputs_hash_exec, '') end as outputs_equal
+  from hashed o join declared using (repo_full_name, file_path) left join matched m using (log_id)
+    left join fingerprints f on f.nb_id = m.nb_id)"""
+
+
+def _run_table(spark, sf):
+    """Runs whose executed notebook is the original (one in three), another one, or missing."""
     nb = F.col("nb_id")
     broken = F.when(nb % 23 == 5, F.lit("not json")).when(nb % 29 == 3, F.lit("{}"))
-    parsed = X.document_texts(spark, sf).select(
+    texts = X.document_texts(spark, sf).select("nb_id", F.coalesce(broken, F.col("body")).alias("_body"))
+    named = texts.select(
+        "nb_id", "_body",
         F.expr("'org' || cast(nb_id % 10 as string)").alias("owner"),
         F.expr("'repo' || cast(nb_id % 100 as string)").alias("repo"),
         F.expr(_ORIGINAL_NAME.replace("doc_id", "nb_id").replace("varchar", "string")).alias("archive_name"),
-        D.parse_json(F.coalesce(broken, F.col("body"))).alias("_doc"),
     )
-    originals = parsed.withColumn("doc", D.usable_document(F.col("_doc"))).drop("_doc")
+    parsed = lambda df: D.computed_once(df.withColumn("doc", D.usable_document(D.parse_json(F.col("_body")))).drop("_body"), "doc")
+    originals = parsed(named.drop("nb_id"))
+    ran = _logs(spark, sf).where("log_id % 3 < 2").select(
+        "log_id", F.split_part("repo_full_name", F.lit("/"), F.lit(1)).alias("owner"), F.split_part("repo_full_name", F.lit("/"), F.lit(2)).alias("repo"),
+        F.split_part("file_path", F.lit("/"), F.lit(2)).alias("file"),
+    )
+    chosen = ran.join(
+        named.select("nb_id", "owner", "repo", "archive_name", F.element_at(F.split("archive_name", "_"), -1).alias("file")), ["owner", "repo", "file"]
+    ).groupBy("log_id").agg(F.min_by("nb_id", "archive_name").alias("nb_id"))
+    executed = parsed(chosen.select("log_id", (F.col("nb_id") + F.col("log_id") % 3).alias("nb_id")).join(texts, "nb_id").select("log_id", "_body"))
     collection = X.view(spark, sf, "fx_collection").withColumn("python_version_declared", F.lit(None).cast("string"))
-    runs = build_run_table(collection, _logs(spark, sf), D.computed_once(originals, "doc"), ["python3", "ir"])
-    return runs.select(
+    return build_run_table(collection, _logs(spark, sf), originals, ["python3", "ir"], executed=executed)
+
+
+@checked("run_table", f"{_RUN_TABLE} select * from run_rows")
+def run_table(spark, sf):
+    return _run_table(spark, sf).select(
         "repo_full_name", "file_path", "repo_default_branch", "language", "kernel_name", "exec_ok", "error",
         "outputs_hash_exec", "n_outputs_exec", "original_found", "outputs_hash_orig", "n_outputs_orig", "outputs_equal",
     )
+
+
+@checked("run_table_kpis", f"""{_RUN_TABLE},
+kpis as (
+  select 'reproduced' as metric, count(*) filter (original_found and outputs_equal) as n, count(*) filter (original_found) as of_ from run_rows
+  union all
+  select 'reproduced_ok', count(*) filter (original_found and exec_ok and outputs_equal), count(*) filter (original_found and exec_ok) from run_rows)
+select metric, n, of_, 100.0::double * n / of_ as pct from kpis where of_ > 0""")
+def run_table_kpis(spark, sf):
+    return S.reproducibility_kpis(_run_table(spark, sf)).withColumnRenamed("of", "of_")
+
+
+@checked("run_table_outputs_equal", f"""{_RUN_TABLE}
+select outputs_equal, exec_ok, count(*) as n from run_rows group by outputs_equal, exec_ok""")
+def run_table_outputs_equal(spark, sf):
+    return _run_table(spark, sf).groupBy("outputs_equal", "exec_ok").agg(F.count(F.lit(1)).alias("n"))

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from nbquarry.operators import filters, repos
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA
-from nbquarry.session import scratch_path
 from nbquarry.sources import tables as T
 from nbquarry.streaming.windows import incremental_windows
 from registry import fixtures as X
 from registry.book import checked
+from registry.scratch import scratch_path
 
 _COLLECTION = f"with {X.duck_views('fx_collection')}"
 _RUNS = f"with {X.duck_views('fx_runs')}"
 _TREE = f"with {X.duck_views('fx_tree')}"
 _BOOL = lambda c: f"case when {c} <> '' then lower({c}) in ('true', '1', 'yes', 'y', 't') end"
 _TEXT = lambda c: f"nullif({c}, '')"
-_NUMBER = lambda c: f"try_cast(try_cast({c} as double) as bigint)"
+_NUMBER = lambda c: f"case when {c} <> '' then coalesce(try_cast(try_cast({c} as double) as bigint), 0) end"
 
 _FIELDS = [
     "repo_full_name", "file_path", "repo_created_at", "nb_ok_parse", "language", "n_code", "n_markdown",
@@ -26,7 +26,7 @@ _FIELDS = [
 _TYPED = f"""{_COLLECTION}
 select repo_full_name, file_path, cast(left(repo_created_at, 10) || ' 12:00:00' as timestamp) as repo_created_at,
   {_BOOL('nb_ok_parse')} as nb_ok_parse, {_TEXT('language')} as language, {_NUMBER('n_code')} as n_code,
-  {_NUMBER('n_markdown')} as n_markdown, try_cast(percent_code_executed as double) as percent_code_executed,
+  {_NUMBER('n_markdown')} as n_markdown, case when percent_code_executed <> '' then coalesce(try_cast(percent_code_executed as double), 0) end as percent_code_executed,
   {_BOOL('deps_any')} as deps_any, {_BOOL('out_of_order')} as out_of_order, {_TEXT('top_imports_json')} as top_imports_json
 from fx_collection"""
 
@@ -67,7 +67,7 @@ _RUN_FIELDS = [
 ]
 _TYPED_RUNS = f"""{_RUNS}
 select repo_full_name, file_path, {_BOOL('exec_ok')} as exec_ok, {_TEXT('error')} as error,
-  try_cast(elapsed_s as double) as elapsed_s, {_BOOL('original_found')} as original_found,
+  case when elapsed_s <> '' then coalesce(try_cast(elapsed_s as double), 0) end as elapsed_s, {_BOOL('original_found')} as original_found,
   {_BOOL('outputs_equal')} as outputs_equal, {_TEXT('outputs_hash_orig')} as outputs_hash_orig,
   {_NUMBER('n_outputs_orig')} as n_outputs_orig, {_NUMBER('n_outputs_exec')} as n_outputs_exec
 from fx_runs"""

@@ -1,11 +1,14 @@
 """CSV, archive and streams."""
 
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from nbquarry.operators.filters import project_fields
-from nbquarry.schema import COLLECTION_FIELDS, RUN_FIELDS
+from nbquarry.operators.filters import filter_parsed_strict, project_fields
+from nbquarry.schema import COLLECTION_FIELDS, COLLECTION_SCHEMA, RUN_FIELDS
+from nbquarry.session import scratch_path
 from nbquarry.sources import archive, tables
 from nbquarry.streaming.windows import incremental_windows
 
@@ -89,3 +92,39 @@ def test_project_fields_fills_and_orders(spark):
     assert df.columns == COLLECTION_FIELDS
     row = df.first()
     assert (row.file_path, row.n_code, row.language) == ("x", 1, None)
+
+
+def test_typed_tables_lose_nothing_that_summaries_count(spark):
+    text = spark.createDataFrame([("n/a", "true"), ("4", "True"), ("", "False")], "n_code string, nb_ok_parse string")
+    text = text.select(*[F.col(c) if c in text.columns else F.lit(None).cast("string").alias(c) for c in COLLECTION_SCHEMA.fieldNames()])
+    typed = tables.type_columns(text, COLLECTION_SCHEMA, keep_spelling=True)
+    assert [r.n_code for r in typed.collect()] == [0, 4, None]
+    assert filter_parsed_strict(typed).count() == filter_parsed_strict(text).count() == 1
+
+
+def test_times_are_written_in_utc(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp'2025-01-01T12:00:00Z' as repo_created_at")
+        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in COLLECTION_SCHEMA.fields])
+        tables.write_collection(df, str(tmp_path / "c"), "csv")
+        assert tables.read_text_table(spark, str(tmp_path / "c"), COLLECTION_SCHEMA).first().repo_created_at == "2025-01-01T12:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_files_that_are_no_notebooks_are_not_readable(spark, tmp_path):
+    folder = tmp_path / "o" / "r"
+    folder.mkdir(parents=True)
+    for name, body in (("a", "{}"), ("b", '"t"'), ("c", '{"cells": []}'), ("d", "not json")):
+        (folder / f"00000000_{name}.ipynb").write_text(body)
+    found = archive.read_notebook_archive(spark, str(tmp_path)).collect()
+    assert sorted(r.archive_name[9] for r in found if r.doc is not None) == ["c"] and len(found) == 4
+
+
+def test_scratch_needs_a_shared_folder():
+    unset = SimpleNamespace(conf={})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(unset, "x")
+    assert scratch_path(unset, "x", "/shared").startswith("/shared/nbquarry/x-")

@@ -27,8 +27,8 @@ def test_names_are_sanitized_on_both_sides(spark):
     assert matching.match_originals(runs, originals, [], ["row_id"]).first().archive_name == "aa_a_b_1_.ipynb"
 
 
-@pytest.mark.parametrize("min_rows", [1, 40, joins.HEAVY_ROWS])
-def test_matching_against_brute_force_with_a_hot_repository(spark, min_rows):
+@pytest.mark.parametrize("part_rows", [1, 40, joins.PART_ROWS])
+def test_matching_against_brute_force_with_a_hot_repository(spark, part_rows):
     rng = random.Random(3)
     repo = lambda: rng.choice(["o/hot"] * 5 + ["o/a", "o/b", "p/hot"])
     name = lambda: "_".join(rng.choice(["x", "y", "z"]) for _ in range(rng.randint(1, 3))) + ".ipynb"
@@ -36,29 +36,36 @@ def test_matching_against_brute_force_with_a_hot_repository(spark, min_rows):
     runs = [(i, repo(), f"d/{name()}") for i in range(400)]
     odf = spark.createDataFrame(originals, "owner string, repo string, archive_name string").repartition(4)
     rdf = spark.createDataFrame(runs, "row_id int, repo_full_name string, file_path string").repartition(4)
-    got = {r.row_id: r.archive_name for r in matching.match_originals(rdf, odf, [], ["row_id"], min_rows=min_rows).collect()}
+    got = {r.row_id: r.archive_name for r in matching.match_originals(rdf, odf, [], ["row_id"], part_rows=part_rows).collect()}
     assert len(got) == len(runs)
     for row_id, full, path in runs:
         fits = [n for o, r, n in originals if f"{o}/{r}" == full and n.endswith("_" + path.split("/")[-1])]
         assert got[row_id] == min(fits, default=None)
 
 
-@pytest.mark.parametrize("min_rows", [1, 500, joins.HEAVY_ROWS])
-def test_left_join_keeps_every_row_when_keys_are_hot(spark, min_rows):
+@pytest.mark.parametrize("part_rows", [1, 500, joins.PART_ROWS])
+def test_left_join_keeps_every_row_when_keys_are_hot(spark, part_rows):
     left = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.lit(None))
                                     .otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("unused", 3), (None, 4)], "k string, v int")
-    joined = joins.left_join_unique(left, right, ["k"], ["id"], min_rows=min_rows)
+    joined = joins.left_join_unique(left, right, ["k"], ["id"], part_rows=part_rows)
     counts = {r.v: r["count"] for r in joined.groupBy("v").count().collect()}
     assert sum(counts.values()) == 5000
     assert counts == {1: 1667, 2: 1, None: 5000 - 1668}
-    assert joins.left_join_unique(left, right, ["k"], ["id"], how="inner", min_rows=min_rows).count() == 1668
+    assert joins.left_join_unique(left, right, ["k"], ["id"], how="inner", part_rows=part_rows).count() == 1668
 
 
-def test_heavy_buckets_are_few_and_hold_the_hot_key(spark):
+def test_heavy_buckets_hold_the_hot_key(spark):
     hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
-    assert joins.heavy_buckets(hot, ["k"]).count() == 1
-    assert joins.heavy_buckets(spark.range(5000).withColumnRenamed("id", "k"), ["k"], min_rows=1).count() <= joins.HEAVY_SHARE
+    assert [r._parts for r in joins.heavy_buckets(hot, ["k"], part_rows=1000).collect()] == [10]
+    assert joins.heavy_buckets(hot, ["k"]).count() == 0
+
+
+def test_no_part_of_a_key_with_half_of_all_rows_is_large(spark):
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    heavy = joins.heavy_buckets(left, ["k"], part_rows=500)
+    parts = joins.spread_left(left, heavy, ["k"], ["id"]).where("k = -1").groupBy("_part").count().collect()
+    assert len(parts) == 40 and sum(r["count"] for r in parts) == 20_000 and max(r["count"] for r in parts) < 600
 
 
 def test_hot_keys_are_spread_over_parts(spark):
@@ -68,7 +75,7 @@ def test_hot_keys_are_spread_over_parts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = joins.left_join_unique(left, right, ["k"], ["id"])
+        joined = joins.left_join_unique(left, right, ["k"], ["id"], part_rows=1000)
         sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("v").alias("n")).collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
