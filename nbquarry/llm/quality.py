@@ -3,7 +3,7 @@
 Each document has a few rates (symbols, capitals, repeated lines and words, word length). A rate is rejected where it lies
 far above the upper quartile of its language and source, measured by the spread between the quartiles. Quartiles come
 from sketches with logarithmic buckets: a count per bucket, so sketches merge by adding counts, in any order and with the
-same result, and their relative error is bounded by ``ACCURACY``. A group with few documents is judged by the merged
+same result, and their relative error is at most twice ``ACCURACY``. A group with few documents is judged by the merged
 sketch of its language, a language with few by that of all.
 
 Everything here is DataFrame functions. Texts are never shuffled: only bucket counts are.
@@ -28,7 +28,7 @@ SYMBOLS = r"[#*$%&|<>]"
 FEW = 16
 # The bucket of zero.
 ZERO = -(1 << 30)
-# Relative error of a quantile.
+# Half the relative width of a bucket.
 ACCURACY = 0.01
 # A group with fewer documents borrows the sketch of the next larger group.
 LEAST_GROUP = 200
@@ -133,8 +133,8 @@ def limits(sketch: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
         upto = Window.partitionBy(*keys, "rate").orderBy("bucket")
         ranked = merged.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(*keys, "rate"))})
-        # The middle of a bucket, within ACCURACY of every value in it.
-        value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.exp(F.col("bucket") * base) * (1 - ACCURACY))
+        # The upper end of a bucket (and a little more, for rounding), so that no quartile lies below its values.
+        value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.exp(F.col("bucket") * base) * (1 + 1e-9))
         at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
         return ranked.groupBy(*keys, "rate").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.first("total").alias("total"))
 
