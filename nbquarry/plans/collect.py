@@ -16,7 +16,7 @@ from nbquarry.operators.code import FLAGS, code_features, imports_json, worth_pa
 from nbquarry.operators.filters import is_executed_state, is_python_document, project_fields
 from nbquarry.operators.joins import left_join_unique
 from nbquarry.operators.repos import fill_dependencies, repo_dependencies
-from nbquarry.operators.sampling import limit_items
+from nbquarry.operators.sampling import CalendarWindow, calendar_windows, limit_items, window_quota
 from nbquarry.schema import DEPENDENCY_FIELDS
 from nbquarry.sources.archive import decode_contents
 
@@ -138,4 +138,28 @@ def build_collection(
     return limit_items(collection, order_by or ["repo_full_name", "file_path"], limit)
 
 
-__all__ = ["DEFAULT_ITEM_LIMIT", "build_collection", "keep_unparsed", "notebook_metrics"]
+def collect_windows(
+    contents: DataFrame, repos: DataFrame, repo_tree: DataFrame, windows: list[CalendarWindow] | None = None,
+    only_python: bool = True, require_outputs: bool = False, order_by: list[Column | str] | None = None,
+) -> DataFrame:
+    """The collection of each calendar window, cut at the window's quota in scan order.
+
+    Filters come before the quota: notebooks that they drop use none of it, undecoded ones do. Scan order is that of
+    ``order_by``: newest repository first, then by its number and the path, unless given. Adds ``window_id``, its bounds and
+    ``quota_rank``. Repositories without a creation date are in no window.
+    """
+    collection = build_collection(contents, repos, repo_tree, only_python, require_outputs)
+    order = order_by or [F.desc("repo_created_at"), "repo_id", "repo_full_name", "file_path"]
+    return window_quota(collection, windows or calendar_windows(), F.col("repo_created_at"), order)
+
+
+def collected_originals(contents: DataFrame, collection: DataFrame) -> DataFrame:
+    """The decoded notebooks that are in ``collection``, ready for ``write_notebook_archive``.
+
+    ``collection`` should be a stored table: it only picks the files to decode.
+    """
+    keys = collection.where("nb_ok_parse").select("repo_full_name", "file_path").distinct()
+    return decode_contents(contents.join(keys, ["repo_full_name", "file_path"], "left_semi")).withColumnRenamed("sha", "file_sha")
+
+
+__all__ = ["DEFAULT_ITEM_LIMIT", "build_collection", "collect_windows", "collected_originals", "keep_unparsed", "notebook_metrics"]

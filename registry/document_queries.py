@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from nbquarry.functions import documents as D
 from nbquarry.operators import code as G, filters, outputs as O, shred
-from nbquarry.plans.collect import build_collection, keep_unparsed, notebook_metrics
+from nbquarry.plans.collect import build_collection, collect_windows, collected_originals, keep_unparsed, notebook_metrics
 from nbquarry.session import configure
 from nbquarry.sources import archive
 from registry import fixtures as X
 from registry.book import checked
+from registry.sampling_queries import WINDOWS
 from registry.scratch import scratch_path
 
 _DOC = f"with {X.DUCK_DOC_CELLS}"
@@ -148,6 +149,37 @@ def collection(spark, sf):
     )
 
 
+_WINDOW_ROWS = f"""{_DOC}, {X.duck_views('fx_tree')}, {_REPOS}, {WINDOWS},
+ids as (
+  select nb_id, {X.REPO.format(nb='nb_id')} as repo_full_name, 'nb/' || cast(nb_id as varchar) || '.ipynb' as file_path, {_UNDECODED} as undecoded
+  from {_ALL_IDS} where {_UNDECODED} or {_IS_PYTHON}),
+found as (
+  select i.*, r.repo_created_at, r.repo_id from ids i left join doc_all m using (nb_id) join repos r using (repo_full_name)
+  where undecoded or (n_cells_with_output > 0 and not (percent_code_executed <= 0 and max_execution_count <= 0))),
+ranked as (
+  select *, row_number() over (partition by window_id order by repo_created_at desc, repo_id, repo_full_name, file_path) as quota_rank
+  from found join windows on cast(repo_created_at as date) between a and b),
+window_rows as (select * from ranked where quota_rank <= quota)"""
+
+
+def _windows(spark, sf):
+    configure(spark)
+    return collect_windows(X.contents(spark, sf), X.repos(spark, sf), X.view(spark, sf, "fx_tree"), require_outputs=True)
+
+
+@checked("collect_windows", f"{_WINDOW_ROWS} select window_id, quota_rank, repo_full_name, file_path, not undecoded as nb_ok_parse from window_rows")
+def windows(spark, sf):
+    return _windows(spark, sf).select("window_id", "quota_rank", "repo_full_name", "file_path", "nb_ok_parse")
+
+
+@checked("collected_originals", f"{_WINDOW_ROWS} select nb_id from window_rows where not undecoded")
+def originals(spark, sf):
+    """What of the windows' collection goes to the archive."""
+    path = scratch_path(spark, "windows")
+    _windows(spark, sf).write.parquet(path)
+    return collected_originals(X.contents(spark, sf), spark.read.parquet(path)).where("doc is not null").select("nb_id")
+
+
 def _code_feature(name: str, flag: str, kinds: str) -> None:
     @checked(name, f"""{_DOC}
 select nb_id, bool_or(code_kind in ({kinds})) as {flag} from doc_cells where cell_type = 'code' group by nb_id""")

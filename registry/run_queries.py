@@ -167,9 +167,13 @@ def match_originals(spark, sf):
     return matching.match_originals(runs, X.view(spark, sf, "fx_originals"), [], ["row_id"]).select("row_id", "archive_name")
 
 
-@checked("errors_by_notebook_traits", f"""with {X.duck_views('fx_runs', 'fx_collection')}
+_TRAITS = f"""with {X.duck_views('fx_runs', 'fx_collection')}
 select r.error, c.deps_any, c.out_of_order, c.has_abs_data_path, count(*) as n
-from fx_runs r left join fx_collection c using (repo_full_name, file_path) group by all""")
+from fx_runs r left join fx_collection c using (repo_full_name, file_path) group by all"""
+
+
+@checked("runs_with_collection", _TRAITS)
+@checked("errors_by_notebook_traits", _TRAITS)
 def errors_by_notebook_traits(spark, sf):
     return matching.errors_by_notebook_traits(_runs(spark, sf), X.view(spark, sf, "fx_collection"))
 

@@ -62,7 +62,7 @@ def filter_created_between(spark, sf):
 
 
 # Weeks from Monday, clipped to the calendar's bounds; quotas listed by week.
-_WINDOWS = f"""
+WINDOWS = f"""
 quotas as (select unnest({[w.quota for w in P.calendar_windows()]}) as quota, unnest(range(1, 41)) as window_id),
 windows as (
   select cast(window_id as integer) as window_id, quota,
@@ -75,14 +75,14 @@ def _created():
     return F.left(F.col("repo_created_at"), F.lit(10)).cast("date")
 
 
-@checked("assign_windows", f"""{_FX}, {_WINDOWS}
+@checked("assign_windows", f"""{_FX}, {WINDOWS}
 select row_id, window_id, a, b from fx_collection join windows on cast(left(repo_created_at, 10) as date) between a and b""")
 def assign_windows(spark, sf):
     placed = P.assign_windows(X.view(spark, sf, "fx_collection"), P.calendar_windows(), _created())
     return placed.select("row_id", "window_id", "a", "b")
 
 
-@checked("window_quota", f"""{_FX}, {_WINDOWS}
+@checked("window_quota", f"""{_FX}, {WINDOWS}
 select row_id, window_id, quota_rank from (
   select row_id, window_id, quota, row_number() over (partition by window_id order by repo_created_at desc, row_id) as quota_rank
   from fx_collection join windows on cast(left(repo_created_at, 10) as date) between a and b
