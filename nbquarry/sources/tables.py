@@ -7,16 +7,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from nbquarry.functions.coerce import blank_to_null, to_bool, to_float, to_int
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA, as_text_schema
 
+ROWS_PER_FILE = 500_000
 # Quotes inside a field are doubled and fields may hold line breaks.
 _CSV = {"header": True, "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
-def read_text_table(spark: SparkSession, paths: str | list[str], schema: T.StructType, row_order: bool = False) -> DataFrame:
+def read_text_table(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, row_order: bool = False, multi_line: bool = True
+) -> DataFrame:
     """A CSV as text columns named by ``schema``; empty fields are NULL.
 
-    With ``row_order`` a column of that name follows the order of files and of lines within them.
+    With ``row_order`` a column of that name follows the order of files and of lines within them. Fields may hold line
+    breaks, so a file is read by one task; ``multi_line=False`` is for files without such fields, which can be split.
     """
-    df = spark.read.options(**_CSV).schema(as_text_schema(schema)).csv(paths)
+    df = spark.read.options(**_CSV | {"multiLine": multi_line}).schema(as_text_schema(schema)).csv(paths)
     if not row_order:
         return df
     place = F.struct(
@@ -82,7 +86,8 @@ def _write(df: DataFrame, path: str, schema: T.StructType, fmt: str) -> None:
         return
     types = {name: df.schema[name].dataType for name in schema.fieldNames()}
     text = df.select(*[_as_text(F.col(name), dtype).alias(name) for name, dtype in types.items()])
-    text.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    # A CSV file is read back by one task, so files stay small.
+    text.write.mode("overwrite").options(header=True, escape='"', emptyValue="", maxRecordsPerFile=ROWS_PER_FILE).csv(path)
 
 
 def write_collection(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -34,6 +34,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else value
+    if isinstance(value, (list, tuple)):
+        return tuple(_plain(v) for v in value)
+    if isinstance(value, bytearray):
+        return bytes(value)
     if isinstance(value, dt.datetime):
         return value.replace(tzinfo=None).isoformat()
     if isinstance(value, dt.date):
