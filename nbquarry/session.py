@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,12 +26,27 @@ BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to an existing session."""
+    """Apply the settings above to an existing session, and see that its Python workers can import this package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_nbquarry_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="nbquarry-")) / "nbquarry.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._nbquarry_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A new path under ``folder``, by default the shared folder named by ``spark.checkpoint.dir``.
 
