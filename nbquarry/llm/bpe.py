@@ -63,8 +63,8 @@ class Recent:
 
     def all(self, keys: list[str]) -> list[bytes]:
         found = list(map(self._new.get, keys))
-        if None in found:
-            found = [self._find(k) if f is None else f for f, k in zip(found, keys)]
+        for i in [i for i, f in enumerate(found) if f is None]:
+            found[i] = self._find(keys[i])
         return found
 
     def _find(self, key: str) -> bytes:
@@ -108,16 +108,17 @@ class Vocabulary:
         self.inner = [vocabulary[names[b]] for b in range(256)]
         self.final = [vocabulary[names[b] + self.suffix] for b in range(256)]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks: dict[int, int] = {}
+        # By the left token of a pair, then the right one.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]
         for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault(vocabulary[a] << 32 | vocabulary[b], rank)
+            self.ranks[vocabulary[a]].setdefault(vocabulary[b], rank)
         self.merged = [vocabulary[a + b] for a, b in pairs]
         values = {n: b for b, n in names.items()}
         self._values = values
         self._strings = [self._symbols(a) + self._symbols(b) for a, b in pairs]
         self.lookahead = sufficient_lookahead(self._strings)
         self.size = {vocabulary[a + b]: len(s) for (a, b), s in zip(pairs, self._strings)} | dict.fromkeys(self.inner + self.final, 1)
-        self._known = Recent(lambda piece: _packed(list(self.piece(piece.encode()))))
+        self._known = Recent(self._piece_ids)
 
     @staticmethod
     def _require(holds: bool, part: str) -> None:
@@ -142,49 +143,45 @@ class Vocabulary:
         """Tokens of a run of symbols: the merge that comes first in the list, leftmost first."""
         if len(symbols) > SHORT:
             return self._merge_long(symbols)
-        token, get, none = list(symbols), self.ranks.get, len(self.merged)
-        ranks = [get(a << 32 | b, none) for a, b in zip(token, token[1:])]
+        token, after, merged, none = list(symbols), self.ranks, self.merged, len(self.merged)
+        ranks = [after[a].get(b, none) for a, b in zip(token, token[1:])]
         while ranks:
             rank = min(ranks)
             if rank == none:
                 break
             i = ranks.index(rank)
-            token[i] = new = self.merged[rank]
+            token[i] = new = merged[rank]
             del token[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = get(new << 32 | token[i + 1], none)
+                ranks[i] = after[new].get(token[i + 1], none)
             if i:
-                ranks[i - 1] = get(token[i - 1] << 32 | new, none)
+                ranks[i - 1] = after[token[i - 1]].get(new, none)
         return token
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same with a heap of pairs and links between neighbours."""
-        n, get, gone = len(symbols), self.ranks.get, -1
+        n, gone = len(symbols), -1
+        get = lambda a, b: self.ranks[a].get(b)
         token, before, after = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rank, i) for i, (a, b) in enumerate(zip(token, token[1:])) if (rank := get(a << 32 | b)) is not None]
+        heap = [(rank, i) for i, (a, b) in enumerate(zip(token, token[1:])) if (rank := get(a, b)) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
             # A pair that has changed since is another pair, with its own entry.
-            if token[i] == gone or j >= n or get(token[i] << 32 | token[j]) != rank:
+            if token[i] == gone or j >= n or get(token[i], token[j]) != rank:
                 continue
             token[i], token[j] = self.merged[rank], gone
             after[i] = after[j]
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < n:
                     before[right] = left
-                    if (found := get(token[left] << 32 | token[right])) is not None:
+                    if (found := get(token[left], token[right])) is not None:
                         heapq.heappush(heap, (found, left))
         return [t for t in token if t != gone]
 
     def piece(self, data: bytes, chunk: int = CHUNK) -> Iterator[int]:
         """Tokens of one piece, of which at most ``lookahead + chunk`` bytes are held at a time."""
-        if len(data) <= SHORT:
-            symbols = list(map(self.inner.__getitem__, data))
-            symbols[-1] = self.final[data[-1]]
-            yield from self.merge(symbols)
-            return
         end, inner = 0, self.inner
         held: list[int] = []
         while True:
@@ -207,6 +204,15 @@ class Vocabulary:
             if not done:  # one token is longer than the chunk: read on
                 chunk *= 2
 
+    def _piece_ids(self, piece: str) -> bytes:
+        data = piece.encode()
+        if len(data) > SHORT:
+            return _packed(list(self.piece(data)))
+        inner = self.inner
+        symbols = [inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        return _packed(self.merge(symbols))
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of a normalized text."""
         if not self._usual:
@@ -282,10 +288,10 @@ class TokenNames:
     """Ids to the names of their tokens with one space between: what a vocabulary without a decoder decodes to."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self._text, self._first = vocabulary.text, True
+        self._name, self._first = vocabulary.text.__getitem__, True
 
     def feed(self, ids: tuple[int, ...]) -> str:
-        text = " ".join([self._text[i] for i in ids])
+        text = " ".join(map(self._name, ids))
         if ids and not self._first:
             text = " " + text
         self._first = self._first and not ids
