@@ -129,3 +129,23 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.keep_one(docs).count() == 0
+
+
+def edited(rng, kind, low, high):
+    """A text and a copy with one passage appended or replaced, so that their similarity is from ``low`` to below ``high``."""
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(9000))
+    words = [word() for _ in range(rng.randrange(150, 400))]
+    while True:
+        n, at = rng.randrange(1, 120), rng.randrange(150)
+        copy = words + [word() for _ in range(n)] if kind == "append" else words[:at] + [word() for _ in range(n)] + words[at + n:]
+        s, t = shingles(" ".join(words)), shingles(" ".join(copy))
+        if low <= len(s & t) / len(s | t) < high:
+            return " ".join(words), " ".join(copy)
+
+
+@pytest.mark.parametrize("kind", ["append", "replace"])
+def test_every_copy_with_another_passage_is_found(spark, kind):
+    rng = random.Random(5)
+    pairs = [edited(rng, kind, 0.8, 0.84) for _ in range(150)]
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 300, 2))
