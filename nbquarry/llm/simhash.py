@@ -29,7 +29,7 @@ SEED = 42
 # first, by bands of a fingerprint of word pairs; pairs that share a rare shingle are compared if at most FAR_BITS differ.
 SIMILAR, OF = 4, 5
 WORDS, PAIR = 5, 2
-BITS, SIMILAR_BITS, FAR_BITS = 256, 48, 80
+BITS, SIMILAR_BITS, FAR_BITS = 256, 32, 80
 BANDS, BAND_BITS = 32, 24
 # Common shingles come last in a text's order of shingles: as many as this, counted in one text of so many, if in so many.
 COMMON, SAMPLED, OFTEN = 1 << 15, 64, 3
@@ -394,7 +394,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance:
     one = [F.any_value(c).alias(c) for c in ("size", "bands", "bits", "keys")]
     nodes = stored(marked.groupBy("node").agg(*one, F.min(F.struct("m", "n", "h")).alias("least")).withColumn("h", F.col("least.h")))
     close = links(nodes.select(F.col("bands").alias("keys"), "node", F.struct(*words).alias("bits")), distance)
-    first = stored(components(close))
+    first = stored(components(confirmed(close, nodes, docs, text)))
     placed = nodes.select("node", "size", "bits", "keys").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only keys that lead from one group to another are looked at again.
     sharing = Window.partitionBy("key")

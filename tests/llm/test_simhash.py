@@ -149,3 +149,11 @@ def test_every_copy_with_another_passage_is_found(spark, kind):
     pairs = [edited(rng, kind, 0.8, 0.84) for _ in range(150)]
     docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 300, 2))
+
+
+@pytest.mark.parametrize("kind", ["append", "replace"])
+def test_texts_below_the_limit_stay(spark, kind):
+    rng = random.Random(6)
+    pairs = [edited(rng, kind, 0.75, 0.8) for _ in range(150)]
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 300
