@@ -4,7 +4,8 @@ Each document has a few rates (symbols, capitals, repeated lines and words, word
 far above the upper quartile of its language and source, measured by the spread between the quartiles. Quartiles come
 from sketches with logarithmic buckets: a count per bucket, so sketches merge by adding counts, in any order and with the
 same result, and their relative error is at most twice ``ACCURACY``. A group with few documents is judged by the merged
-sketch of its language, a language with few by that of all.
+sketch of its language, a language with few by that of all. In merged sketches all sources weigh the same, and no group's
+limit lies beyond what they allow: a source full of junk can't excuse it, however large it is.
 
 Everything here is DataFrame functions. Texts are never shuffled: only bucket counts are.
 """
@@ -32,6 +33,10 @@ ZERO = -(1 << 30)
 ACCURACY = 0.01
 # A group with fewer documents borrows the sketch of the next larger group.
 LEAST_GROUP = 200
+# A language's bound counts like its number of sources, that of all like so many.
+SOURCES = 4
+# The weight of a source in merged sketches, as whole numbers add up the same in any order.
+WEIGHT = 1 << 32
 # A rate is too high beyond the upper quartile plus this many spreads, but never below its slack. The slack is what
 # sound texts may have anywhere; it keeps a group of very even texts from rejecting harmless ones.
 SPREADS = 4.0
@@ -129,26 +134,36 @@ def limits(sketch: DataFrame) -> DataFrame:
     """``(lang_group, source_group)`` and the highest accepted value of each rate, from sketches of the groups."""
     base = math.log((1 + ACCURACY) / (1 - ACCURACY))
 
-    def quartiles(keys: list[str]) -> DataFrame:
-        merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-        upto = Window.partitionBy(*keys, "rate").orderBy("bucket")
-        ranked = merged.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(*keys, "rate"))})
+    def quartiles(keys: list[str], counted: DataFrame) -> DataFrame:
+        merged = counted.groupBy(*keys, "rate", "bucket").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+        upto, whole = Window.partitionBy(*keys, "rate").orderBy("bucket"), Window.partitionBy(*keys, "rate")
+        ranked = merged.withColumns({"upto": F.sum("weight").over(upto), "all": F.sum("weight").over(whole), "total": F.sum("n").over(whole)})
         # The upper end of a bucket (and a little more, for rounding), so that no quartile lies below its values.
         value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.exp(F.col("bucket") * base) * (1 + 1e-9))
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), value))
-        return ranked.groupBy(*keys, "rate").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.first("total").alias("total"))
+        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), value))
+        found = ranked.groupBy(*keys, "rate").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.first("total").alias("total"))
+        return found.select(*keys, "rate", "total", (F.col("high") + SPREADS * (F.col("high") - F.col("low"))).alias("fence"))
+
+    def evenly(keys: list[str]) -> DataFrame:
+        """Counts of the sources ``keys``, each with the same weight in all."""
+        merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+        share = F.col("n") / F.sum("n").over(Window.partitionBy(*keys, "rate"))
+        return merged.withColumn("weight", F.ceil(share * WEIGHT))
 
     group, language, everything = ["lang_group", "source_group"], ["lang_group"], []
-    renamed = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in ("low", "high", "total")})
+    renamed = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in ("fence", "total")})
+    sources = sketch.groupBy("lang_group", "rate").agg(F.count_distinct("source_group").alias("sources"))
     joined = (
-        renamed(quartiles(group), "0").join(renamed(quartiles(language), "1"), ["lang_group", "rate"])
-        .join(renamed(quartiles(everything), "2"), ["rate"])
+        renamed(quartiles(group, sketch.withColumn("weight", F.col("n"))), "0")
+        .join(renamed(quartiles(language, evenly(group)), "1"), ["lang_group", "rate"]).join(sources, ["lang_group", "rate"])
+        .join(renamed(quartiles(everything, evenly(["source_group"])), "2"), ["rate"])
     )
-    pick = lambda c: (
-        F.when(F.col("total_0") >= LEAST_GROUP, F.col(f"{c}_0")).when(F.col("total_1") >= LEAST_GROUP, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
+    fence = (
+        F.when(F.col("total_0") >= LEAST_GROUP, F.col("fence_0")).when(F.col("total_1") >= LEAST_GROUP, F.col("fence_1")).otherwise(F.col("fence_2"))
     )
+    bound = (F.col("sources") * F.col("fence_1") + SOURCES * F.col("fence_2")) / (F.col("sources") + SOURCES)
     slack = F.create_map(*[F.lit(x) for item in SLACK.items() for x in item])[F.col("rate")]
-    limit = F.greatest(slack, pick("high") + SPREADS * (pick("high") - pick("low")))
+    limit = F.greatest(slack, F.least(fence, bound))
     columns = [F.max(F.when(F.col("rate") == r, limit)).alias(f"most_{r}") for r in SLACK]
     return joined.groupBy(*group).agg(*columns)
 

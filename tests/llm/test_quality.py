@@ -73,6 +73,15 @@ def test_sketches_merge_and_are_accurate(spark):
     assert limit == pytest.approx(1.0, rel=2 * quality.ACCURACY) and limit >= 1
 
 
+def test_a_source_does_not_excuse_its_own_junk(spark):
+    rows = [(1000 * s + i, sentence(i + s), "en", f"s{s}") for s in range(8) for i in range(210)]
+    # The hot source has more rows than the others together, and a third of them are junk.
+    rows += [(10_000 + i, " ".join(w + "#" * (2 * (i % 3 == 0)) for w in sentence(i).split()), "en", "hot") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.filter_documents(docs).collect()}
+    assert kept == {i for i, text, *_ in rows if "#" not in text}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.filter_documents(docs).count() == 0
