@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm import bpe, ctw, html, licenses, mixing, oracles, packing, quality, simhash, topk, urls
+from nbquarry.llm import bpe, ctw, html, licenses, linededup, mixing, negatives, oracles, packing, quality, simhash, topk, trie, urls
 from nbquarry.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@_query("op11_conversation_trie", oracles.OP11_TRIE)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.prefix_trie(rebuilt(trie.sequences(_table(spark, sf_dir, "conversations"))))
+    return found.drop("node", "parent", "turn")
+
+
+def rebuilt(found: DataFrame) -> DataFrame:
+    """The query's conversations: each begins with the first turns of the one whose number is the next lower multiple of 20."""
+    own = found.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 20, "shared": F.crc32(F.col("conv_id").cast("string")) % 4})
+    heads = found.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), trie.part_of(F.col("turns"), 0, 3).alias("head"))
+    head = F.coalesce(trie.part_of(F.col("head"), 0, F.col("shared")), F.lit(b""))
+    return own.join(heads, "base", "left").select("conv_id", F.concat(head, trie.part_of(F.col("turns"), F.col("shared"))).alias("turns"))
+
+
+@_query("op12_line_dedup", oracles.OP12_LINES)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query("op13_hard_negatives", oracles.OP13_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
