@@ -24,25 +24,11 @@ DISTANCE = 4
 BLOCKS = 7
 SHINGLE = 4
 SEED = 42
-# Finding texts with a similarity of five-word shingles of 0.8 or more, given as a fraction. Such texts differ in some 15 % of
-# the bits of those shingles' fingerprint, with a deviation of 2.2 %. Those that differ in at most SIMILAR_BITS are looked for
-# first, by bands of a fingerprint of word pairs; pairs that share a rare shingle are compared if at most FAR_BITS differ.
-SIMILAR, OF = 4, 5
-WORDS, PAIR = 5, 2
-BITS, SIMILAR_BITS, FAR_BITS = 256, 32, 80
-BANDS, BAND_BITS = 32, 24
-# Common shingles come last in a text's order of shingles: as many as this, counted in one text of so many, if in so many.
-COMMON, SAMPLED, OFTEN = 1 << 15, 64, 3
-# Texts to compare are picked by a broadcast table of so many hash values at most, before they are shuffled.
-SLOTS = 1 << 20
 # Fingerprints of one key that one task holds at a time.
 RUN_ROWS = 1 << 15
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
-# Odd numbers that make many hashes of one: powers of a fixed multiplier.
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range((BANDS * BAND_BITS + BITS) // 64)], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
@@ -87,24 +73,6 @@ def _within(distance: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda a, b: _distance(a, b) <= distance
 
 
-def _across(distance: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Of rows ``(component, size, *bits)``: whether components differ, and sizes and bits are close enough to be similar."""
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        least, most = np.minimum(a[..., 1], b[..., 1]), np.maximum(a[..., 1], b[..., 1])
-        return (a[..., 0] != b[..., 0]) & (OF * least >= SIMILAR * most) & (_distance(a[..., 2:], b[..., 2:]) <= distance)
-
-    return near
-
-
-def _every(fps: np.ndarray, near: Callable) -> np.ndarray:
-    """All pairs of rows of ``fps`` that are near."""
-    found = [np.empty((0, 2), dtype=np.int64)]
-    for i in range(len(fps) - 1):
-        others = i + 1 + np.flatnonzero(near(fps[i + 1:], fps[i]))
-        found.append(np.stack([np.full(len(others), i), others], axis=1))
-    return np.concatenate(found)
-
-
 def _forest(fps: np.ndarray, near: Callable) -> np.ndarray:
     """Pairs of rows of ``fps`` (uint64) that span the graph of all links between them.
 
@@ -130,7 +98,7 @@ def _forest(fps: np.ndarray, near: Callable) -> np.ndarray:
     return np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
 
 
-def _pairs_of_runs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, near: Callable, find: Callable) -> np.ndarray:
+def _pairs_of_runs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, near: Callable) -> np.ndarray:
     """Links within each run of equal keys, as pairs of nodes. Short runs are compared all at once, by the gap between two positions."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
@@ -142,18 +110,17 @@ def _pairs_of_runs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, near: C
         at = at[near(fps[at], fps[at + gap])]
         found.append(nodes[np.stack([at, at + gap], axis=1)])
     for start, length in zip(starts[~short], lengths[~short]):
-        found.append(nodes[start + find(fps[start:start + length], near)])
+        found.append(nodes[start + _forest(fps[start:start + length], near)])
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
-def links(keyed: DataFrame, distance: int, run_rows: int = RUN_ROWS, across: bool = False) -> DataFrame:
+def links(keyed: DataFrame, distance: int, run_rows: int = RUN_ROWS) -> DataFrame:
     """Links ``(a, b)``, a < b, between the nodes of ``(keys, node, bits)`` that share a key and differ in at most ``distance`` bits.
 
     ``keys`` is an array of longs, ``node`` a long that stands for one fingerprint, ``bits`` the fingerprint as a struct of longs.
-    Not every such pair is listed, but every such pair is connected by listed ones. ``across`` lists all pairs between
-    components instead; ``bits`` then begins with a component and a size, which must be close as well.
+    Not every such pair is listed, but every such pair is connected by listed ones.
     """
-    near, find = (_across(distance), _every) if across else (_within(distance), _forest)
+    near = _within(distance)
     words = keyed.schema["bits"].dataType.names
     bits = ", ".join(f"{w} long" for w in words)
     flat = keyed.select(F.explode("keys").alias("key"), "node", *[F.col("bits")[w].alias(w) for w in words])
@@ -187,14 +154,14 @@ def links(keyed: DataFrame, distance: int, run_rows: int = RUN_ROWS, across: boo
                     continue
                 long_key, passed, last = None, 0, max(last, first)
             if last > first:
-                yield table(_pairs_of_runs(keys[first:last], nodes[first:last], fps[first:last], near, find))
+                yield table(_pairs_of_runs(keys[first:last], nodes[first:last], fps[first:last], near))
             held = (keys[last:], nodes[last:], fps[last:])
             if len(held[0]) > run_rows:
                 long_key = int(held[0][0])
                 yield pending(long_key, held[1], held[2], 0)
                 passed, held = len(held[0]), (keys[:0], nodes[:0], fps[:0])
         if len(held[0]):
-            yield table(_pairs_of_runs(*held, near, find))
+            yield table(_pairs_of_runs(*held, near))
 
     found = stored(
         flat.repartition("key").sortWithinPartitions("key", "node").mapInArrow(within_runs, f"a long, b long, part long, {bits}")
@@ -208,7 +175,7 @@ def links(keyed: DataFrame, distance: int, run_rows: int = RUN_ROWS, across: boo
     def within_parts(members: pa.Table) -> pa.Table:
         nodes, first = np.unique(members.column("node").to_numpy(), return_index=True)
         fps = np.stack([members.column(w).to_numpy()[first] for w in words], axis=1).view(np.uint64)
-        ends = np.sort(nodes[find(fps, near)], axis=1)
+        ends = np.sort(nodes[_forest(fps, near)], axis=1)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     across = spread.groupBy("key", "i", "j").applyInArrow(within_parts, "a long, b long")
@@ -286,126 +253,24 @@ def component_ids(marked: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     return stored(left_join_unique(rooted, ids, ["root"], ["fp"]).select("fp", "root", "component_id"))
 
 
-def signatures(text: str | None) -> tuple[list[int], list[int]]:
-    """``(bands, bits)``: keys from a long fingerprint of word pairs, and a fingerprint of five-word shingles.
-
-    Both are of sets of shingles, lower-cased in A-Z, and have zeros only without words.
-    """
-    def fingerprint(shingle: int, multipliers: np.ndarray) -> np.ndarray:
-        hashes = np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64))
-        if not len(hashes):
-            return np.zeros(64 * len(multipliers), np.uint8)
-        mixed = hashes * multipliers[:, None]
-        mixed = (mixed ^ mixed >> np.uint64(32)) * _MIX
-        lanes = (mixed ^ mixed >> np.uint64(29)).view(np.uint8).reshape(len(multipliers), -1, 8).astype(np.int64)
-        lanes += (np.arange(len(multipliers) * 8) * 256).reshape(-1, 1, 8)
-        ones = np.bincount(lanes.ravel(), minlength=len(multipliers) * 2048).reshape(-1, 256).astype(np.float32) @ _BITS.astype(np.float32)
-        return (2 * ones.ravel() > len(hashes)).astype(np.uint8)
-
-    bands = fingerprint(PAIR, _MULTIPLIERS[:BANDS * BAND_BITS // 64]).reshape(BANDS, BAND_BITS)
-    numbers = bands @ (1 << np.arange(BAND_BITS, dtype=np.int64)) + (np.arange(BANDS) << BAND_BITS)
-    bits = np.packbits(fingerprint(WORDS, _MULTIPLIERS[-BITS // 64:]), bitorder="little").view("<i8")
-    return numbers.tolist(), bits.tolist()
-
-
-def common_shingles(docs: DataFrame, text: str = "text") -> list[int]:
-    """The shingles that a sample of distinct texts has most often, the commonest last. Bounded, and the same for equal tables."""
-    @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
-    sample = docs.select(col(text).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0).distinct()
-    counts = sample.select(F.explode(of("t")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    return [r.s for r in counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()][::-1]
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """The hashes of a text's five-word shingles, each once and in order."""
-    return np.unique(np.array(shingle_hashes(text, WORDS), dtype=np.uint64))
-
-
-def first_shingles(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """So many shingles that two sets with a similarity of 0.8 or more share one of theirs: all but 0.8 of them, and one.
+def keep_one(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE,
+) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest id.
 
-    Shingles are taken in an order that is the same for all texts: first those not in ``common`` (sorted), then by ``ranks``.
+    Groups are the components of :func:`near_duplicates`. Of rows that share the smallest id, the one with the smallest hash
+    of its text stays, and of equal rows one. NULL ids come after all others; ids are integers. NULL and empty texts are
+    copies of each other. Whole rows are shuffled once, to meet the survivors. An empty table stays empty.
     """
-    n = len(shingles)
-    at = np.minimum(np.searchsorted(common, shingles), max(len(common) - 1, 0))
-    rank = np.where(common[at] == shingles, ranks[at], -1) if len(common) else np.full(n, -1)
-    return shingles[np.lexsort((shingles, rank))[:n - (SIMILAR * n + OF - 1) // OF + 1]]
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, sorted, have a Jaccard similarity of 0.8 or more."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * shared >= SIMILAR * (len(a) + len(b) - shared)
-
-
-def confirmed(found: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Those of the links ``(a, b)`` whose texts are similar. ``nodes`` has ``node`` and ``h``, the XXH64 of one text of it."""
-    @F.arrow_udf("boolean")
-    def check(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array([similar(shingle_set(s.as_py()), shingle_set(t.as_py())) for s, t in zip(left, right)], pa.bool_())
-
-    slot = lambda h: F.pmod(h, F.lit(SLOTS))
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stored(ends.join(nodes.select("node", "h"), "node"))
-    whole = docs.select(F.coalesce(col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    picked = whole.join(F.broadcast(needed.select(slot(F.col("h")).alias("slot")).distinct()), slot(F.col("h")) == F.col("slot"), "left_semi")
-    texts = stored(picked.dropDuplicates(["h"]).join(needed, "h").select("node", "t"))
-    left, right = texts.withColumnsRenamed({"node": "a", "t": "s"}), texts.withColumnRenamed("node", "b")
-    return stored(found.join(left, "a").join(right, "b").where(check("s", "t")).select("a", "b"))
-
-
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = SIMILAR_BITS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the smallest id.
-
-    Documents are linked if their sets of five-word shingles (lower-cased in A-Z) have a Jaccard similarity of 0.8 or more; groups
-    are what links connect. Every link is confirmed on the texts. Close pairs are found first, by bands of a long fingerprint of
-    word pairs and a Hamming distance of at most ``distance``. Then all pairs between the groups so far that share one of
-    their first shingles are compared, as every similar pair does. Of rows that share the smallest id, the one with the
-    smallest hash of its text stays, and of equal rows one. NULL ids come after all others. NULL and empty texts are copies
-    of each other. Whole rows are shuffled once, to meet the survivors, and texts with a link to confirm.
-    """
-    listed = np.array(common_shingles(docs, text), dtype=np.int64).view(np.uint64)
-    ranks = np.argsort(listed)
-    common = listed[ranks]
-
-    @F.arrow_udf("node long, size long, bands array<long>, bits array<long>, keys array<long>")
-    def sign(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            shingles = shingle_set(t.as_py())
-            node = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
-            rows.append((node - (node >> 63 << 64), len(shingles), *signatures(t.as_py()), first_shingles(shingles, common, ranks).view(np.int64)))
-        many = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), many, many, many]
-        return pa.StructArray.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["node", "size", "bands", "bits", "keys"])
-
     hashed, number, missing = (free_name(docs, n) for n in ("text_hash", "id_number", "id_missing"))
     keyed = docs.withColumns({
-        hashed: F.xxhash64(F.coalesce(col(text), F.lit(""))), number: F.coalesce(col(id), F.lit(0)), missing: col(id).isNull(),
+        hashed: F.xxhash64(F.coalesce(col(text), F.lit(""))), number: F.coalesce(col(id).cast("long"), F.lit(0)), missing: col(id).isNull(),
     })
-    thin = keyed.select(
-        sign(col(text)).alias("s"), col(hashed).alias("h"), col(number).alias("n"), col(missing).alias("m"),
-    )
-    marked = stored(thin.select("s.*", "h", "n", "m"))
-    words = [F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)]
-    one = [F.any_value(c).alias(c) for c in ("size", "bands", "bits", "keys")]
-    nodes = stored(marked.groupBy("node").agg(*one, F.min(F.struct("m", "n", "h")).alias("least")).withColumn("h", F.col("least.h")))
-    close = links(nodes.select(F.col("bands").alias("keys"), "node", F.struct(*words).alias("bits")), distance)
-    first = stored(components(confirmed(close, nodes, docs, text)))
-    placed = nodes.select("node", "size", "bits", "keys").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Only keys that lead from one group to another are looked at again.
-    sharing = Window.partitionBy("key")
-    flat = placed.select(F.explode("keys").alias("key"), "node", "root")
-    met = flat.withColumns({"from": F.min("root").over(sharing), "to": F.max("root").over(sharing)}).where(F.col("from") < F.col("to"))
-    again = met.groupBy("node").agg(F.collect_list("key").alias("keys")).join(placed.drop("keys"), "node")
-    far = links(again.select("keys", "node", F.struct("root", "size", *words).alias("bits")), FAR_BITS, across=True)
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(confirmed(far, nodes, docs, text))
-    rooted = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = stored(rooted.groupBy("root").agg(F.min("least").alias("best")).select(
-        F.col("best.h").alias(hashed), F.col("best.n").alias(number), F.col("best.m").alias(missing)
-    ))
+    place = F.struct(col(missing).alias("m"), col(number).alias("n"), col(hashed).alias("h"))
+    thin = keyed.select(col(id).cast("long").alias("doc_id"), place.alias("place"), col(text).alias("_text"))
+    marked = stored(with_fingerprint(thin, "_text", shingle=shingle).drop("_text"))
+    named = component_ids(marked, distance, blocks)
+    first = marked.groupBy("fp").agg(F.min("place").alias("place")).join(named, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    best = stored(first.select(F.col("place.h").alias(hashed), F.col("place.n").alias(number), F.col("place.m").alias(missing)))
     keys = [hashed, number, missing]
     return keyed.join(best, keys, "left_semi").dropDuplicates(keys).select(*[col(c) for c in docs.columns])
