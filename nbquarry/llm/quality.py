@@ -183,10 +183,16 @@ def judge(featured: DataFrame, limits: DataFrame, lang: str | None = "lang", sou
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str | None = "lang", source: str | None = "source") -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
-    plain = docs.select(col(text).alias("text"), *[col(c).alias(c) for c in (lang, source) if c])
-    table = stored(limits(stored(sketches(features(plain), lang, source))))
-    inside, whole = "document", docs.select(F.struct("*").alias("document"))
+    """The documents that the rules keep, with the columns of ``docs``.
+
+    Rates are worked out once and stored beside the documents; sketches and verdicts read them there. A NULL text counts as
+    empty and goes, as every text below ``LEAST_WORDS`` words does. NULL languages and sources are groups like any other; ids
+    play no role. Repeated rows are judged alike, texts may have any length, an empty table stays empty.
+    """
+    inside = "document"
+    whole = docs.select(F.struct("*").alias(inside))
     texts = whole.select(inside, *[col(inside)[c].alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source")) if c])
-    judged = judge(features(texts), table, lang and "lang", source and "source")
-    return judged.where("kept").select(f"{inside}.*")
+    featured = stored(features(texts).drop("text"))
+    lang, source = lang and "lang", source and "source"
+    table = stored(limits(stored(sketches(featured, lang, source))))
+    return judge(featured, table, lang, source).where("kept").select(f"{inside}.*")
