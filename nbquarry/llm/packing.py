@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nbquarry.llm.common import col
+from nbquarry.llm.common import col, stored
 
 LENGTH = 2048
 # Bytes of text that make a shard.
@@ -187,7 +187,8 @@ def pack_documents(
 
     plain = docs.select(col(id).cast("long").alias("doc_id"), col(text).alias("text"))
     size = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
-    pieces = plain.mapInArrow(split, "doc_id long, part int, ids binary")
+    # Full rows and short pieces come from one pass over the texts.
+    pieces = stored(plain.mapInArrow(split, "doc_id long, part int, ids binary"))
     whole = F.octet_length("ids") == 2 * length
     packed = pack(pieces.where(~whole), max(1, -(-size // shard_bytes)), end, length)
     return pieces.where(whole).mapInArrow(full, SCHEMA).unionByName(packed)
