@@ -180,7 +180,8 @@ def repeated_lines(lines: DataFrame, least: int = LEAST, shard_keys: int = SHARD
     index, shards = line_index(lines, least, shard_keys, part_rows)
     copied = stored(index.where("copies > 1").select("shard", "copies"))
     listed = F.broadcast(copied) if copied.count() <= MOST_LISTED else copied
-    copy = F.pmod(F.xxhash64("doc_id", "text_hash", "line"), F.coalesce("copies", F.lit(1)))
+    # Both sides' keys must have the same type, or equal keys would go to different tasks.
+    copy = F.pmod(F.xxhash64("doc_id", "text_hash", "line"), F.coalesce("copies", F.lit(1))).cast("int")
     asking = lines.withColumn("shard", F.pmod("k1", F.lit(shards))).join(listed, "shard", "left").withColumn("copy", copy).drop("copies")
     # Columns of its own: both sides of a cogroup must not share any, or pruning one side would prune the other.
     arrays = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest("copies", F.lit(1)) - 1))).drop("copies")
