@@ -86,6 +86,27 @@ def integer_value(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
+def _of_notebook(notebooks: DataFrame, from_doc: Column, field: str) -> Column:
+    """A value read from ``doc``, or where the document is too large for that, the field of ``large`` (see ``functions.large``)."""
+    return F.coalesce(from_doc, F.col("large").getField(field)) if "large" in notebooks.columns else from_doc
+
+
+def is_decoded(notebooks: DataFrame) -> Column:
+    doc = F.col("doc").isNotNull()
+    return doc | F.col("large").isNotNull() if "large" in notebooks.columns else doc
+
+
+def metadata(notebooks: DataFrame) -> dict[str, Column]:
+    """``kernel_name``, ``language`` and ``python_version_declared`` of the notebooks."""
+    readers = {"kernel_name": kernel_name, "language": language, "python_version_declared": language_version}
+    return {name: _of_notebook(notebooks, read(F.col("doc")), name).alias(name) for name, read in readers.items()}
+
+
+def cells_of(notebooks: DataFrame) -> Column:
+    """Light columns of every cell of the notebooks, NULL where they are undecoded."""
+    return _of_notebook(notebooks, F.when(F.col("doc").isNotNull(), cell_records(F.col("doc"))), "cells")
+
+
 def kernel_name(doc: Column) -> Column:
     return F.try_variant_get(doc, "$.metadata.kernelspec.name", "string")
 

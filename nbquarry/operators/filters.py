@@ -8,13 +8,13 @@ from nbquarry.functions import documents as D
 from nbquarry.schema import COLLECTION_SCHEMA, OUTPUT_COMPARISON_FIELDS
 
 
-def is_python_document(doc: Column) -> Column:
+def is_python_document(notebooks: DataFrame) -> Column:
     """The declared language contains ``python``, in any case; no declared language fails."""
-    return F.coalesce(F.contains(F.lower(D.language(doc)), F.lit("python")), F.lit(False))
+    return F.coalesce(F.contains(F.lower(D.metadata(notebooks)["language"]), F.lit("python")), F.lit(False))
 
 
 def filter_python(notebooks: DataFrame) -> DataFrame:
-    return notebooks.where(is_python_document(F.col("doc")))
+    return notebooks.where(is_python_document(notebooks))
 
 
 def is_executed_state() -> Column:

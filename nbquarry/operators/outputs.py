@@ -54,9 +54,17 @@ def code_outputs(doc: Column) -> Column:
     return F.flatten(F.transform(code, lambda c: F.coalesce(D.list_items(c, "$.outputs"), none)))
 
 
+def outputs_of(notebooks: DataFrame) -> Column:
+    """:func:`code_outputs` of the notebooks, NULL where they are undecoded. Large ones bring each output as JSON text."""
+    of_doc = F.when(F.col("doc").isNotNull(), code_outputs(F.col("doc")))
+    if "large" not in notebooks.columns:
+        return of_doc
+    return F.coalesce(of_doc, F.transform("large.outputs", lambda o: D.parse_json(o.json)))
+
+
 def canonical_outputs(notebooks: DataFrame) -> DataFrame:
     """One row per output of a code cell, in canonical form, with its position in the notebook."""
-    outputs = notebooks.select("nb_id", F.posexplode(code_outputs(F.col("doc"))).alias("output_idx", "output"))
+    outputs = notebooks.select("nb_id", F.posexplode(outputs_of(notebooks)).alias("output_idx", "output"))
     return outputs.select("nb_id", "output_idx", canonical_output(F.col("output")).alias("c")).select(
         "nb_id", "output_idx", "c.*"
     )
@@ -79,10 +87,9 @@ def fingerprint(outputs: Column) -> Column:
 
 
 def outputs_hash(notebooks: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Fingerprint per notebook, NULL where ``doc`` is. Runs inside each row: no shuffle."""
+    """Fingerprint per notebook, NULL where it is undecoded. Runs inside each row: no shuffle."""
     keep = keep or ["nb_id"]
-    doc = F.col("doc")
-    found = notebooks.select(*keep, F.when(doc.isNotNull(), D.let(code_outputs(doc), fingerprint)).alias("f"))
+    found = notebooks.select(*keep, D.let(outputs_of(notebooks), lambda o: F.when(o.isNotNull(), fingerprint(o))).alias("f"))
     return found.select(*keep, "f.outputs_hash", "f.n_outputs")
 
 

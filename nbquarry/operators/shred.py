@@ -11,7 +11,7 @@ from nbquarry.schema import CELL_FIELDS
 
 def explode_cells(notebooks: DataFrame) -> DataFrame:
     """One row per cell with its 0-based position; undecoded notebooks give none."""
-    return notebooks.select("nb_id", F.inline(D.cell_records(F.col("doc")))).select(*CELL_FIELDS)
+    return notebooks.select("nb_id", F.inline(D.cells_of(notebooks))).select(*CELL_FIELDS)
 
 
 def explode_outputs(notebooks: DataFrame) -> DataFrame:
@@ -19,9 +19,13 @@ def explode_outputs(notebooks: DataFrame) -> DataFrame:
     cells = notebooks.select(
         "nb_id", F.posexplode(D.list_items(F.col("doc"), "$.cells")).alias("cell_idx", "cell")
     ).where(F.try_variant_get("cell", "$.cell_type", "string") == "code")
-    return cells.select(
+    outputs = cells.select(
         "nb_id", "cell_idx", F.posexplode(D.list_items(F.col("cell"), "$.outputs")).alias("output_idx", "output")
     )
+    if "large" not in notebooks.columns:
+        return outputs
+    large = notebooks.where(F.col("large").isNotNull()).select("nb_id", F.inline("large.outputs"))
+    return outputs.unionByName(large.select("nb_id", "cell_idx", "output_idx", D.parse_json(F.col("json")).alias("output")))
 
 
 def explode_mime(outputs: DataFrame) -> DataFrame:

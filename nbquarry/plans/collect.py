@@ -37,15 +37,9 @@ def _order_metrics(counts: Column, stored: Column) -> list[Column]:
 
 
 def notebook_metrics(notebooks: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """All content metrics, one row per notebook; NULL metrics where ``doc`` is NULL. No shuffle."""
+    """All content metrics, one row per notebook; NULL metrics where it is undecoded. No shuffle."""
     keep = keep or ["nb_id"]
-    doc = F.col("doc")
-    cells = notebooks.select(
-        *keep,
-        D.kernel_name(doc).alias("kernel_name"), D.language(doc).alias("language"),
-        D.language_version(doc).alias("python_version_declared"),
-        F.when(doc.isNotNull(), D.cell_records(doc)).alias("cells"),
-    )
+    cells = notebooks.select(*keep, *D.metadata(notebooks).values(), D.cells_of(notebooks).alias("cells"))
     cells = D.computed_once(cells, "cells")
     of_type = lambda t: F.filter("cells", lambda c: c.cell_type == t)
     split = cells.withColumns({
@@ -92,7 +86,7 @@ def keep_unparsed(notebooks: DataFrame, only_python: bool = True) -> DataFrame:
     """Notebooks to measure. Undecoded ones always stay; others must pass the language filter if it is on."""
     if not only_python:
         return notebooks
-    return notebooks.where(F.col("doc").isNull() | is_python_document(F.col("doc")))
+    return notebooks.where(~D.is_decoded(notebooks) | is_python_document(notebooks))
 
 
 def build_collection(

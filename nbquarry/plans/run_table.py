@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from nbquarry.functions.documents import is_decoded
 from nbquarry.functions.names import default_branch
 from nbquarry.operators.filters import filter_parsed_strict
 from nbquarry.operators.joins import left_join_unique
@@ -20,7 +21,7 @@ _DECLARED = ["repo_default_branch", "kernel_name", "language", "python_version_d
 
 def fingerprinted_originals(originals: DataFrame) -> DataFrame:
     """Light table of originals: name, whether it could be read, fingerprint and number of outputs."""
-    hashed = outputs_hash(originals.withColumn("readable", F.col("doc").isNotNull()),
+    hashed = outputs_hash(originals.withColumn("readable", is_decoded(originals)),
                           ["owner", "repo", "archive_name", "readable"])
     return hashed.withColumnsRenamed({"outputs_hash": "outputs_hash_orig", "n_outputs": "n_outputs_orig"})
 

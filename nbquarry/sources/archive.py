@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from nbquarry.functions import documents as D
+from nbquarry.functions.large import CHUNK_BYTES, large_document
 from nbquarry.functions.names import archive_name, owner_of, repo_of, sanitize_name, short_sha
 
+# A VARIANT holds 128 MiB. Its encoding of a text takes less than four times the text's bytes, so texts up to this fit.
+LARGE_BYTES = 32 << 20
 _ARCHIVE_PATH = r"/([^/]+)/([^/]+)/([^/]+)$"
 
 
@@ -25,16 +28,25 @@ def decoded_text(encoding: Column, content: Column, download_body: Column) -> Co
     return F.when(in_line, utf8_text(raw)).otherwise(download_body)
 
 
-def decode_contents(contents: DataFrame) -> DataFrame:
-    """Replace the encoded columns by ``doc``, a VARIANT that is NULL where no notebook could be read."""
+def decode_contents(contents: DataFrame, large_bytes: int = LARGE_BYTES) -> DataFrame:
+    """Replace the encoded columns by ``doc``, a VARIANT that is NULL where no notebook could be read.
+
+    Texts above ``large_bytes`` are read as a stream instead, into ``large``: metadata, light cells and the text of each output
+    (``functions.large.LARGE``), with the whole text as ``raw``. At most one of the two columns is filled.
+    """
     encoded = ["encoding", "content", "download_body"]
     text = decoded_text(*[F.col(c) for c in encoded])
-    parsed = contents.select(*[c for c in contents.columns if c not in encoded], D.parse_json(text).alias("_parsed"))
-    return _with_document(parsed)
+    return with_document(contents.select(*[c for c in contents.columns if c not in encoded], text.alias("_text")), large_bytes)
 
 
-def _with_document(parsed: DataFrame) -> DataFrame:
-    """``doc`` for ``_parsed``: NULL unless it is a notebook."""
+def with_document(rows: DataFrame, large_bytes: int = LARGE_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``doc`` and ``large`` for the column ``_text``. Short texts never leave the JVM."""
+    is_large = F.octet_length("_text") > large_bytes
+    read = D.computed_once(rows.withColumn("_large", large_document(F.when(is_large, F.col("_text")), chunk_bytes)), "_large")
+    raw = F.struct("_large.*", F.col("_text").alias("raw"))
+    parsed = read.withColumns({
+        "large": F.when(F.col("_large").isNotNull(), raw), "_parsed": D.parse_json(F.when(~is_large, F.col("_text"))),
+    }).drop("_large", "_text")
     return D.computed_once(parsed.withColumn("doc", D.usable_document(F.col("_parsed"))).drop("_parsed"), "doc")
 
 
@@ -50,20 +62,21 @@ def read_notebook_archive(spark: SparkSession, base: str) -> DataFrame:
     part = lambda k: F.regexp_extract("path", _ARCHIVE_PATH, k)
     rows = files.select(
         part(1).alias("owner"), part(2).alias("repo"), part(3).alias("archive_name"), "path",
-        D.parse_json(utf8_text(F.col("content"))).alias("_parsed"),
+        utf8_text(F.col("content")).alias("_text"),
     )
-    return _with_document(rows)
+    return with_document(rows)
 
 
 def archive_rows(notebooks: DataFrame) -> DataFrame:
     """Decoded notebooks as archive rows: sanitized owner and repository, archive name, short hash, document text."""
     full_name = F.col("repo_full_name")
-    return notebooks.where(F.col("doc").isNotNull()).select(
+    text = F.to_json("doc")
+    return notebooks.where(D.is_decoded(notebooks)).select(
         sanitize_name(owner_of(full_name)).alias("owner"),
         sanitize_name(repo_of(full_name)).alias("repo"),
         archive_name(F.col("file_sha"), F.col("file_path")).alias("archive_name"),
         short_sha(F.col("file_sha")).alias("sha8"),
-        F.to_json("doc").alias("raw"),
+        (F.coalesce(text, F.col("large.raw")) if "large" in notebooks.columns else text).alias("raw"),
     )
 
 
@@ -74,5 +87,5 @@ def write_notebook_archive(notebooks: DataFrame, path: str) -> None:
 
 def read_archive_table(spark: SparkSession, path: str) -> DataFrame:
     """The table written by :func:`write_notebook_archive`, in the shape of :func:`read_notebook_archive`."""
-    rows = spark.read.parquet(path).select("owner", "repo", "archive_name", D.parse_json(F.col("raw")).alias("_parsed"))
-    return _with_document(rows)
+    rows = spark.read.parquet(path).select("owner", "repo", "archive_name", F.col("raw").alias("_text"))
+    return with_document(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nbquarry.functions import documents as D
 from nbquarry.operators import code as G, filters, outputs as O, shred
 from nbquarry.plans.collect import build_collection, collect_windows, collected_originals, keep_unparsed, notebook_metrics
+from nbquarry.schema import COLLECTION_FIELDS, DEPENDENCY_FIELDS, IDENTITY_FIELDS
 from nbquarry.session import configure
 from nbquarry.sources import archive
 from registry import fixtures as X
@@ -97,14 +98,8 @@ def explode_mime(spark, sf):
     return shred.explode_mime(_outputs(spark, sf))
 
 
-_METRICS = [
-    "kernel_name", "language", "python_version_declared", "n_cells_total", "n_code", "n_markdown", "n_raw",
-    "n_code_executed", "percent_code_executed", "has_unambiguous_order", "out_of_order", "n_skips_total",
-    "n_skips_middle", "max_execution_count", "n_cells_with_output", "outputs_text", "outputs_image", "outputs_html_js",
-    "outputs_error", "outputs_formatted", "outputs_ext", "imports_total", "top_imports_json", "has_local_imports",
-    "defines_function", "defines_class", "has_control_flow", "uses_testing_module", "ai_marker_found",
-    "triple_backticks_in_code", "has_abs_data_path",
-]
+# What is measured of a document: all columns of the collection but facts about the file and its repository.
+_METRICS = [f for f in COLLECTION_FIELDS if f not in IDENTITY_FIELDS + DEPENDENCY_FIELDS]
 
 
 @checked("notebook_metrics", f"{_DOC} select nb_id, {', '.join(_METRICS)} from doc_all")
@@ -126,6 +121,28 @@ deps as (
 """
 
 
+def _large(spark, sf):
+    """The same notebooks with most of them counted as large: those are read as a stream of chunks."""
+    return archive.decode_contents(X.contents(configure(spark), sf), large_bytes=1 << 10)
+
+
+@checked("notebook_metrics_large", f"{_DOC} select nb_id, {', '.join(_METRICS)} from doc_all")
+def metrics_large(spark, sf):
+    notebooks = _large(spark, sf)
+    return notebook_metrics(notebooks.where(D.is_decoded(notebooks))).select("nb_id", *_METRICS)
+
+
+@checked("outputs_hash_large", f"{_DOC} select nb_id, outputs_hash, n_outputs from fingerprints")
+def outputs_hash_large(spark, sf):
+    notebooks = _large(spark, sf)
+    return O.outputs_hash(notebooks.where(D.is_decoded(notebooks)))
+
+
+@checked("explode_mime_large", f"{_DOC} select nb_id, cell_idx, 0 as output_idx, mime from doc_cells join mimes using (out_kind)")
+def explode_mime_large(spark, sf):
+    return shred.explode_mime(shred.explode_outputs(_large(spark, sf)))
+
+
 @checked("build_collection", f"""{_DOC}, {X.duck_views('fx_tree')}, {_REPOS},
 ids as (
   select nb_id, {X.REPO.format(nb='nb_id')} as repo_full_name, {_UNDECODED} as undecoded

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nbquarry.functions import documents as D, names
+from nbquarry.functions import names
 from nbquarry.operators import matching, outputs as O, repos, runs as R, summary as S
 from nbquarry.operators.filters import has_output_columns
 from nbquarry.plans.report import corpus_report
 from nbquarry.plans.run_table import run_table as build_run_table
+from nbquarry.sources.archive import with_document
 from registry import collection_queries as CQ, fixtures as X
 from registry.book import checked
 
@@ -281,7 +282,7 @@ def _run_table(spark, sf):
         F.expr("'repo' || cast(nb_id % 100 as string)").alias("repo"),
         F.expr(_ORIGINAL_NAME.replace("doc_id", "nb_id").replace("varchar", "string")).alias("archive_name"),
     )
-    parsed = lambda df: D.computed_once(df.withColumn("doc", D.usable_document(D.parse_json(F.col("_body")))).drop("_body"), "doc")
+    parsed = lambda df: with_document(df.withColumnRenamed("_body", "_text"))
     originals = parsed(named.drop("nb_id"))
     ran = _logs(spark, sf).where("log_id % 3 < 2").select(
         "log_id", F.split_part("repo_full_name", F.lit("/"), F.lit(1)).alias("owner"), F.split_part("repo_full_name", F.lit("/"), F.lit(2)).alias("repo"),
