@@ -173,7 +173,28 @@ select r.error, c.deps_any, c.out_of_order, c.has_abs_data_path, count(*) as n
 from fx_runs r left join fx_collection c using (repo_full_name, file_path) group by all"""
 
 
-@checked("runs_with_collection", _TRAITS)
+@checked("runs_with_collection", f"""with {X.duck_views('fx_runs', 'fx_collection')}
+select r.row_id, r.error, r.exec_ok, c.row_id as listing, c.deps_any, c.out_of_order, c.has_abs_data_path
+from fx_runs r left join fx_collection c using (repo_full_name, file_path)""")
+def runs_with_collection(spark, sf):
+    listings = X.view(spark, sf, "fx_collection").withColumnRenamed("row_id", "listing")
+    joined = matching.runs_with_collection(_runs(spark, sf), listings, ["listing", *matching.TRAITS], ["row_id"])
+    return joined.select("row_id", "error", "exec_ok", "listing", *matching.TRAITS)
+
+
+@checked("error_cube", f"""with {X.duck_views('fx_runs', 'fx_collection')},
+cells as (
+  select r.error, c.deps_any, c.out_of_order, c.has_abs_data_path, count(*) as n,
+    grouping_id(r.error, c.deps_any, c.out_of_order, c.has_abs_data_path)::integer as level
+  from fx_runs r left join fx_collection c using (repo_full_name, file_path)
+  group by cube(r.error, c.deps_any, c.out_of_order, c.has_abs_data_path))
+select t.*, 100.0::double * t.n / w.n as pct from cells t join cells w
+  on w.level = 8 + t.level % 8 and w.deps_any is not distinct from t.deps_any and w.out_of_order is not distinct from t.out_of_order
+    and w.has_abs_data_path is not distinct from t.has_abs_data_path""")
+def error_cube(spark, sf):
+    return matching.error_cube(_runs(spark, sf), X.view(spark, sf, "fx_collection"))
+
+
 @checked("errors_by_notebook_traits", _TRAITS)
 def errors_by_notebook_traits(spark, sf):
     return matching.errors_by_notebook_traits(_runs(spark, sf), X.view(spark, sf, "fx_collection"))

@@ -181,3 +181,23 @@ def test_no_denominator_no_kpi(spark):
                                  " outputs_hash_exec string, n_outputs_orig string, n_outputs_exec string")
     assert S.reproducibility_kpis(runs).count() == 0
     assert S.originals_found_rate(runs).first().pct == 0.0
+
+
+@pytest.mark.parametrize("part_rows", [1, 20, joins.PART_ROWS])
+def test_runs_next_to_their_listings(spark, part_rows):
+    runs = [(i, "o/hot" if i % 3 else f"o/{i}", "a") for i in range(90)] + [(100, None, "a")]
+    listed = [("o/hot", "a", 1), ("o/hot", "a", 2), ("o/3", "a", 3), ("o/hot", "b", 4), (None, "a", 5)]
+    rdf = spark.createDataFrame(runs, "row_id int, repo_full_name string, file_path string").repartition(3)
+    cdf = spark.createDataFrame(listed, "repo_full_name string, file_path string, listing int")
+    found = matching.runs_with_collection(rdf, cdf, ["listing"], ["row_id"], part_rows=part_rows)
+    expected = [(i, x) for i, r, p in runs for x in [n for a, b, n in listed if r is not None and (a, b) == (r, p)] or [None]]
+    assert sorted(((r.row_id, r.listing) for r in found.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_cube_tells_subtotals_from_missing_values(spark):
+    runs = spark.createDataFrame([("r", "a", "E"), ("r", "a", "E"), ("r", "a", None), ("r", "x", "E")], "repo_full_name string, file_path string, error string")
+    collection = spark.createDataFrame([("r", "a", None, False, False)], "repo_full_name string, file_path string, deps_any boolean, out_of_order boolean, has_abs_data_path boolean")
+    cube = {(r.level, r.error, r.deps_any, r.out_of_order, r.has_abs_data_path): (r.n, r.pct) for r in matching.error_cube(runs, collection).collect()}
+    assert cube[(0, "E", None, False, False)] == (2, pytest.approx(200 / 3)) and cube[(0, None, None, False, False)] == (1, pytest.approx(100 / 3))
+    assert cube[(8, None, None, False, False)] == (3, 100.0) and cube[(15, None, None, None, None)] == (4, 100.0) and cube[(7, "E", None, None, None)] == (3, 75.0)
+    assert cube[(3, "E", None, None, None)] == (3, 75.0)
