@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from nbquarry.functions import documents as D
 from nbquarry.functions.large import CHUNK_BYTES, large_document
 from nbquarry.functions.names import archive_name, owner_of, repo_of, sanitize_name, short_sha
+from nbquarry.sources import archive_files
 
 # A VARIANT holds 128 MiB. Its encoding of a text takes less than four times the text's bytes, so texts up to this fit.
 LARGE_BYTES = 32 << 20
@@ -50,21 +51,29 @@ def with_document(rows: DataFrame, large_bytes: int = LARGE_BYTES, chunk_bytes:
     return D.computed_once(parsed.withColumn("doc", D.usable_document(F.col("_parsed"))).drop("_parsed"), "doc")
 
 
-def read_notebook_archive(spark: SparkSession, base: str) -> DataFrame:
-    """``(owner, repo, archive_name, path, doc)`` from files ``base/owner/repo/{sha8}_{name}.ipynb``.
+def read_notebook_archive(spark: SparkSession, base: str, hadoop: bool = False, large_bytes: int = LARGE_BYTES) -> DataFrame:
+    """``(owner, repo, archive_name, path, doc, large)`` from files ``base/owner/repo/{sha8}_{name}.ipynb``.
 
-    ``doc`` is NULL where a file is no notebook. Meant for a one-time import, as there is a small file for each row; plans
-    are better served by the packed table of :func:`write_notebook_archive`.
+    Both last columns are NULL where a file is no notebook. Small files share tasks, and conditions on owner and repository
+    decide which folders are listed (see ``archive_files``). With ``hadoop`` Spark's own source for files is used, for stores that
+    only Spark can open. Plans are better served by the packed table of :func:`write_notebook_archive`.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.ipynb").load(base)
-    )
-    part = lambda k: F.regexp_extract("path", _ARCHIVE_PATH, k)
-    rows = files.select(
-        part(1).alias("owner"), part(2).alias("repo"), part(3).alias("archive_name"), "path",
-        utf8_text(F.col("content")).alias("_text"),
-    )
-    return with_document(rows)
+    if hadoop:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.ipynb").load(base)
+        part = lambda k: F.regexp_extract("path", _ARCHIVE_PATH, k)
+        files = files.select(part(1).alias("owner"), part(2).alias("repo"), part(3).alias("archive_name"), "path", "content")
+    else:
+        archive_files.register(spark)
+        files = spark.read.format(archive_files.NAME).load(base)
+    rows = files.select("owner", "repo", "archive_name", "path", utf8_text(F.col("content")).alias("_text"))
+    return with_document(rows, large_bytes)
+
+
+def write_archive_files(notebooks: DataFrame, base: str, mode: str = "overwrite") -> None:
+    """Keep the decoded originals as named files, as :func:`read_notebook_archive` finds them. ``append`` adds to what is there."""
+    archive_files.register(notebooks.sparkSession)
+    rows = archive_rows(notebooks).select("owner", "repo", "archive_name", "raw")
+    rows.write.format(archive_files.NAME).mode(mode).save(base)
 
 
 def archive_rows(notebooks: DataFrame) -> DataFrame:

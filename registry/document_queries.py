@@ -239,3 +239,31 @@ def write_archive(spark, sf):
         "owner", "repo", "archive_name",
         F.array_size(D.list_items(F.col("doc"), "$.cells")).cast("bigint").alias("n_cells"),
     )
+
+
+def _archive_folder(spark, sf) -> str:
+    """The decoded notebooks as named files."""
+    base = scratch_path(spark, "archive")
+    archive.write_archive_files(_notebooks(spark, sf).withColumnRenamed("sha", "file_sha"), base)
+    return base
+
+
+@checked("read_notebook_archive", f"""{_DOC}
+select 'org' || cast(nb_id % 20 as varchar) as owner, 'repo' || cast(nb_id % 200 as varchar) as repo,
+  left(sha1(cast(nb_id as varchar)), 8) || '_' || cast(nb_id as varchar) || '.ipynb' as archive_name, n_cells_total as n_cells,
+  outputs_hash, n_outputs
+from doc_metrics join fingerprints using (nb_id)""")
+def read_archive(spark, sf):
+    """Written as named files and read back."""
+    keep = ["owner", "repo", "archive_name", "n_cells"]
+    found = archive.read_notebook_archive(spark, _archive_folder(spark, sf))
+    return O.outputs_hash(found.withColumn("n_cells", F.array_size(D.cells_of(found)).cast("bigint")), keep)
+
+
+@checked("read_notebook_archive_of_owner", f"""{_DOC}
+select 'repo' || cast(nb_id % 200 as varchar) as repo, count(*) as n, sum(n_cells_total)::bigint as n_cells from doc_metrics
+where nb_id % 20 in (3, 7) and nb_id % 200 in (3, 7, 23, 50) group by 1""")
+def read_archive_of_owner(spark, sf):
+    """Only the folders of two owners are listed."""
+    found = archive.read_notebook_archive(spark, _archive_folder(spark, sf)).where("owner in ('org3', 'org7') and repo in ('repo3', 'repo7', 'repo23', 'repo50')")
+    return found.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.sum(F.array_size(D.cells_of(found))).alias("n_cells"))
