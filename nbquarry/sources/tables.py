@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from nbquarry.functions.coerce import blank_to_null, to_bool, to_float, to_int
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA, as_text_schema
+from nbquarry.sources.split_csv import read_csv_in_splits
 
 ROWS_PER_FILE = 500_000
 # Quotes inside a field are doubled and fields may hold line breaks.
@@ -13,13 +14,17 @@ _CSV = {"header": True, "escape": '"', "multiLine": True, "encoding": "UTF-8"}
 
 
 def read_text_table(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType, row_order: bool = False, multi_line: bool = True
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, row_order: bool = False, multi_line: bool = True, split: bool = False,
 ) -> DataFrame:
     """A CSV as text columns named by ``schema``; empty fields are NULL.
 
-    With ``row_order`` a column of that name follows the order of files and of lines within them. Fields may hold line
-    breaks, so a file is read by one task; ``multi_line=False`` is for files without such fields, which can be split.
+    With ``row_order`` a column of that name follows the order of files and of records within them. Fields may hold line
+    breaks, so a file is read by one task. Large files are read by several with ``split``, which finds out where records begin
+    (see ``split_csv``), or with ``multi_line=False`` if no field holds a line break.
     """
+    if split:
+        df = read_csv_in_splits(spark, paths, as_text_schema(schema), _CSV)
+        return df.drop("window_file") if row_order else df.drop("window_file", "row_order")
     df = spark.read.options(**_CSV | {"multiLine": multi_line}).schema(as_text_schema(schema)).csv(paths)
     if not row_order:
         return df
@@ -62,13 +67,15 @@ def type_columns(text: DataFrame, schema: T.StructType, keep_spelling: bool = Fa
 
 
 def read_collection(
-    spark: SparkSession, paths: str | list[str], row_order: bool = False, keep_spelling: bool = False
+    spark: SparkSession, paths: str | list[str], row_order: bool = False, keep_spelling: bool = False, multi_line: bool = True, split: bool = False,
 ) -> DataFrame:
-    return type_columns(read_text_table(spark, paths, COLLECTION_SCHEMA, row_order), COLLECTION_SCHEMA, keep_spelling)
+    return type_columns(read_text_table(spark, paths, COLLECTION_SCHEMA, row_order, multi_line, split), COLLECTION_SCHEMA, keep_spelling)
 
 
-def read_runs(spark: SparkSession, paths: str | list[str], row_order: bool = False) -> DataFrame:
-    return type_columns(read_text_table(spark, paths, RUN_SCHEMA, row_order), RUN_SCHEMA)
+def read_runs(
+    spark: SparkSession, paths: str | list[str], row_order: bool = False, multi_line: bool = True, split: bool = False
+) -> DataFrame:
+    return type_columns(read_text_table(spark, paths, RUN_SCHEMA, row_order, multi_line, split), RUN_SCHEMA)
 
 
 def _as_text(c: Column, dtype: T.DataType) -> Column:
@@ -108,7 +115,10 @@ def write_runs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     _write(df, path, RUN_SCHEMA, fmt)
 
 
-def consolidate_windows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def consolidate_windows(spark: SparkSession, paths: str | list[str], multi_line: bool = True, split: bool = False) -> DataFrame:
     """Many window files as one table, with the file each row came from."""
-    text = read_text_table(spark, paths, COLLECTION_SCHEMA).withColumn("window_file", F.col("_metadata.file_path"))
+    if split:
+        text = read_csv_in_splits(spark, paths, as_text_schema(COLLECTION_SCHEMA), _CSV).drop("row_order")
+    else:
+        text = read_text_table(spark, paths, COLLECTION_SCHEMA, multi_line=multi_line).withColumn("window_file", F.col("_metadata.file_path"))
     return type_columns(text, COLLECTION_SCHEMA)

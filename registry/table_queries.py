@@ -87,6 +87,15 @@ def write_runs(spark, sf):
     return spark.read.parquet(path).select(*_RUN_FIELDS)
 
 
+@checked("read_runs_in_splits", _TYPED_RUNS.replace(f"{_TEXT('error')} as error", "error || chr(10) || '\"' || file_path || '\",' as error"))
+def read_runs_in_splits(spark, sf):
+    """One file with line breaks and quotes in fields, read by as many tasks as it has splits."""
+    path = scratch_path(spark, "runs")
+    runs = T.type_columns(X.view(spark, sf, "fx_runs").withColumn("error", F.expr("error || '\\n\"' || file_path || '\",'")), RUN_SCHEMA)
+    T.write_runs(runs.coalesce(1), path, "csv")
+    return T.read_runs(spark, path, split=True).select(*_RUN_FIELDS)
+
+
 def _window_folders(spark, sf) -> str:
     """The collection as three CSV folders, standing for three window files."""
     base = scratch_path(spark, "windows")
