@@ -31,6 +31,11 @@ def median_and_mean(values: DataFrame) -> DataFrame:
     middle ranks, and only the distinct values of those are sorted.
     """
     counts = values.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("c"))
+    return median_and_mean_of_counts(counts)
+
+
+def median_and_mean_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from distinct values with their counts, ``(metric, value, c)``."""
     # Never NULL, and known to be: a test for NULL on one of the two uses below would keep them from sharing a shuffle.
     counts = counts.withColumn("bucket", F.coalesce(_bucket(F.col("value")), F.lit(0)))
     histogram = counts.groupBy("metric", "bucket").agg(

@@ -37,15 +37,21 @@ def _stack(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 # ---- collection ----
 
-def collection_counts(collection: DataFrame) -> DataFrame:
+def collection_conditions() -> dict[str, Column]:
+    """What is counted of a collection."""
+    return {
+        "rows": F.lit(True), "parsed": _flag("nb_ok_parse"), "python": language_starts_with_python(), "deps": _flag("deps_any"),
+        "unambiguous": _flag("has_unambiguous_order"),
+    }
+
+
+def _count(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """One row of counts behind size and rates; what a statistic does not use is pruned from it."""
-    return collection.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(_flag("nb_ok_parse")).alias("parsed"),
-        F.count_if(language_starts_with_python()).alias("python"),
-        F.count_if(_flag("deps_any")).alias("deps"),
-        F.count_if(_flag("has_unambiguous_order")).alias("unambiguous"),
-    )
+    return df.agg(*[F.count_if(condition).alias(name) for name, condition in conditions.items()])
+
+
+def collection_counts(collection: DataFrame) -> DataFrame:
+    return _count(collection, collection_conditions())
 
 
 FLAG_RATES = [
@@ -63,14 +69,19 @@ def flag_rates(collection: DataFrame) -> DataFrame:
     return rates(collection_counts(collection), FLAG_RATES).drop("of")
 
 
-def numeric_profile(collection: DataFrame) -> DataFrame:
-    """Median and mean of three columns. Blanks are left out; text that is no number counts as 0."""
+def collection_values() -> dict[str, Column]:
+    """What is profiled of a collection. Blanks are left out; text that is no number counts as 0."""
     filled = lambda name, value: F.when(is_filled(F.col(name)), value)
-    return median_and_mean(_stack(collection, {
+    return {
         "n_code": filled("n_code", to_int(F.col("n_code"))),
         "n_markdown": filled("n_markdown", to_int(F.col("n_markdown"))),
         "percent_code_executed": filled("percent_code_executed", to_float(F.col("percent_code_executed"))),
-    }))
+    }
+
+
+def numeric_profile(collection: DataFrame) -> DataFrame:
+    """Median and mean of three columns."""
+    return median_and_mean(_stack(collection, collection_values()))
 
 
 def top_imports_overall(pairs: DataFrame, row_id: str = "row_id", limit: int = K.TOP_IMPORTS) -> DataFrame:
@@ -95,18 +106,21 @@ def top_imports_exact(imports: DataFrame, limit: int = K.TOP_IMPORTS) -> DataFra
 
 # ---- runs ----
 
-def run_counts(runs: DataFrame) -> DataFrame:
-    """One row of counts behind the rates of runs."""
+def run_conditions(compared: bool) -> dict[str, Column]:
+    """What is counted of runs; with ``compared`` also what the columns on outputs say."""
     ok = _flag("exec_ok")
-    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("ok")]
-    if has_output_columns(runs):
-        found, equal = _flag("original_found"), _flag("outputs_equal")
-        counts += [
-            F.count_if(equal).alias("equal"), F.count_if(ok & equal).alias("ok_equal"),
-            F.count_if(found).alias("found"), F.count_if(found & equal).alias("found_equal"),
-            F.count_if(found & ok).alias("found_ok"), F.count_if(found & ok & equal).alias("found_ok_equal"),
-        ]
-    return runs.agg(*counts)
+    found = {"rows": F.lit(True), "ok": ok}
+    if compared:
+        original, equal = _flag("original_found"), _flag("outputs_equal")
+        found |= {
+            "equal": equal, "ok_equal": ok & equal, "found": original, "found_equal": original & equal, "found_ok": original & ok,
+            "found_ok_equal": original & ok & equal,
+        }
+    return found
+
+
+def run_counts(runs: DataFrame) -> DataFrame:
+    return _count(runs, run_conditions(has_output_columns(runs)))
 
 
 SUCCESS_RATE = [("success", "ok", "rows")]
@@ -134,7 +148,7 @@ def reproducibility_kpis(runs: DataFrame) -> DataFrame:
 
 
 def failures(runs: DataFrame) -> DataFrame:
-    return runs.where(~_flag("exec_ok"))
+    return runs.where(is_failure())
 
 
 # Failure lists and their lengths.
@@ -168,21 +182,13 @@ def failures_by_notebook(runs: DataFrame, row_id: str = "row_id", limit: int | N
     return _top_failures(runs, "notebook", row_id, limit)
 
 
-def failure_lists(runs: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """All three failure lists in one pass: ``(list, key, n)``."""
-    names = list(FAILURE_LISTS)
-    keyed = failures(runs).select(F.col(row_id).alias("_row"), *[_failure_key(n).alias(n) for n in names])
-    counts = keyed.groupingSets([[n] for n in names], *names).agg(
-        *[F.grouping(n).alias(f"not_{n}") for n in names], F.count(F.lit(1)).alias("n"), F.min("_row").alias("first_row")
-    )
-    of_list = lambda value: F.coalesce(*[F.when(F.col(f"not_{n}") == 0, value(n)) for n in names])
-    lists = counts.select(
-        of_list(lambda n: F.lit(n)).alias("list"), of_list(F.col).alias("key"), "n", "first_row",
-        of_list(lambda n: F.lit(FAILURE_LISTS[n])).alias("length"),
-    )
-    order = Window.partitionBy("list").orderBy(F.desc("n"), "first_row", "key")
-    ranked = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(FAILURE_LISTS.values()))
-    return ranked.where(F.col("rank") <= F.col("length")).select("list", "key", "n")
+def failure_keys() -> dict[str, Column]:
+    """The key under which a failed run is counted in each failure list."""
+    return {name: _failure_key(name) for name in FAILURE_LISTS}
+
+
+def is_failure() -> Column:
+    return ~_flag("exec_ok")
 
 
 def _elapsed_values() -> dict[str, Column]:
@@ -205,10 +211,9 @@ def output_count_profile(runs: DataFrame) -> DataFrame:
     return median_and_mean(_stack(runs, _output_counts()))
 
 
-def run_profile(runs: DataFrame) -> DataFrame:
-    """Both profiles in one pass."""
-    values = _elapsed_values() | (_output_counts() if has_output_columns(runs) else {})
-    return median_and_mean(_stack(runs, values))
+def run_values(compared: bool) -> dict[str, Column]:
+    """What is profiled of runs."""
+    return _elapsed_values() | (_output_counts() if compared else {})
 
 
 def divergence_examples(runs: DataFrame, row_id: str = "row_id", limit: int = K.DIVERGENCE_EXAMPLES) -> DataFrame:

@@ -93,8 +93,9 @@ def _write(df: DataFrame, path: str, schema: T.StructType, fmt: str) -> None:
         return
     types = {name: df.schema[name].dataType for name in schema.fieldNames()}
     text = df.select(*[_as_text(F.col(name), dtype).alias(name) for name, dtype in types.items()])
-    # A CSV file is read back by one task, so files stay small.
-    text.write.mode("overwrite").options(header=True, escape='"', emptyValue="", maxRecordsPerFile=ROWS_PER_FILE).csv(path)
+    # A CSV file is read back by one task, so files stay small. White space at the ends of a text is part of it.
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    text.write.mode("overwrite").options(header=True, escape='"', emptyValue="", maxRecordsPerFile=ROWS_PER_FILE, **kept).csv(path)
 
 
 def write_collection(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from nbquarry.functions import names
 from nbquarry.operators import matching, outputs as O, repos, runs as R, summary as S
-from nbquarry.operators.filters import has_output_columns
-from nbquarry.plans.report import corpus_report
+from nbquarry.plans.report import corpus_report, keep_window_facts, report_over_windows
 from nbquarry.plans.run_table import run_table as build_run_table
 from nbquarry.sources.archive import with_document
 from registry import collection_queries as CQ, fixtures as X
 from registry.book import checked
+from registry.scratch import scratch_path
 
 _FX = f"with {X.duck_views('fx_runs')}"
 _SRC = "from fx_runs"
@@ -97,36 +97,53 @@ def _profile_rows(section: str, profile: str) -> str:
     return _LONG(section, "metric", "dim", "n", "value", source)
 
 
-@checked("corpus_report", f"with {X.duck_views('fx_collection', 'fx_runs')}, {CQ.PAIRS} " + " union all ".join([
+_COLLECTION_REPORT = [
     _LONG("collection", "'rows'", "null", "n", "null", "select count(*) as n from fx_collection"),
     _LONG("collection", "metric", "null", "n", "pct", CQ.FLAG_RATES),
     _profile_rows("collection", CQ.PROFILE),
     _LONG("collection", "'top_imports'", "module", "n", "null", CQ.TOP_IMPORTS),
+]
+_RUN_REPORT = [
     _LONG("runs", "'success'", "cast(n_runs as varchar)", "n_ok", "pct", SUCCESS),
     _LONG("runs", "'top_errors'", "error", "n", "null", TOP_ERRORS),
     _profile_rows("runs", ELAPSED),
     _LONG("runs", "'failures_by_repo'", "repo_full_name", "n", "null", BY_REPO),
     _LONG("runs", "'failures_by_notebook'", "notebook", "n", "null", BY_NOTEBOOK),
+]
+_OUTPUT_REPORT = [
     _LONG("outputs", "'originals_found'", "null", "n", "pct", FOUND),
     _LONG("outputs", "metric", "null", "n", "pct", EQUAL),
     _LONG("outputs", "'divergence'", "notebook || ' ' || hash_orig || ' ' || hash_exec", "n_orig", "n_exec", DIVERGENCE),
     _profile_rows("outputs", OUTPUT_COUNTS),
     _LONG("outputs", "metric", "cast(of_ as varchar)", "n", "pct", f"select * from ({KPIS}) k where of_ > 0"),
-]))
-def report(spark, sf):
-    long = corpus_report(X.view(spark, sf, "fx_collection"), _runs(spark, sf))
+]
+_REPORT = f"with {X.duck_views('fx_collection', 'fx_runs')}, {CQ.PAIRS} "
+
+
+def _report(spark, sf, runs):
+    long = corpus_report(X.view(spark, sf, "fx_collection"), runs, work=scratch_path(spark, "report"))
     return long.withColumn("value", F.round("value", 6))
 
 
-@checked("require_columns", f"{_FX} select count(*) as n_runs, true as complete, false as without_hash {_SRC}")
+@checked("corpus_report", _REPORT + " union all ".join([*_COLLECTION_REPORT, *_RUN_REPORT, *_OUTPUT_REPORT]))
+def report(spark, sf):
+    return _report(spark, sf, _runs(spark, sf))
+
+
+@checked("require_columns", _REPORT + " union all ".join([*_COLLECTION_REPORT, *_RUN_REPORT]))
 def require_columns(spark, sf):
-    """The guard of the output block: all six columns, or no block."""
-    runs = _runs(spark, sf)
-    counted = runs.agg(F.count(F.lit(1)).alias("n_runs"))
-    return counted.withColumns({
-        "complete": F.lit(has_output_columns(runs)),
-        "without_hash": F.lit(has_output_columns(runs.drop("outputs_hash_exec"))),
-    })
+    """The guard of the output block: one of its six columns is missing, so the report has no such block."""
+    return _report(spark, sf, _runs(spark, sf).drop("outputs_hash_exec"))
+
+
+@checked("report_over_windows", _REPORT + " union all ".join(_COLLECTION_REPORT))
+def windows_report(spark, sf):
+    """Three window files, taken in two runs; one of them is given twice."""
+    store = scratch_path(spark, "facts")
+    rows = X.view(spark, sf, "fx_collection").withColumn("window_file", F.concat(F.lit("window"), (F.col("row_id") % 3).cast("string")))
+    for run in (["window0", "window1"], ["window1", "window2"]):
+        keep_window_facts(rows.where(F.col("window_file").isin(run)), store, "row_id")
+    return report_over_windows(spark, store).withColumn("value", F.round("value", 6))
 
 
 # ---- error classes, comparison, work list ----

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from nbquarry.operators import filters, repos
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA
 from nbquarry.sources import tables as T
+from nbquarry.streaming.quota import incremental_quota
 from nbquarry.streaming.windows import incremental_windows
 from registry import fixtures as X
 from registry.book import checked
+from registry.sampling_queries import WINDOWS
 from registry.scratch import scratch_path
 
 _COLLECTION = f"with {X.duck_views('fx_collection')}"
@@ -130,6 +132,25 @@ def incremental(spark, sf):
     return _window_rows(spark.read.parquet(target))
 
 
+@checked("incremental_quota", f"""{_COLLECTION}, {WINDOWS},
+notebooks as (
+  select window_id, quota, repo_full_name, file_path, max(cast(left(repo_created_at, 10) as date)) as created_date, min(cast(repo_id as bigint)) as repo_id
+  from fx_collection join windows on cast(left(repo_created_at, 10) as date) between a and b group by all),
+ranked as (
+  select *, row_number() over (partition by window_id order by created_date desc, repo_id, repo_full_name, file_path)::integer as quota_rank from notebooks)
+select window_id, quota_rank, repo_full_name, file_path, created_date from ranked where quota_rank <= quota""")
+def quota_across_runs(spark, sf):
+    """Three window files that arrive in two runs, and a third run without a new one."""
+    base, target, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "quota"), scratch_path(spark, "progress")
+    rows = X.view(spark, sf, "fx_collection")
+    for run in ([0, 1], [2], []):
+        for window in run:
+            part = filters.project_fields(T.type_columns(rows.where(F.col("row_id") % 3 == window), COLLECTION_SCHEMA))
+            T.write_collection(part, f"{base}/window{window}", "csv")
+        incremental_quota(spark, f"{base}/*", target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("window_id", "quota_rank", "repo_full_name", "file_path", F.to_date("repo_created_at").alias("created_date"))
+
+
 # ---- repository trees ----
 
 checked("list_notebook_paths", f"{_TREE} select repo_full_name, path from fx_tree where type = 'blob' and lower(path) like '%.ipynb'")(
