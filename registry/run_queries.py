@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nbquarry.functions import names
-from nbquarry.operators import matching, outputs as O, repos, runs as R, summary as S
+from nbquarry.operators import divergence as DV, matching, outputs as O, repos, runs as R, summary as S
 from nbquarry.plans.report import corpus_report, keep_window_facts, report_over_windows
 from nbquarry.plans.run_table import run_table as build_run_table
 from nbquarry.sources.archive import with_document
@@ -309,29 +309,55 @@ run_rows as (
     left join fingerprints f on f.nb_id = m.nb_id)"""
 
 
-def _run_table(spark, sf):
-    """Runs whose executed notebook is the original (one in three), another one, or missing."""
+def _matched_texts(spark, sf):
+    """``(originals, executed)``: archived notebooks, and those that runs left: the original (one in three), another one, or none."""
     nb = F.col("nb_id")
     broken = F.when(nb % 23 == 5, F.lit("not json")).when(nb % 29 == 3, F.lit("{}"))
-    texts = X.document_texts(spark, sf).select("nb_id", F.coalesce(broken, F.col("body")).alias("_body"))
+    texts = X.document_texts(spark, sf).select("nb_id", F.coalesce(broken, F.col("body")).alias("_text"))
     named = texts.select(
-        "nb_id", "_body",
+        "nb_id", "_text",
         F.expr("'org' || cast(nb_id % 10 as string)").alias("owner"),
         F.expr("'repo' || cast(nb_id % 100 as string)").alias("repo"),
         F.expr(_ORIGINAL_NAME.replace("doc_id", "nb_id").replace("varchar", "string")).alias("archive_name"),
     )
-    parsed = lambda df: with_document(df.withColumnRenamed("_body", "_text"))
-    originals = parsed(named.drop("nb_id"))
     ran = _logs(spark, sf).where("log_id % 3 < 2").select(
         "log_id", F.split_part("repo_full_name", F.lit("/"), F.lit(1)).alias("owner"), F.split_part("repo_full_name", F.lit("/"), F.lit(2)).alias("repo"),
         F.split_part("file_path", F.lit("/"), F.lit(2)).alias("file"),
     )
     chosen = ran.join(
         named.select("nb_id", "owner", "repo", "archive_name", F.element_at(F.split("archive_name", "_"), -1).alias("file")), ["owner", "repo", "file"]
-    ).groupBy("log_id").agg(F.min_by("nb_id", "archive_name").alias("nb_id"))
-    executed = parsed(chosen.select("log_id", (F.col("nb_id") + F.col("log_id") % 3).alias("nb_id")).join(texts, "nb_id").select("log_id", "_body"))
+    ).groupBy("log_id").agg(F.min_by("nb_id", "archive_name").alias("orig_id"))
+    executed = chosen.withColumn("nb_id", F.col("orig_id") + F.col("log_id") % 3).join(texts, "nb_id").drop("nb_id")
+    return with_document(named), with_document(executed)
+
+
+def _run_table(spark, sf):
+    originals, executed = _matched_texts(spark, sf)
     collection = X.view(spark, sf, "fx_collection").withColumn("python_version_declared", F.lit(None).cast("string"))
-    return build_run_table(collection, _logs(spark, sf), originals, ["python3", "ir"], executed=executed)
+    return build_run_table(collection, _logs(spark, sf), originals.drop("nb_id"), ["python3", "ir"], executed=executed.drop("orig_id"))
+
+
+@checked("divergence", f"""{_RUN_TABLE},
+numbered as (
+  select nb_id, cell_idx, canon, row_number() over (partition by nb_id order by cell_idx) as k, count(*) over (partition by nb_id) as n
+  from doc_cells where canon is not null),
+pairs as (
+  select log_id, m.nb_id as o, m.nb_id + log_id % 3 as e from matched m
+    join fingerprints f on f.nb_id = m.nb_id join fingerprints x on x.nb_id = m.nb_id + log_id % 3 where log_id % 3 < 2),
+steps as (select log_id, o, e, unnest(range(1, 1 + greatest((select max(n) from numbered), 1))) as k from pairs),
+compared as (
+  select s.*, a.cell_idx as a, b.cell_idx as b, a.canon is distinct from b.canon as differs
+  from steps s left join numbered a on a.nb_id = o and a.k = s.k left join numbered b on b.nb_id = e and b.k = s.k)
+select log_id, arg_min(coalesce(a, -1), k) as orig_cell_idx, arg_min(coalesce(b, -1), k) as exec_cell_idx,
+  (select count(*) from numbered n where n.nb_id = any_value(c.o)) as n_orig, (select count(*) from numbered n where n.nb_id = any_value(c.e)) as n_exec
+from compared c where differs group by log_id""")
+def divergence(spark, sf):
+    """The first output in which a run departs from the original; -1 where one of them has no more."""
+    originals, executed = _matched_texts(spark, sf)
+    orig = DV.hash_tree(originals, ["nb_id"]).toDF("orig_id", "orig_root", "orig_leaves")
+    pairs = DV.hash_tree(executed, ["log_id", "orig_id"]).toDF("log_id", "orig_id", "exec_root", "exec_leaves").join(orig, "orig_id")
+    cell = lambda side: F.coalesce(f"{side}_cell_idx", F.lit(-1)).alias(f"{side}_cell_idx")
+    return DV.divergence(pairs, ["log_id"]).select("log_id", cell("orig"), cell("exec"), "n_orig", "n_exec")
 
 
 @checked("run_table", f"{_RUN_TABLE} select * from run_rows")
