@@ -17,12 +17,13 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def heavy_buckets(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS) -> DataFrame:
-    """``(_bucket, _parts)`` of the key buckets with more than ``part_rows`` rows.
+def heavy_buckets(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS, weight: str | None = None) -> DataFrame:
+    """``(_bucket, _parts)`` of the key buckets with more than ``part_rows`` rows, each counted as often as its ``weight`` says.
 
     Counts are exact, so computing this twice gives the same parts: both sides of a join can rely on it.
     """
-    counts = df.select(_bucket(keys).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.lit(1) if weight is None else F.col(weight)
+    counts = df.select(_bucket(keys).alias("_bucket"), rows.alias("_rows")).groupBy("_bucket").agg(F.sum("_rows").alias("rows"))
     return counts.where(F.col("rows") > part_rows).select("_bucket", F.ceil(F.col("rows") / part_rows).cast("int").alias("_parts"))
 
 
@@ -40,15 +41,16 @@ def spread_left(
 
 def left_join_unique(
     left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-    count_on: DataFrame | None = None, part_rows: int = PART_ROWS,
+    count_on: DataFrame | None = None, part_rows: int = PART_ROWS, weight: str | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key.
 
     Left rows in a bucket of keys with more than ``part_rows`` rows are dealt to as many parts as keep each below that on
     average, and the right rows of that bucket are repeated once per part; all others are joined as usual. The result
-    does not depend on how buckets are split. ``count_on`` may name a cheaper table with the same keys to count on.
+    does not depend on how buckets are split. ``count_on`` may name a cheaper table with the same keys to count on, of which a
+    row stands for as many left rows as its column ``weight`` says.
     """
-    heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, part_rows))
+    heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, part_rows, weight))
     parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     spread_right = right.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
         "_part", F.explode(parts)

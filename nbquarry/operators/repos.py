@@ -25,6 +25,19 @@ def check_date_bounds(start: dt.date | str, end: dt.date | str) -> tuple[dt.date
     return a, b
 
 
+def with_checked_bounds(ranges: DataFrame, start: str = "a", end: str = "b", strict: bool = False) -> DataFrame:
+    """Date ranges given as rows, with ``valid``: both ends are dates, and the end does not come first.
+
+    With ``strict`` a range that is not valid fails the job with its bounds, as :func:`check_date_bounds` does on the driver.
+    """
+    a, b = F.to_date(F.col(start)), F.to_date(F.col(end))
+    valid = F.coalesce(a <= b, F.lit(False))
+    if strict:
+        message = F.concat(F.lit("no date range: "), F.coalesce(a.cast("string"), F.lit("?")), F.lit(" to "), F.coalesce(b.cast("string"), F.lit("?")))
+        valid = F.when(valid, True).otherwise(F.raise_error(message).cast("boolean"))
+    return ranges.withColumn("valid", valid)
+
+
 def filter_created_between(
     repos: DataFrame, start: dt.date | str, end: dt.date | str, date_col: str = "created_at"
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from nbquarry import constants as K
 from nbquarry.functions import documents as D
 from nbquarry.functions.coerce import BLANKS, blank_to_null
 from nbquarry.functions.names import log_tail, round_elapsed
-from nbquarry.operators.joins import left_join_unique
+from nbquarry.operators.joins import PART_ROWS, left_join_unique
 
 # Everything that ends a line of captured output.
 _LINE_END = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
@@ -19,18 +19,21 @@ _RESULT_LINE = rf"(?:^|[{_LINE_END}]){K.RESULT_PREFIX}([^{_LINE_END}]*)"
 
 def resolve_kernel(
     df: DataFrame, known: Iterable[str] | DataFrame, spread_by: list[str] | None = None, count_on: DataFrame | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Replace ``kernel_name`` by the default kernel unless it is known.
 
-    ``known`` is a list of names, or a table with a ``name`` column of any size (then ``spread_by`` names the columns
-    that tell rows apart, and ``count_on`` a cheaper table with the same kernel names to count them on).
+    ``known`` is a list of names, or a table with a ``name`` column of any size. Then ``spread_by`` names the columns that tell rows
+    apart, and ``count_on`` may be a cheaper table of kernel names and the number of rows that have them, ``(kernel_name, rows)``.
     """
     asked = F.btrim(F.coalesce(blank_to_null(F.col("kernel_name")), F.lit(K.DEFAULT_KERNEL)), F.lit(BLANKS))
     if not isinstance(known, DataFrame):
         return df.withColumn("kernel_name", F.when(asked.isin(list(known)), asked).otherwise(F.lit(K.DEFAULT_KERNEL)))
     names = known.select(F.col("name").alias("_asked")).distinct().withColumn("_known", F.lit(True))
-    counted = None if count_on is None else count_on.select(asked.alias("_asked"))
-    looked_up = left_join_unique(df.withColumn("_asked", asked), names, ["_asked"], spread_by or df.columns, count_on=counted)
+    counted, weight = (None, None) if count_on is None else (count_on.select(asked.alias("_asked"), "rows"), "rows")
+    looked_up = left_join_unique(
+        df.withColumn("_asked", asked), names, ["_asked"], spread_by or df.columns, count_on=counted, part_rows=part_rows, weight=weight
+    )
     kernel = F.when(F.col("_known"), F.col("_asked")).otherwise(F.lit(K.DEFAULT_KERNEL))
     return looked_up.withColumn("kernel_name", kernel).select(*df.columns)
 

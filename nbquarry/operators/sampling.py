@@ -36,24 +36,40 @@ def window_days(spark: SparkSession, windows: list[CalendarWindow]) -> DataFrame
     return spark.sql(f"select *, explode(sequence(a, b)) as _day from values {rows} as w(window_id, a, b, quota)")
 
 
-def assign_windows(df: DataFrame, windows: list[CalendarWindow], date: Column) -> DataFrame:
+# Days of a window table that are broadcast at most.
+MOST_DAYS = 1 << 20
+
+
+def stored_window_days(windows: DataFrame) -> DataFrame:
+    """One row per day of each window of a table ``(window_id, a, b, quota)``; windows without a quota or with reversed bounds have none."""
+    days = windows.where("a <= b and quota > 0").select("window_id", "a", "b", "quota", F.explode(F.sequence("a", "b")).alias("_day"))
+    n = days.count()
+    if n > MOST_DAYS:
+        raise ValueError(f"{n} days of windows; a calendar has fewer than {MOST_DAYS}")
+    return days
+
+
+def assign_windows(df: DataFrame, windows: list[CalendarWindow] | DataFrame, date: Column) -> DataFrame:
     """Rows whose date lies in a window, with the window's columns; both ends count.
 
     Windows are spread out to days so that this is an equality join. Their day table is small by construction, and so
-    safe to broadcast.
+    safe to broadcast. A collection stored by date (with a ``created_date`` column) is joined on that, so that once the windows'
+    days are known, only those days' folders are read.
     """
-    days = F.broadcast(window_days(df.sparkSession, windows))
-    return df.withColumn("_day", F.to_date(date)).join(days, "_day").drop("_day")
+    days = stored_window_days(windows) if isinstance(windows, DataFrame) else window_days(df.sparkSession, windows)
+    if "created_date" in df.columns:
+        return df.join(F.broadcast(days), F.col("created_date") == F.col("_day")).drop("_day")
+    return df.withColumn("_day", F.to_date(date)).join(F.broadcast(days), "_day").drop("_day")
 
 
-def window_quota(df: DataFrame, windows: list[CalendarWindow], date: Column, order_by: list[Column | str]) -> DataFrame:
+def window_quota(df: DataFrame, windows: list[CalendarWindow] | DataFrame, date: Column, order_by: list[Column | str]) -> DataFrame:
     """The first ``quota`` rows of each window in scan order. Filters come before, so dropped rows use no quota.
 
     The largest quota is a literal rank limit, which Spark applies on every partition before shuffling; the window's own
     quota then cuts what is left.
     """
     order = Window.partitionBy("window_id").orderBy(*order_by)
-    largest = max(w.quota for w in windows)
+    largest = windows.agg(F.max("quota")).first()[0] or 0 if isinstance(windows, DataFrame) else max(w.quota for w in windows)
     ranked = assign_windows(df, windows, date).withColumn("quota_rank", F.row_number().over(order))
     return ranked.where(F.col("quota_rank") <= largest).where(F.col("quota_rank") <= F.col("quota"))
 

@@ -6,6 +6,8 @@ metrics meet the repository tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nbquarry.constants import DEFAULT_ITEM_LIMIT, TOP_IMPORTS
@@ -18,7 +20,7 @@ from nbquarry.operators.joins import left_join_unique
 from nbquarry.operators.repos import fill_dependencies, repo_dependencies
 from nbquarry.operators.sampling import CalendarWindow, calendar_windows, limit_items, window_quota
 from nbquarry.schema import DEPENDENCY_FIELDS
-from nbquarry.sources.archive import decode_contents
+from nbquarry.sources.archive import archive_row, decode_contents
 
 
 def _order_metrics(counts: Column, stored: Column) -> list[Column]:
@@ -89,29 +91,19 @@ def keep_unparsed(notebooks: DataFrame, only_python: bool = True) -> DataFrame:
     return notebooks.where(~D.is_decoded(notebooks) | is_python_document(notebooks))
 
 
-def build_collection(
-    contents: DataFrame,
-    repos: DataFrame,
-    repo_tree: DataFrame,
-    only_python: bool = True,
-    require_outputs: bool = False,
-    limit: int | None = None,
-    order_by: list[Column | str] | None = None,
+def _measured(
+    contents: DataFrame, only_python: bool, require_outputs: bool, more: Callable[[DataFrame], dict[str, Column]] | None = None
 ) -> DataFrame:
-    """The 45-column collection.
-
-    ``contents`` has one row per notebook file (``repo_full_name, file_path, sha, size, html_url, encoding, content,
-    download_body``), ``repos`` one per repository (of several, the one with the smallest id, then branch, date and stars, counts),
-    ``repo_tree`` one per path. Undecoded files give a row with
-    ``nb_ok_parse`` False and NULL metrics, whatever the filters. ``limit`` keeps the first rows in ``order_by`` order
-    (repository name and path by default).
-    """
+    """Facts and metrics of the files that pass the filters, one row each. No shuffle."""
     notebooks = keep_unparsed(decode_contents(contents), only_python)
     facts = ["repo_full_name", "file_path", "sha", "size", "html_url"]
-    metrics = notebook_metrics(notebooks, facts)
-    parsed = F.col("n_cells_total").isNotNull()
-    if require_outputs:
-        metrics = metrics.where(~parsed | is_executed_state())
+    added = more(notebooks) if more else {}
+    metrics = notebook_metrics(notebooks.withColumns(added), [*facts, *added]).withColumn("parsed", F.col("n_cells_total").isNotNull())
+    return metrics.where(~F.col("parsed") | is_executed_state()) if require_outputs else metrics
+
+
+def _with_repositories(metrics: DataFrame, repos: DataFrame, repo_tree: DataFrame, count_on: DataFrame) -> DataFrame:
+    """The collection, from metrics and what is known of repositories."""
     # Overlapping search windows list a repository more than once.
     listed = ["id", "default_branch", "created_at", "stargazers_count"]
     once = repos.groupBy("full_name").agg(F.min(F.struct(*listed)).alias("r")).select("full_name", "r.*")
@@ -122,16 +114,42 @@ def build_collection(
         F.col("created_at").alias("repo_created_at"),
         F.coalesce("stargazers_count", F.lit(0)).alias("repo_stars"),
     ).join(repo_dependencies(repo_tree), "repo_full_name", "left")
-    joined = left_join_unique(metrics, repo_facts, ["repo_full_name"], ["file_path"], count_on=contents)
+    joined = left_join_unique(metrics, repo_facts, ["repo_full_name"], ["file_path"], count_on=count_on)
     deps = fill_dependencies(joined)
-    named = deps.withColumnsRenamed({"sha": "file_sha", "size": "file_size"}).withColumn("nb_ok_parse", parsed)
+    named = deps.withColumnsRenamed({"sha": "file_sha", "size": "file_size", "parsed": "nb_ok_parse"})
     # Dependency flags are metrics too: an undecoded file has none.
     for flag in DEPENDENCY_FIELDS:
         named = named.withColumn(flag, F.when(F.col("nb_ok_parse"), F.col(flag)))
-    collection = project_fields(named)
+    return project_fields(named)
+
+
+def build_collection(
+    contents: DataFrame,
+    repos: DataFrame,
+    repo_tree: DataFrame,
+    only_python: bool = True,
+    require_outputs: bool = False,
+    limit: int | None = None,
+    order_by: list[Column | str] | None = None,
+) -> DataFrame:
+    """The 45-column collection.
+
+    ``contents`` has one row per notebook file (``repo_full_name, file_path, sha, size, html_url, encoding, content,
+    download_body``), ``repos`` one per repository (of several, the one with the smallest id, then branch, date and stars, counts),
+    ``repo_tree`` one per path. Undecoded files give a row with
+    ``nb_ok_parse`` False and NULL metrics, whatever the filters. ``limit`` keeps the first rows in ``order_by`` order
+    (repository name and path by default).
+    """
+    metrics = _measured(contents, only_python, require_outputs)
+    collection = _with_repositories(metrics, repos, repo_tree, contents)
     return limit_items(collection, order_by or ["repo_full_name", "file_path"], limit)
 
 
+def _cut_at_quota(collection: DataFrame, windows: list[CalendarWindow] | None, order_by: list[Column | str] | None) -> DataFrame:
+    order = order_by or [F.desc("repo_created_at"), "repo_id", "repo_full_name", "file_path"]
+    return window_quota(collection, windows or calendar_windows(), F.col("repo_created_at"), order)
+
+
 def collect_windows(
     contents: DataFrame, repos: DataFrame, repo_tree: DataFrame, windows: list[CalendarWindow] | None = None,
     only_python: bool = True, require_outputs: bool = False, order_by: list[Column | str] | None = None,
@@ -142,9 +160,35 @@ def collect_windows(
     ``order_by``: newest repository first, then by its number and the path, unless given. Adds ``window_id``, its bounds and
     ``quota_rank``. Repositories without a creation date are in no window.
     """
-    collection = build_collection(contents, repos, repo_tree, only_python, require_outputs)
-    order = order_by or [F.desc("repo_created_at"), "repo_id", "repo_full_name", "file_path"]
-    return window_quota(collection, windows or calendar_windows(), F.col("repo_created_at"), order)
+    return _cut_at_quota(build_collection(contents, repos, repo_tree, only_python, require_outputs), windows, order_by)
+
+
+# Files whose keys are broadcast at most, to pick their documents where they are.
+MOST_PICKED = 1 << 20
+
+
+def collect_and_archive(
+    contents: DataFrame, repos: DataFrame, repo_tree: DataFrame, work: str, windows: list[CalendarWindow] | None = None,
+    only_python: bool = True, require_outputs: bool = False, order_by: list[Column | str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(collection, archive)``: the collection of :func:`collect_windows`, and the archive rows of its decoded notebooks.
+
+    Documents are decoded once. What passes the filters is written to ``work`` as it is measured, metrics and text side by side;
+    the collection reads the metrics alone, and the archive picks texts out of that table where they lie: the quotas bound
+    the number of files, so their keys are broadcast, and no document is shuffled.
+    """
+    archived = lambda notebooks: {"archived": F.when(D.is_decoded(notebooks), archive_row(notebooks, F.col("sha")))}
+    measured = _measured(contents, only_python, require_outputs, archived)
+    measured.write.mode("overwrite").parquet(work)
+    stored = contents.sparkSession.read.schema(measured.schema).parquet(work)
+    light = stored.drop("archived")
+    collection = _cut_at_quota(_with_repositories(light, repos, repo_tree, light), windows, order_by)
+    calendar = windows or calendar_windows()
+    if sum(w.quota for w in calendar) > MOST_PICKED:
+        raise ValueError(f"quotas of more than {MOST_PICKED} files in all")
+    keys = ["repo_full_name", "file_path"]
+    picked = F.broadcast(collection.where("nb_ok_parse").select(*keys).distinct())
+    return collection, stored.where("archived is not null").join(picked, keys, "left_semi").select("archived.*")
 
 
 def collected_originals(contents: DataFrame, collection: DataFrame) -> DataFrame:
@@ -156,4 +200,4 @@ def collected_originals(contents: DataFrame, collection: DataFrame) -> DataFrame
     return decode_contents(contents.join(keys, ["repo_full_name", "file_path"], "left_semi")).withColumnRenamed("sha", "file_sha")
 
 
-__all__ = ["DEFAULT_ITEM_LIMIT", "build_collection", "collect_windows", "collected_originals", "keep_unparsed", "notebook_metrics"]
+__all__ = ["DEFAULT_ITEM_LIMIT", "build_collection", "collect_and_archive", "collect_windows", "collected_originals", "keep_unparsed", "notebook_metrics"]

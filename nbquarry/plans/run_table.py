@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from nbquarry.functions.documents import is_decoded
 from nbquarry.functions.names import default_branch
 from nbquarry.operators.filters import filter_parsed_strict
-from nbquarry.operators.joins import left_join_unique
+from nbquarry.operators.joins import PART_ROWS, left_join_unique
 from nbquarry.operators.matching import match_originals
 from nbquarry.operators.outputs import compare_outputs, outputs_hash
 from nbquarry.operators.runs import normalize_outcome, parse_run_log, resolve_kernel
@@ -41,9 +41,15 @@ def with_executed_hash(runs: DataFrame, executed: DataFrame, log_id: str) -> Dat
     }).drop("_hash", "_n")
 
 
+def runs_by_kernel(declared: DataFrame, logs: DataFrame) -> DataFrame:
+    """``(kernel_name, rows)``: how many runs there are of the notebooks that declare a kernel, from a row for each notebook."""
+    logged = logs.groupBy(*_NOTEBOOK).agg(F.count(F.lit(1)).alias("rows"))
+    return declared.select(*_NOTEBOOK, "kernel_name").join(logged, _NOTEBOOK).groupBy("kernel_name").agg(F.sum("rows").alias("rows"))
+
+
 def run_table(
     collection: DataFrame, logs: DataFrame, originals: DataFrame | None, known_kernels: Iterable[str] | DataFrame,
-    log_id: str = "log_id", executed: DataFrame | None = None, logged_hashes_compare: bool = False,
+    log_id: str = "log_id", executed: DataFrame | None = None, logged_hashes_compare: bool = False, part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """One run row per log of an eligible notebook, in the 18-column format.
 
@@ -66,7 +72,8 @@ def run_table(
     runs = left_join_unique(outcomes, declared, _NOTEBOOK, [log_id], how="inner", count_on=logs)
     if executed is not None:
         runs = with_executed_hash(runs, executed, log_id)
-    runs = resolve_kernel(runs, known_kernels, [log_id], count_on=declared).withColumn("nb_ok_parse", F.lit(True))
+    kernels = runs_by_kernel(declared, logs)
+    runs = resolve_kernel(runs, known_kernels, [log_id], count_on=kernels, part_rows=part_rows).withColumn("nb_ok_parse", F.lit(True))
     if originals is None:
         none = F.lit(None)
         matched = runs.withColumns({

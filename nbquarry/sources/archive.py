@@ -76,19 +76,23 @@ def write_archive_files(notebooks: DataFrame, base: str, mode: str = "overwrite"
     rows.write.format(archive_files.NAME).mode(mode).save(base)
 
 
-def archive_rows(notebooks: DataFrame) -> DataFrame:
-    """Decoded notebooks as archive rows: sanitized owner and repository, archive name, short hash, document text."""
-    full_name = F.col("repo_full_name")
-    text = F.to_json("doc")
-    return notebooks.where(D.is_decoded(notebooks)).select(
+def archive_row(notebooks: DataFrame, sha: Column) -> Column:
+    """A decoded notebook as a struct: sanitized owner and repository, archive name, short hash, document text."""
+    full_name, text = F.col("repo_full_name"), F.to_json("doc")
+    return F.struct(
         sanitize_name(owner_of(full_name)).alias("owner"),
         sanitize_name(repo_of(full_name)).alias("repo"),
-        archive_name(F.col("file_sha"), F.col("file_path")).alias("archive_name"),
-        short_sha(F.col("file_sha")).alias("sha8"),
+        archive_name(sha, F.col("file_path")).alias("archive_name"),
+        short_sha(sha).alias("sha8"),
         (F.coalesce(text, F.col("large.raw")) if "large" in notebooks.columns else text).alias("raw"),
     )
 
 
+def archive_rows(notebooks: DataFrame) -> DataFrame:
+    """The archive rows of the decoded notebooks."""
+    return notebooks.where(D.is_decoded(notebooks)).select(archive_row(notebooks, F.col("file_sha")).alias("a")).select("a.*")
+
+
 def write_notebook_archive(notebooks: DataFrame, path: str) -> None:
     """Keep the decoded originals as one parquet table rather than one small file each."""
     archive_rows(notebooks).write.mode("overwrite").parquet(path)

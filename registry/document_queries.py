@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nbquarry.functions import documents as D
 from nbquarry.operators import code as G, filters, outputs as O, shred
-from nbquarry.plans.collect import build_collection, collect_windows, collected_originals, keep_unparsed, notebook_metrics
+from nbquarry.plans.collect import build_collection, collect_and_archive, collect_windows, collected_originals, keep_unparsed, notebook_metrics
 from nbquarry.schema import COLLECTION_FIELDS, DEPENDENCY_FIELDS, IDENTITY_FIELDS
 from nbquarry.session import configure
 from nbquarry.sources import archive
@@ -197,6 +197,20 @@ def originals(spark, sf):
     return collected_originals(X.contents(spark, sf), spark.read.parquet(path)).where("doc is not null").select("nb_id")
 
 
+@checked("collect_and_archive", f"""{_WINDOW_ROWS}
+select 'org' || cast(w.nb_id % 20 as varchar) as owner, 'repo' || cast(w.nb_id % 200 as varchar) as repo,
+  left(sha1(cast(w.nb_id as varchar)), 8) || '_' || cast(w.nb_id as varchar) || '.ipynb' as archive_name, n_cells_total as n_cells
+from window_rows w join doc_metrics using (nb_id) where not undecoded""")
+def collect_archive(spark, sf):
+    """The archive of the windows' collection, from one decoding."""
+    configure(spark)
+    _, rows = collect_and_archive(
+        X.contents(spark, sf), X.repos(spark, sf), X.view(spark, sf, "fx_tree"), scratch_path(spark, "measured"), require_outputs=True
+    )
+    found = archive.with_document(rows.withColumnRenamed("raw", "_text"))
+    return found.select("owner", "repo", "archive_name", F.array_size(D.cells_of(found)).cast("bigint").alias("n_cells"))
+
+
 def _code_feature(name: str, flag: str, kinds: str) -> None:
     @checked(name, f"""{_DOC}
 select nb_id, bool_or(code_kind in ({kinds})) as {flag} from doc_cells where cell_type = 'code' group by nb_id""")

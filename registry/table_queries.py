@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nbquarry.operators import filters, repos
+from nbquarry.operators import filters, repos, sampling as P
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA
 from nbquarry.sources import tables as T
 from nbquarry.streaming.quota import incremental_quota
@@ -63,6 +63,19 @@ def stored_by_date(spark, sf):
     return kept.select("repo_full_name", "file_path", "created_date")
 
 
+@checked("windows_of_days_stored_by_date", f"""{_COLLECTION}, {WINDOWS}
+select window_id, repo_full_name, file_path, cast(left(repo_created_at, 10) as date) as created_date
+from fx_collection join windows on cast(left(repo_created_at, 10) as date) between a and b where window_id in (3, 4, 17)""")
+def windows_stored_by_date(spark, sf):
+    """Windows from a table; only the folders of their days are read."""
+    path, calendar = scratch_path(spark, "collection"), scratch_path(spark, "calendar")
+    T.write_collection_by_date(_collection(spark, sf), path)
+    spark.createDataFrame(P.calendar_windows(), "window_id int, a date, b date, quota int").write.parquet(calendar)
+    windows = spark.read.parquet(calendar).where("window_id in (3, 4, 17)")
+    placed = P.assign_windows(spark.read.parquet(path), windows, F.col("repo_created_at"))
+    return placed.select("window_id", "repo_full_name", "file_path", "created_date")
+
+
 _RUN_FIELDS = [
     "repo_full_name", "file_path", "exec_ok", "error", "elapsed_s", "original_found", "outputs_equal",
     "outputs_hash_orig", "n_outputs_orig", "n_outputs_exec",
@@ -151,6 +164,16 @@ def quota_across_runs(spark, sf):
     return spark.read.parquet(target).select("window_id", "quota_rank", "repo_full_name", "file_path", F.to_date("repo_created_at").alias("created_date"))
 
 
+@checked("validate_date_bounds", """
+select l_orderkey, l_linenumber, coalesce(cast(l_shipdate as date) <= cast(l_shipdate as date) + cast(l_quantity - 25 as integer), false) as valid from lineitem""")
+def validate_date_bounds(spark, sf):
+    """Ranges that begin on the day of shipping; half of them end before that."""
+    ranges = X.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("a"), F.date_add(F.to_date("l_shipdate"), (F.col("l_quantity") - 25).cast("int")).alias("b")
+    )
+    return repos.with_checked_bounds(ranges).select("l_orderkey", "l_linenumber", "valid")
+
+
 # ---- repository trees ----
 
 checked("list_notebook_paths", f"{_TREE} select repo_full_name, path from fx_tree where type = 'blob' and lower(path) like '%.ipynb'")(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry
 from nbquarry.operators import code as G, outputs as O
-from nbquarry.plans.collect import build_collection, notebook_metrics
+from nbquarry.plans.collect import build_collection, collect_and_archive, notebook_metrics
 from nbquarry.sources.archive import decode_contents
 from registry import fixtures as X
 
@@ -41,6 +41,17 @@ def test_documents_are_parsed_once(spark, contents):
     assert text.index("ArrowEvalPython") < text.index("Filter (isnull(size(cells")
 
 
+def test_archive_picks_documents_where_they_lie(spark, contents, tmp_path):
+    work = str(tmp_path / "measured")
+    collection, archived = collect_and_archive(contents, X.repos(spark, SF), X.view(spark, SF, "fx_tree"), work)
+    for line in plan(archived).splitlines():
+        assert not ("Exchange" in line and "raw" in line)
+    assert "archived" not in re.findall(r"ReadSchema: (\S+)", plan(collection))[0]
+    names = {r.archive_name for r in archived.collect()}
+    assert len(names) == collection.where("nb_ok_parse").count() > 0
+    assert "from_json" not in plan(archived)
+
+
 def test_only_needed_columns_are_read(contents):
     schema = re.search(r"ReadSchema: (\S+)", plan(notebook_metrics(decode_contents(contents)))).group(1)
     assert "html_url" not in schema and "content" in schema
@@ -55,6 +66,16 @@ def test_date_filter_skips_folders(spark):
     assert re.search(r"PartitionFilters: \[[^]]*created_date", text)
 
 
+def test_windows_skip_folders_by_what_they_turn_out_to_hold(spark):
+    df = entry.queries()["windows_of_days_stored_by_date"](spark, SF)
+    text = plan(df)
+    assert re.search(r"PartitionFilters: \[[^]]*dynamicpruning", text)
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves()
+    folders = [leaves.apply(i).metrics().apply("numPartitions").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numPartitions")]
+    assert folders and all(0 < n <= 21 for n in folders)
+
+
 @pytest.mark.parametrize("name", ["window_quota", "newest_per_range", "ranked_imports", "skips_middle"])
 def test_rank_limits_apply_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(entry.queries()[name](spark, SF))

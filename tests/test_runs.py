@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nbquarry.operators import joins, matching, profile, runs as R, summary as S
 from nbquarry.plans.report import corpus_report
+from nbquarry.plans.run_table import runs_by_kernel
 
 
 def test_smallest_name_with_the_suffix_wins(spark):
@@ -201,3 +202,15 @@ def test_cube_tells_subtotals_from_missing_values(spark):
     assert cube[(0, "E", None, False, False)] == (2, pytest.approx(200 / 3)) and cube[(0, None, None, False, False)] == (1, pytest.approx(100 / 3))
     assert cube[(8, None, None, False, False)] == (3, 100.0) and cube[(15, None, None, None, None)] == (4, 100.0) and cube[(7, "E", None, None, None)] == (3, 75.0)
     assert cube[(3, "E", None, None, None)] == (3, 75.0)
+
+
+def test_a_kernel_with_few_notebooks_and_many_runs_is_split(spark):
+    declared = spark.createDataFrame([("r", f"n{i}", "python3" if i < 3 else f"k{i}") for i in range(50)], "repo_full_name string, file_path string, kernel_name string")
+    logs = spark.range(3000).select(F.lit("r").alias("repo_full_name"), F.concat(F.lit("n"), F.when(F.col("id") < 2400, F.col("id") % 3).otherwise(F.col("id") % 50).cast("string")).alias("file_path"), "id")
+    counted = runs_by_kernel(declared, logs)
+    assert {r.kernel_name: r.rows for r in counted.collect()}["python3"] == 2436
+    assert max(r._parts for r in joins.heavy_buckets(counted, ["kernel_name"], 100, weight="rows").collect()) >= 25
+    runs = logs.join(declared, ["repo_full_name", "file_path"])
+    known = spark.createDataFrame([("python3",), ("k7",)], "name string")
+    found = R.resolve_kernel(runs, known, ["id"], count_on=counted, part_rows=100).groupBy("kernel_name").count().collect()
+    assert {r.kernel_name: r["count"] for r in found} == {"k7": 12, "python3": 2988}
