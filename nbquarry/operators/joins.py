@@ -13,7 +13,7 @@ BUCKETS = 1 << 16
 PART_ROWS = 1_000_000
 
 
-def _bucket(keys: list[str]) -> Column:
+def key_bucket(keys: list[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
@@ -23,7 +23,7 @@ def heavy_buckets(df: DataFrame, keys: list[str], part_rows: int = PART_ROWS, we
     Counts are exact, so computing this twice gives the same parts: both sides of a join can rely on it.
     """
     rows = F.lit(1) if weight is None else F.col(weight)
-    counts = df.select(_bucket(keys).alias("_bucket"), rows.alias("_rows")).groupBy("_bucket").agg(F.sum("_rows").alias("rows"))
+    counts = df.select(key_bucket(keys).alias("_bucket"), rows.alias("_rows")).groupBy("_bucket").agg(F.sum("_rows").alias("rows"))
     return counts.where(F.col("rows") > part_rows).select("_bucket", F.ceil(F.col("rows") / part_rows).cast("int").alias("_parts"))
 
 
@@ -34,7 +34,7 @@ def spread_left(
     # A NULL key matches nothing, so such rows may go anywhere.
     unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     parts = F.coalesce("_parts", F.when(unmatched, BUCKETS).otherwise(1))
-    return left.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
+    return left.withColumn("_bucket", key_bucket(keys)).join(heavy, "_bucket", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
     ).drop("_bucket", "_parts")
 
@@ -52,7 +52,7 @@ def left_join_unique(
     """
     heavy = F.broadcast(heavy_buckets(left if count_on is None else count_on, keys, part_rows, weight))
     parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    spread_right = right.withColumn("_bucket", _bucket(keys)).join(heavy, "_bucket", "left").withColumn(
+    spread_right = right.withColumn("_bucket", key_bucket(keys)).join(heavy, "_bucket", "left").withColumn(
         "_part", F.explode(parts)
     ).drop("_bucket", "_parts")
     return spread_left(left, heavy, keys, spread_by).join(spread_right, [*keys, "_part"], how).drop("_part")

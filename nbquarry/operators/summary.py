@@ -12,6 +12,7 @@ from nbquarry import constants as K
 from nbquarry.functions.coerce import blank_to_null, is_filled, pct, to_bool, to_float, to_int
 from nbquarry.functions.names import notebook_label
 from nbquarry.operators.filters import has_output_columns, language_starts_with_python
+from nbquarry.operators.heavy import COUNTERS, top_values
 from nbquarry.operators.profile import median_and_mean
 
 
@@ -104,6 +105,14 @@ def top_imports_exact(imports: DataFrame, limit: int = K.TOP_IMPORTS) -> DataFra
     return counts.orderBy(F.desc("n"), "first_seen").limit(limit).select("module", "n")
 
 
+def top_imports_by_summaries(imports: DataFrame, limit: int = K.TOP_IMPORTS, counters: int = COUNTERS) -> DataFrame:
+    """The same from a stored table of very many modules, which is read twice when this is called.
+
+    Summaries of bounded size name what may be among the first, and only that is counted: rare modules never reach the shuffle.
+    """
+    return top_values(imports, "module", F.struct("nb_id", "cell_idx", "pos"), limit, counters)
+
+
 # ---- runs ----
 
 def run_conditions(compared: bool) -> dict[str, Column]:

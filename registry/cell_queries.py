@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nbquarry.operators import cells as C, code as G
-from nbquarry.operators.summary import top_imports_exact
+from nbquarry.operators.summary import top_imports_by_summaries, top_imports_exact
 from registry import fixtures as X
 from registry.book import checked
 
@@ -152,3 +152,8 @@ checked("top_imports_exact", f"""{_IMPORTS}
 select module, count(*) as n from imports group by module order by n desc, min(nb_id * 1000 + cell_idx * 10 + pos) limit 10""")(
     lambda spark, sf: top_imports_exact(_imports(spark, sf))
 )
+
+checked("top_imports_by_summaries", f"""{_IMPORTS}
+select module, count(*) as n from imports group by module order by n desc, min(nb_id * 1000 + cell_idx * 10 + pos) limit 10""")(
+    lambda spark, sf: top_imports_by_summaries(_imports(spark, sf))
+)

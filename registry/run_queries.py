@@ -8,6 +8,7 @@ from nbquarry.functions import names
 from nbquarry.operators import divergence as DV, matching, outputs as O, repos, runs as R, summary as S
 from nbquarry.plans.report import corpus_report, keep_window_facts, report_over_windows
 from nbquarry.plans.run_table import run_table as build_run_table
+from nbquarry.sources import bucketed
 from nbquarry.sources.archive import with_document
 from registry import collection_queries as CQ, fixtures as X
 from registry.book import checked
@@ -199,6 +200,19 @@ def runs_with_collection(spark, sf):
     return joined.select("row_id", "error", "exec_ok", "listing", *matching.TRAITS)
 
 
+@checked("runs_with_notebooks_bucketed", f"""with {X.duck_views('fx_runs', 'fx_collection')},
+notebooks as (select repo_full_name, file_path, min(row_id) as first_listing, count(*) as listings from fx_collection group by all)
+select row_id, error, first_listing, listings from fx_runs left join notebooks using (repo_full_name, file_path)""")
+def runs_bucketed(spark, sf):
+    """Both tables stored by notebook, with the busiest notebooks kept apart."""
+    listed = X.view(spark, sf, "fx_collection").groupBy("repo_full_name", "file_path").agg(F.min("row_id").alias("first_listing"), F.count(F.lit(1)).alias("listings"))
+    path = scratch_path(spark, "bucketed")
+    name = f"nbquarry_{path.rsplit('-', 1)[-1]}"
+    bucketed.write_bucketed(_runs(spark, sf).select("row_id", "repo_full_name", "file_path", "error"), f"{name}_runs", f"{path}/runs", 8, part_rows=8)
+    bucketed.write_bucketed(listed, f"{name}_notebooks", f"{path}/notebooks", 8, part_rows=None)
+    return bucketed.join_bucketed(spark, f"{name}_runs", f"{name}_notebooks", ["row_id"]).select("row_id", "error", "first_listing", "listings")
+
+
 @checked("error_cube", f"""with {X.duck_views('fx_runs', 'fx_collection')},
 cells as (
   select r.error, c.deps_any, c.out_of_order, c.has_abs_data_path, count(*) as n,

@@ -7,11 +7,12 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import DataFrameWriter
+from pyspark.sql import DataFrameWriter, functions as F
 
 import __spark_entry__ as entry
 from nbquarry.operators import code as G, outputs as O
 from nbquarry.plans.collect import build_collection, collect_and_archive, notebook_metrics
+from nbquarry.sources import bucketed
 from nbquarry.sources.archive import decode_contents
 from registry import fixtures as X
 
@@ -126,6 +127,21 @@ def test_joins_do_not_depend_on_broadcasting(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_tables_stored_by_notebook_join_without_a_shuffle(spark, tmp_path):
+    name, path = f"t{abs(hash(str(tmp_path))) % 10**8}", str(tmp_path)
+    runs = spark.range(600).select("id", F.lit("o/r").alias("repo_full_name"), F.when(F.col("id") < 300, F.lit("hot")).otherwise(F.concat(F.lit("n"), (F.col("id") % 40).cast("string"))).alias("file_path"))
+    notebooks = spark.createDataFrame([("o/r", "hot", 1), ("o/r", "n3", 2), ("o/q", "n4", 3)], "repo_full_name string, file_path string, v int")
+    bucketed.write_bucketed(runs, name, f"{path}/a", 4, part_rows=100)
+    bucketed.write_bucketed(notebooks, f"{name}_right", f"{path}/b", 4, part_rows=None)
+    assert spark.table(f"{name}_hot").count() == 300
+    text = plan(spark.table(name).join(spark.table(f"{name}_right").hint("merge"), bucketed.NOTEBOOK, "left"))
+    assert "SortMergeJoin" in text and "Exchange" not in text
+    found = bucketed.join_bucketed(spark, name, f"{name}_right", ["id"], part_rows=100)
+    assert {r.v: r["count"] for r in found.groupBy("v").count().collect()} == {1: 300, 2: 7, None: 293}
+    for table in (name, f"{name}_hot", f"{name}_right"):
+        spark.sql(f"drop table {table}")
+
+
 def test_features_run_without_this_package_on_workers(spark, tmp_path):
     """The function travels by value: a process that cannot import the package can run it."""
     (tmp_path / "f.pickle").write_bytes(cloudpickle.dumps(G._features_function().func))
