@@ -1,11 +1,16 @@
 """Quality rules whose cutoffs follow the data: quantile sketches per language and source.
 
 Each document has a few rates (symbols, capitals, repeated lines and words, word length). A rate is rejected where it lies
-far above the upper quartile of its language and source, measured by the spread between the quartiles. Quartiles come
-from sketches with logarithmic buckets: a count per bucket, so sketches merge by adding counts, in any order and with the
-same result, and their relative error is at most twice ``ACCURACY``. A group with few documents is judged by the merged
-sketch of its language, a language with few by that of all. In merged sketches all sources weigh the same, and no group's
-limit lies beyond what they allow: a source full of junk can't excuse it, however large it is.
+far above the upper quartile of its language and source, measured by the spread between the quartiles, both on a
+logarithmic scale: beyond Tukey's outer fence. Nothing else decides; no rate has a fixed cutoff.
+
+Rates are of counts, and a count of zero has no logarithm and says little in a short text. So the sketches hold what a rate
+would be with one event more, and a document is judged by what it would be with one less: a single event rejects
+nothing. Quartiles come from sketches with logarithmic buckets: a count per bucket, so sketches merge by adding counts, in
+any order and with the same result, and their relative error is at most twice ``ACCURACY``. A group's fence is drawn
+towards that of its language, and a language's towards that of all, the more the fewer documents it has. In merged sketches
+all sources weigh the same, and no group's limit lies beyond what they allow: a source full of junk can't excuse it,
+however large it is.
 
 Everything here is DataFrame functions. Texts are never shuffled: only bucket counts are.
 """
@@ -27,20 +32,19 @@ SYMBOLS = r"[#*$%&|<>]"
 
 # Repeated windows are looked up in a list up to this length; longer lists are sorted into place.
 FEW = 16
-# The bucket of zero.
-ZERO = -(1 << 30)
 # Half the relative width of a bucket.
 ACCURACY = 0.01
-# A group with fewer documents borrows the sketch of the next larger group.
-LEAST_GROUP = 200
+# A group's own fence counts like its number of documents, the one it is drawn to like so many.
+DRAWN = 30
 # A language's bound counts like its number of sources, that of all like so many.
 SOURCES = 4
 # The weight of a source in merged sketches, as whole numbers add up the same in any order.
 WEIGHT = 1 << 32
-# A rate is too high beyond the upper quartile plus this many spreads, but never below its slack. The slack is what
-# sound texts may have anywhere; it keeps a group of very even texts from rejecting harmless ones.
-SPREADS = 4.0
-SLACK = {"symbol_rate": 0.25, "capital_rate": 0.4, "dup_line_rate": 0.5, "repeat_rate": 0.3, "word_length": 20.0}
+# A rate is too high beyond the upper quartile plus this many spreads: the outer fence.
+SPREADS = 3.0
+RATES = ["symbol_rate", "capital_rate", "dup_line_rate", "repeat_rate", "word_length"]
+# Rates by which a document is judged, next to those that are sketched.
+JUDGED = {r: f"least_{r}" for r in RATES}
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -81,13 +85,12 @@ def _repeat_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of the base rule, ``base_failed`` and one column for each rate.
+    """``docs`` with the counts of the base rule, ``base_failed`` and two columns for each rate: as sketched, and as judged.
 
-    All of ``docs`` stays, but for columns of these names, which are replaced. A NULL text counts as empty: no words, all
-    rates zero, failed.
+    All of ``docs`` stays, but for columns of these names, which are replaced. A NULL text counts as empty: no words, failed.
     """
     whole = F.coalesce(col(text), F.lit(""))
-    words, lines = free_name(docs, "words_of_text"), free_name(docs, "lines_of_text")
+    words, lines, of_lines, of_capitals = (free_name(docs, n) for n in ("words_of_text", "lines_of_text", "events_of_lines", "events_of_capitals"))
     pieces = docs.withColumns({
         words: F.filter(F.split(whole, WHITE), lambda w: w != ""),
         lines: F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
@@ -99,16 +102,18 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": count(whole) - count(F.regexp_replace(whole, SYMBOLS, "")),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _let(col(words), _repeat_words),
-        "dup_line_rate": (F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1)),
-        "capital_rate": F.lit(1) - F.length(F.regexp_replace(whole, r"\p{Lu}", "")) / F.greatest(F.length(whole), F.lit(1)),
+        of_lines: F.struct((F.size(lines) - F.size(F.array_distinct(lines))).alias("n"), F.size(lines).alias("size")),
+        of_capitals: F.struct((F.length(whole) - F.length(F.regexp_replace(whole, r"\p{Lu}", ""))).alias("n"), F.length(whole).alias("size")),
     }).drop(words, lines)
-    size = F.greatest(F.col("n_words"), F.lit(1))
-    return counted.withColumns({
-        "base_failed": (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")),
-        "symbol_rate": F.col("n_symbols") / size,
-        "repeat_rate": F.col("n_repeat_words") / size,
-        "word_length": F.col("word_chars") / size,
-    })
+    events = {
+        "symbol_rate": (F.col("n_symbols"), F.col("n_words")), "capital_rate": (col(of_capitals)["n"], col(of_capitals)["size"]),
+        "dup_line_rate": (col(of_lines)["n"], col(of_lines)["size"]), "repeat_rate": (F.col("n_repeat_words"), F.col("n_words")),
+    }
+    word_length = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
+    more = {r: (n + 1) / (size + 1) for r, (n, size) in events.items()} | {"word_length": word_length}
+    fewer = {JUDGED[r]: F.greatest(n - 1, F.lit(0)) / (size + 1) for r, (n, size) in events.items()} | {JUDGED["word_length"]: word_length}
+    failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return counted.withColumns({"base_failed": failed, **more, **fewer}).drop(of_lines, of_capitals)
 
 
 def _names(lang: str | None, source: str | None) -> list[Column]:
@@ -119,14 +124,14 @@ def _names(lang: str | None, source: str | None) -> list[Column]:
 def sketches(featured: DataFrame, lang: str | None = "lang", source: str | None = "source") -> DataFrame:
     """``(lang_group, source_group, rate, bucket, n)``: mergeable quantile sketches of the rates of sound documents.
 
-    Bucket ``k`` counts values in ``(g^(k-1), g^k]`` with ``g = (1 + a) / (1 - a)``; zero has a bucket of its own. Sketches merge by
-    adding ``n``. Documents that fail the base rule are left out.
+    Bucket ``k`` counts values in ``(g^(k-1), g^k]`` with ``g = (1 + a) / (1 - a)``; all are above zero. Sketches merge by adding
+    ``n``. Documents that fail the base rule are left out.
     """
     base = math.log((1 + ACCURACY) / (1 - ACCURACY))
     group_lang, group_source = (F.coalesce(c, F.lit("-")) for c in _names(lang, source))
-    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).cast("double").alias("value")) for r in SLACK]))
+    rates = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).cast("double").alias("value")) for r in RATES]))
     long = featured.where(~F.col("base_failed")).select(group_lang.alias("lang_group"), group_source.alias("source_group"), rates.alias("r"))
-    bucket = F.when(F.col("r.value") > 0, F.ceil(F.log("r.value") / base).cast("int")).otherwise(ZERO)
+    bucket = F.ceil(F.log("r.value") / base).cast("int")
     return long.groupBy("lang_group", "source_group", F.col("r.rate").alias("rate"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,8 +144,8 @@ def limits(sketch: DataFrame) -> DataFrame:
         upto, whole = Window.partitionBy(*keys, "rate").orderBy("bucket"), Window.partitionBy(*keys, "rate")
         ranked = merged.withColumns({"upto": F.sum("weight").over(upto), "all": F.sum("weight").over(whole), "total": F.sum("n").over(whole)})
         # The upper end of a bucket (and a little more, for rounding), so that no quartile lies below its values.
-        value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.exp(F.col("bucket") * base) * (1 + 1e-9))
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), value))
+        end = F.col("bucket") * base + 1e-9
+        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), end))
         found = ranked.groupBy(*keys, "rate").agg(at(0.25).alias("low"), at(0.75).alias("high"), F.first("total").alias("total"))
         return found.select(*keys, "rate", "total", (F.col("high") + SPREADS * (F.col("high") - F.col("low"))).alias("fence"))
 
@@ -158,13 +163,11 @@ def limits(sketch: DataFrame) -> DataFrame:
         .join(renamed(quartiles(language, evenly(group)), "1"), ["lang_group", "rate"]).join(sources, ["lang_group", "rate"])
         .join(renamed(quartiles(everything, evenly(["source_group"])), "2"), ["rate"])
     )
-    fence = (
-        F.when(F.col("total_0") >= LEAST_GROUP, F.col("fence_0")).when(F.col("total_1") >= LEAST_GROUP, F.col("fence_1")).otherwise(F.col("fence_2"))
-    )
+    # Logarithms throughout. Each fence is drawn to the next larger group's.
+    drawn = lambda k, to: (F.col(f"total_{k}") * F.col(f"fence_{k}") + DRAWN * to) / (F.col(f"total_{k}") + DRAWN)
     bound = (F.col("sources") * F.col("fence_1") + SOURCES * F.col("fence_2")) / (F.col("sources") + SOURCES)
-    slack = F.create_map(*[F.lit(x) for item in SLACK.items() for x in item])[F.col("rate")]
-    limit = F.greatest(slack, F.least(fence, bound))
-    columns = [F.max(F.when(F.col("rate") == r, limit)).alias(f"most_{r}") for r in SLACK]
+    limit = F.exp(F.least(drawn(0, drawn(1, F.col("fence_2"))), bound))
+    columns = [F.max(F.when(F.col("rate") == r, limit)).alias(f"most_{r}") for r in RATES]
     return joined.groupBy(*group).agg(*columns)
 
 
@@ -174,12 +177,12 @@ def judge(featured: DataFrame, limits: DataFrame, lang: str | None = "lang", sou
     names = [F.coalesce(c, F.lit("-")) for c in _names(lang, source)]
     keyed = featured.withColumns({lang_key: names[0], source_key: names[1]})
     most = limits.withColumnsRenamed({"lang_group": lang_key, "source_group": source_key})
-    fits = [F.coalesce(F.col(r) <= F.col(f"most_{r}"), F.lit(True)) for r in SLACK]
+    fits = [F.coalesce(F.col(JUDGED[r]) <= F.col(f"most_{r}"), F.lit(True)) for r in RATES]
     kept = ~F.col("base_failed")
     for fit in fits:
         kept = kept & fit
     joined = keyed.join(most, [lang_key, source_key], "left").withColumn("kept", kept)
-    return joined.drop(lang_key, source_key, *[f"most_{r}" for r in SLACK])
+    return joined.drop(lang_key, source_key, *[f"most_{r}" for r in RATES])
 
 
 def filter_documents(docs: DataFrame, text: str = "text", lang: str | None = "lang", source: str | None = "source") -> DataFrame:

@@ -1,9 +1,9 @@
 """Quality rules against plain Python, and what the limits adapt to."""
 
+import math
 import re
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from nbquarry.llm import quality
@@ -69,8 +69,65 @@ def test_sketches_merge_and_are_accurate(spark):
     halves = [quality.sketches(featured.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
     merged = quality.limits(halves[0].unionByName(halves[1]))
     assert sorted(map(str, whole.collect())) == sorted(map(str, merged.collect()))
-    limit = whole.where("source_group = '=tables'").first().most_symbol_rate
-    assert limit == pytest.approx(1.0, rel=2 * quality.ACCURACY) and limit >= 1
+
+
+def exact_limits(rows):
+    """Limits of each (lang, source) from sorted values, for rows ``(lang, source, {rate: value})``."""
+    def fence(weighted):
+        upto, low, high = 0.0, None, None
+        whole = sum(w for _, w in weighted)
+        for value, w in sorted(weighted):
+            upto += w
+            low = value if low is None and upto >= 0.25 * whole - 1e-9 else low
+            high = value if high is None and upto >= 0.75 * whole - 1e-9 else high
+        return math.log(high) + quality.SPREADS * (math.log(high) - math.log(low))
+
+    def evenly(chosen, key):
+        sizes = Counter(key(r) for r in chosen)
+        return [(r[2], 1 / sizes[key(r)]) for r in chosen]
+
+    out = {}
+    for rate in quality.RATES:
+        flat = [(lang, source, values[rate]) for lang, source, values in rows]
+        of_all = fence(evenly(flat, lambda r: r[1]))
+        for lang, source in {r[:2] for r in flat}:
+            mine, same = [r for r in flat if r[:2] == (lang, source)], [r for r in flat if r[0] == lang]
+            of_language, sources = fence(evenly(same, lambda r: r[1])), len({r[1] for r in same})
+            drawn = lambda n, own, to: (n * own + quality.DRAWN * to) / (n + quality.DRAWN)
+            own = drawn(len(mine), fence([(r[2], 1) for r in mine]), drawn(len(same), of_language, of_all))
+            out[lang, source, rate] = min(own, (sources * of_language + quality.SOURCES * of_all) / (sources + quality.SOURCES))
+    return out
+
+
+def test_limits_are_those_of_exact_quantiles(spark):
+    """And the sketches decide: nothing else rejects a document past the base rule."""
+    featured = quality.features(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).drop("text")
+    table = quality.limits(quality.sketches(featured))
+    found = {(r.lang_group[1:], r.source_group[1:], rate): math.log(r[f"most_{rate}"]) for r in table.collect() for rate in quality.RATES}
+    rows = featured.collect()
+    expected = exact_limits([(r.lang, r.source, r) for r in rows if not r.base_failed])
+    assert found.keys() == expected.keys()
+    # Two quartiles, each within the width of a bucket.
+    slack = (1 + 2 * quality.SPREADS) * 2.1 * quality.ACCURACY
+    assert all(abs(found[k] - expected[k]) <= slack for k in found)
+    kept = {r.doc_id: r.kept for r in quality.judge(featured, table).collect()}
+    fits = lambda r, more: all(r[j] <= 0 or math.log(r[j]) <= expected[r.lang, r.source, q] + more for q, j in quality.JUDGED.items())
+    for r in rows:
+        if r.base_failed or not fits(r, slack):
+            assert not kept[r.doc_id]
+        elif fits(r, -slack):
+            assert kept[r.doc_id]
+    assert sum(not r.base_failed and not kept[r.doc_id] for r in rows) > 40
+
+
+def test_no_group_size_changes_limits_at_once(spark):
+    rows = [(i, sentence(i), "en", f"s{i % 7}") for i in range(700)] + [(5000 + i, sentence(3 * i).upper() if i % 4 else sentence(i), "en", "grows") for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    featured = quality.features(docs).drop("text").cache()
+    limit = lambda n: math.log(quality.limits(quality.sketches(featured.where(F.col("doc_id") < 5000 + n))).where("source_group = '=grows'").first().most_word_length)
+    before, after = limit(199), limit(201)
+    assert abs(before - after) < 0.05
+    featured.unpersist()
 
 
 def test_a_source_does_not_excuse_its_own_junk(spark):
