@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides what it can: blocks in menus, footers, adverts,
-forms and the like are out; blocks with many links are out; long blocks with many stop words are in, and so are blocks
-of an article, if the page marks one. Short blocks elsewhere stay ambiguous. In the second pass they inherit the label
-of their nearest decided neighbour.
+A page is cut into blocks at block-level tags; menus, footers, adverts, forms and the like are marked by their markup and
+are gone. The first pass looks at each block's links, length and stop words, and decides what it can: blocks with many
+links, or made of the words of notices, are out; long blocks with many stop words are in. That a block stands in an
+``article`` or ``main`` is one feature of this: the bars are lower there. In the second pass the others, short ones above all,
+inherit the label of their nearest decided neighbour.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ from nbquarry.llm.common import col
 ARTICLE_LINKS, LINKS = 0.5, 0.2
 # Blocks below this length are ambiguous; from GOOD_LENGTH on, stop words alone let a block in.
 SHORT, GOOD_LENGTH = 70, 200
-# Share of stop words: below LOW a block is out, from HIGH on a long one is in.
+# Share of stop words: below LOW a block is out, from HIGH on a long one is in. In an article LOW lets a block in, and below it is open.
 LOW, HIGH = 0.15, 0.25
+# Share of words of notices, and their least number, from which a block that is not long is out.
+NOTICE, NOTICE_WORDS = 0.4, 2
 
 # Elements of HTML.
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "select", "button"}
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+# Elements whose content is no text of the page; one that is not closed is passed over.
+HIDDEN = {"noscript", "template", "svg", "math", "object", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption",
@@ -49,6 +54,13 @@ STOP_WORDS = frozenset(
     "al como con del el ella ellos era esta este ha las lo los más no para pero por que se sin su sus también una y".split()
 )
 
+# Words of notices, menus and buttons that stand in a page as text.
+NOTICE_TEXT = frozenset(
+    "advertisement advertisements contact cookie cookies copyright disclaimer facebook follow imprint instagram login logout menu newsletter "
+    "pinterest policy print privacy products register search services share shop sitemap subscribe terms tweet twitter whatsapp "
+    "abonnieren anmelden datenschutz drucken impressum kontakt teilen abonner contactez imprimer mentions partager compartir contacto imprimir suscribirse".split()
+)
+
 _ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _MARK = re.compile("""["'>]""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -80,6 +92,17 @@ def _tag_end(page: str, at: int) -> int:
     return len(page)
 
 
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """Where the elements ``tag`` that are closed begin, and the position after their end."""
+    found, open_ = {}, []
+    for mark in re.finditer(f"<(/?){tag}(?=[\\s/>])", page, re.I):
+        if not mark[1]:
+            open_.append(mark.start())
+        elif open_:
+            found[open_.pop()] = mark.end()
+    return found
+
+
 def _is_out(name: str, attributes: str, article: bool) -> bool:
     if name in OUT or name == "header" and not article:
         return True
@@ -101,6 +124,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     in_link, at, n = False, 0, len(page)
+    closed: dict[str, dict[int, int]] = {}
 
     def close_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -143,6 +167,11 @@ def blocks(page: str) -> list[Block]:
             if not closing and not page.startswith("/>", at - 2):
                 end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 at = n if end is None else _tag_end(page, end.end())
+        elif tag in HIDDEN:
+            if tag not in closed:
+                closed[tag] = _closed(page, tag)
+            if not closing and start in closed[tag]:
+                at = _tag_end(page, closed[tag][start])
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -168,22 +197,27 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def _stop_share(text: str) -> float:
+def _share(text: str, listed: frozenset[str]) -> tuple[float, int]:
+    """Share and number of a text's words that are listed."""
     words = _TOKEN.findall(text.lower())
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    n = sum(w in listed for w in words)
+    return (n / len(words) if words else 0.0), n
 
 
 def _first_pass(block: Block) -> bool | None:
     """In, out or (None) ambiguous."""
-    link_share = block.link_chars / len(block.text)
-    if block.article:
-        return link_share <= ARTICLE_LINKS
-    if link_share > LINKS:
+    size = len(block.text)
+    if block.link_chars / size > (ARTICLE_LINKS if block.article else LINKS):
         return False
-    if len(block.text) < SHORT:
-        return False if block.link_chars else None
-    stops = _stop_share(block.text)
-    if stops >= HIGH and len(block.text) >= GOOD_LENGTH:
+    notice, n = _share(block.text, NOTICE_TEXT)
+    if size < GOOD_LENGTH and notice >= NOTICE and n >= NOTICE_WORDS:
+        return False
+    if size < SHORT:
+        return False if block.link_chars and not block.article else None
+    stops, _ = _share(block.text, STOP_WORDS)
+    if block.article:
+        return True if stops >= LOW else None
+    if stops >= HIGH and size >= GOOD_LENGTH:
         return True
     return None if stops >= LOW else False
 
@@ -192,8 +226,6 @@ def main_blocks(page: str | None) -> list[str]:
     """The texts of the blocks that belong to the article."""
     # What the markup itself rules out is gone before neighbours are looked for.
     found = [b for b in blocks(page or "") if not b.out]
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
     decided = [_first_pass(b) for b in found]
     n = len(found)
     before, after = [None] * n, [None] * n
@@ -208,7 +240,12 @@ def main_blocks(page: str | None) -> list[str]:
 
     def inherited(i: int) -> bool:
         near = [j for j in (before[i], after[i]) if j is not None]
-        nearest = min((abs(i - j) for j in near), default=0)
+        if not any(decided[j] for j in near) and found[i].article:
+            # No neighbour is in: a block of an article stands for itself.
+            near = []
+        if not near:
+            return found[i].article
+        nearest = min(abs(i - j) for j in near)
         # Between two equally near neighbours a block is in if either is.
         return any(decided[j] for j in near if abs(i - j) == nearest)
 
