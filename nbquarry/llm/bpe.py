@@ -29,7 +29,7 @@ from nbquarry.llm.common import col
 # Bytes read beyond the lookahead before a piece is merged again; characters of text normalized at a time.
 CHUNK, TEXT_CHUNK = 4096, 1 << 20
 # Pieces that a worker remembers in each of two generations, and the longest ones remembered.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 64
 # Up to this many symbols, looking through all pairs is faster than a heap.
 SHORT = 64
 
