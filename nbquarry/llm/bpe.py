@@ -20,6 +20,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -103,6 +104,10 @@ class Vocabulary:
         vocabulary = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self.special.items()}
+        # Ids without a token stay None.
+        self.names = np.full(max(self.text) + 1, None, object)
+        self.names[list(self.text)] = list(self.text.values())
+        self._whole = len(self.text) == len(self.names)
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         names = byte_names()
         self.inner = [vocabulary[names[b]] for b in range(256)]
@@ -139,6 +144,12 @@ class Vocabulary:
         ends = bool(self.suffix) and text.endswith(self.suffix)
         return bytes(self._values[c] for c in (text[: -len(self.suffix)] if ends else text)), ends
 
+    def listed(self, ids: np.ndarray) -> np.ndarray:
+        """Those of ``ids`` that the vocabulary has."""
+        if len(ids) and ids.max() >= len(self.names):
+            ids = ids[ids < len(self.names)]
+        return ids if self._whole else ids[self.names[ids] != None]  # noqa: E711
+
     def merge(self, symbols: list[int]) -> list[int]:
         """Tokens of a run of symbols: the merge that comes first in the list, leftmost first."""
         if len(symbols) > SHORT:
@@ -288,13 +299,13 @@ class TokenNames:
     """Ids to the names of their tokens with one space between: what a vocabulary without a decoder decodes to."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self._name, self._first = vocabulary.text.__getitem__, True
+        self._names, self._first = vocabulary.names, True
 
-    def feed(self, ids: tuple[int, ...]) -> str:
-        text = " ".join(map(self._name, ids))
-        if ids and not self._first:
+    def feed(self, ids: np.ndarray) -> str:
+        text = " ".join(self._names[ids].tolist())
+        if len(ids) and not self._first:
             text = " " + text
-        self._first = self._first and not ids
+        self._first = self._first and not len(ids)
         return text
 
     def finish(self) -> str:
@@ -309,9 +320,9 @@ class PlainText:
         self._state = codecs.getincrementaldecoder("utf-8")(errors="replace")
         self._space = False
 
-    def feed(self, ids: tuple[int, ...]) -> str:
+    def feed(self, ids: np.ndarray) -> str:
         out = []
-        for i in ids:
+        for i in ids.tolist():
             data, ends = self._vocabulary.token_bytes(i)
             if self._space:
                 out.append(" ")
@@ -348,7 +359,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
     """``docs`` with the token ids of the whole ``text`` as binary ``name``: little-endian unsigned 32-bit integers.
 
     ``path`` is the tokenizer's JSON file on the driver. Special tokens in the text get their ids; none are added. NULL and
-    empty texts give no ids. A column called ``name`` is replaced; all others stay.
+    empty texts give no ids. Repeated rows are encoded alike, an empty table gives an empty one. A column called ``name`` is
+    replaced; all others stay.
     """
     load = _shared(docs.sparkSession, path)
 
@@ -363,16 +375,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
 def decode(encoded: DataFrame, path: str, ids: str = "ids", name: str = "decoded", plain: bool = False) -> DataFrame:
     """``encoded`` with the text of the binary ``ids`` as string ``name``; NULL or empty ids give an empty text.
 
-    By default token names with spaces between, which is what a vocabulary without a decoder stands for; ``plain``
-    gives readable text instead.
+    Ids that the vocabulary does not have are left out, as the library does, and so are up to three bytes at the end that
+    are no whole id. Repeated rows are decoded alike, an empty table gives an empty one. By default token names with spaces
+    between, which is what a vocabulary without a decoder stands for; ``plain`` gives readable text instead.
     """
     load = _shared(encoded.sparkSession, path)
     machine = PlainText if plain else TokenNames
 
     def text(vocabulary: Vocabulary, data: bytes) -> str:
         state = machine(vocabulary)
-        parts = (data[i:i + 4 * CHUNK] for i in range(0, len(data), 4 * CHUNK))
-        return "".join([*(state.feed(struct.unpack(f"<{len(p) // 4}I", p)) for p in parts), state.finish()])
+        every = np.frombuffer(data, "<u4", len(data) // 4)
+        parts = (vocabulary.listed(every[i:i + CHUNK]) for i in range(0, len(every), CHUNK))
+        return "".join([*map(state.feed, parts), state.finish()])
 
     @F.arrow_udf("string")
     def of(values: pa.Array) -> pa.Array:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -75,7 +76,7 @@ def test_lookahead_of_a_small_list():
 
 def test_plain_text(vocabulary):
     state = bpe.PlainText(vocabulary)
-    text = "".join(state.feed((i,)) for i in ids(vocabulary, "caf\u00e9 \U0001f680 world!")) + state.finish()
+    text = "".join(state.feed(np.array([i])) for i in ids(vocabulary, "caf\u00e9 \U0001f680 world!")) + state.finish()
     assert text == "caf\u00e9 \U0001f680 world !"
 
 
@@ -91,3 +92,13 @@ def test_query(spark, library):
     assert sorted(map(tuple, token_digests(docs, PATH).collect()), key=str) == sorted(expected, key=str)
     assert bpe.encode(docs, PATH).columns == ["doc_id", "text", "ids", "decoded"]
     assert token_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_decoding_what_is_no_id(spark):
+    good = struct.pack("<2I", 5, 6)
+    rows = [(good,), (good,), (struct.pack("<3I", 5, 2**32 - 1, 6) + b"\x01",), (b"\x01\x02",), (b"",), (None,)]
+    table = spark.createDataFrame(rows, "ids binary")
+    for plain in (False, True):
+        texts = [r.decoded for r in bpe.decode(table, PATH, plain=plain).collect()]
+        assert texts[0] == texts[1] == texts[2] != "" and texts[3:] == ["", "", ""]
+    assert bpe.decode(table.limit(0), PATH).count() == 0
