@@ -39,9 +39,10 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 # The usual pattern of such a vocabulary, and the same for Python's re: for lower-case ASCII, and for texts without numerals
 # other than decimal digits, in which the letters are what re calls word characters but for digits and "_".
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-_ASCII = re.compile(rf"{_ENDINGS}|[a-z]+|[0-9]|[^{WHITE}a-z0-9]+").findall
-_LETTERS = re.compile(rf"{_ENDINGS}|[^\W\d_]+|\d|(?:[^{WHITE}\w]|_)+").findall
+# Only the last two alternatives can begin with the same character, so letters, the most frequent, may come first.
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_ASCII = re.compile(rf"[a-z]+|[0-9]|{_ENDINGS}|[^{WHITE}a-z0-9]+").findall
+_LETTERS = re.compile(rf"[^\W\d_]+|\d|{_ENDINGS}|(?:[^{WHITE}\w]|_)+").findall
 _NUMERALS = regex.compile(r"[\p{Nl}\p{No}]").search
 _WHITE_NEXT = re.compile(f"[{WHITE}]").search
 
@@ -235,7 +236,7 @@ class Vocabulary:
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, as little-endian unsigned 32-bit integers."""
         out = []
-        for part in self._special.split(text) if self._special else [text]:
+        for part in self._special.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
                 out.append(_packed([self.special[part]]))
                 continue
