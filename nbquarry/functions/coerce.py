@@ -12,6 +12,9 @@ _NUMBER = (
     rf"(?i)^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
 )
 
+# All that a cast to bigint takes, blanks and control characters at the ends included.
+_INTEGER = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"
+
 
 def _text(c: Column) -> Column:
     return F.btrim(c.cast("string"), F.lit(BLANKS))
@@ -33,8 +36,16 @@ def to_int(c: Column, default: int = 0) -> Column:
     return F.coalesce(parse_float(c).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
+def integer_text(c: Column) -> Column:
+    """The integer that text ``c`` spells, or NULL. A cast alone would raise and catch an error for each other text."""
+    return F.when(c.rlike(_INTEGER), c.try_cast("bigint"))
+
+
 def to_bool(c: Column) -> Column:
-    return F.coalesce(F.lower(_text(c)).isin(TRUE_WORDS), F.lit(False))
+    # The usual spellings are told by comparison alone.
+    text = c.cast("string")
+    usual = F.when(text == "True", F.lit(True)).when(text == "False", F.lit(False))
+    return F.coalesce(usual, F.lower(_text(c)).isin(TRUE_WORDS), F.lit(False))
 
 
 def pct(part: Column, whole: Column) -> Column:

@@ -11,10 +11,13 @@ from pyspark.sql import SparkSession
 
 # allowDuplicateKeys: a repeated JSON key keeps its last value instead of voiding the document.
 # maxRecordsPerBatch: sources may be long, so the one Arrow hop uses small batches.
+# hugeMethodLimit: the JVM compiles no method above 8,000 bytes; wide projections (a collection has 45 columns) are then
+# better not fused into one.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from nbquarry.functions.coerce import blank_to_null, to_bool, to_float, to_int
+from nbquarry.functions.coerce import blank_to_null, integer_text, to_bool, to_float, to_int
 from nbquarry.schema import COLLECTION_SCHEMA, RUN_SCHEMA, as_text_schema
 from nbquarry.sources.split_csv import read_csv_in_splits
 
@@ -36,13 +36,13 @@ def read_text_table(
     return df.withColumn("row_order", place)
 
 
-def _typed(name: str, dtype: T.DataType) -> Column:
+def _typed(name: str, dtype: T.DataType, is_text: bool = True) -> Column:
     c = F.col(name)
     if isinstance(dtype, T.BooleanType):
         return F.when(blank_to_null(c).isNotNull(), to_bool(c))
     filled = blank_to_null(c).isNotNull()
     if isinstance(dtype, T.LongType):
-        return F.when(filled, F.coalesce(c.try_cast("bigint"), to_int(c)))
+        return F.when(filled, F.coalesce(integer_text(c) if is_text else c.try_cast("bigint"), to_int(c)))
     if isinstance(dtype, T.DoubleType):
         return F.when(filled, to_float(c))
     if isinstance(dtype, T.TimestampType):
@@ -56,9 +56,9 @@ def type_columns(text: DataFrame, schema: T.StructType, keep_spelling: bool = Fa
     A number that cannot be read is zero, as summaries of the text form take it; times that cannot be read are NULL. With
     ``keep_spelling`` the text of the parse flag stays as ``nb_ok_parse_text``: strict filters go by it.
     """
-    present = set(text.columns)
+    present = {f.name: isinstance(f.dataType, T.StringType) for f in text.schema.fields}
     typed = [
-        (_typed(f.name, f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+        (_typed(f.name, f.dataType, present[f.name]) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in schema.fields
     ]
     others = [c for c in text.columns if c not in schema.fieldNames()]

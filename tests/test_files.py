@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nbquarry.operators.filters import filter_parsed_strict, project_fields
 from nbquarry.schema import COLLECTION_FIELDS, COLLECTION_SCHEMA, RUN_FIELDS
-from nbquarry.session import scratch_path
+from nbquarry.session import configure, scratch_path
 from nbquarry.sources import archive, tables
 from nbquarry.streaming.windows import incremental_windows
 
@@ -128,3 +128,20 @@ def test_scratch_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(unset, "x")
     assert scratch_path(unset, "x", "/shared").startswith("/shared/nbquarry/x-")
+
+
+def test_integers_are_told_by_their_text(spark):
+    """Casts that fail raise and catch an error for each row, so only text that spells an integer is cast."""
+    spelled = {"12": 12, " 12 ": 12, "12.0": 12, "1_000": 1000, "n/a": 0, "": None, "9007199254740993": 9007199254740993, "\x01+7\x7f": 7, "9" * 20: 0, "-": 0, "12.": 12}
+    text = spark.createDataFrame([(t,) for t in spelled], "n_code string")
+    typed = tables.type_columns(text, COLLECTION_SCHEMA)
+    assert [r.n_code for r in typed.collect()] == list(spelled.values())
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2
+    flags = spark.createDataFrame([(t,) for t in ("True", "False", " YES ", "true", "0", "")], "deps_any string")
+    assert [r.deps_any for r in tables.type_columns(flags, COLLECTION_SCHEMA).collect()] == [True, False, True, True, False, None]
+
+
+def test_wide_projections_are_compiled(spark):
+    """The JVM leaves methods above 8,000 bytes uncompiled."""
+    assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
