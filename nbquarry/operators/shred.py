@@ -16,16 +16,19 @@ def explode_cells(notebooks: DataFrame) -> DataFrame:
 
 def explode_outputs(notebooks: DataFrame) -> DataFrame:
     """One row per output of a code cell: ``(nb_id, cell_idx, output_idx, output)``."""
-    cells = notebooks.select(
-        "nb_id", F.posexplode(D.list_items(F.col("doc"), "$.cells")).alias("cell_idx", "cell")
-    ).where(F.try_variant_get("cell", "$.cell_type", "string") == "code")
-    outputs = cells.select(
-        "nb_id", "cell_idx", F.posexplode(D.list_items(F.col("cell"), "$.outputs")).alias("output_idx", "output")
+    # One generator for both kinds of documents: a union of two would decode and read every document twice.
+    cells = F.transform(
+        D.list_items(F.col("doc"), "$.cells"),
+        lambda cell, i: F.struct(i.alias("cell_idx"), F.lit(None).cast("int").alias("output_idx"), cell.alias("cell"), F.lit(None).cast("string").alias("json")),
     )
-    if "large" not in notebooks.columns:
-        return outputs
-    large = notebooks.where(F.col("large").isNotNull()).select("nb_id", F.inline("large.outputs"))
-    return outputs.unionByName(large.select("nb_id", "cell_idx", "output_idx", D.parse_json(F.col("json")).alias("output")))
+    if "large" in notebooks.columns:
+        large = F.transform("large.outputs", lambda o: F.struct(o.cell_idx, o.output_idx, F.lit(None).cast("variant").alias("cell"), o.json))
+        cells = F.coalesce(cells, large)
+    of_code = F.try_variant_get("cell", "$.cell_type", "string") == "code"
+    rows = notebooks.select("nb_id", F.inline(cells)).where(F.col("output_idx").isNotNull() | of_code)
+    read = F.array(F.struct("output_idx", D.parse_json(F.col("json")).alias("output")))
+    listed = F.transform(D.list_items(F.col("cell"), "$.outputs"), lambda output, i: F.struct(i.alias("output_idx"), output.alias("output")))
+    return rows.select("nb_id", "cell_idx", F.inline(F.when(F.col("output_idx").isNotNull(), read).otherwise(listed)))
 
 
 def explode_mime(outputs: DataFrame) -> DataFrame:
