@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from nbquarry.functions import large
 from nbquarry.functions.large import read_notebook
 from nbquarry.operators import outputs as O, shred
 from nbquarry.plans.collect import build_collection, notebook_metrics
@@ -84,3 +85,23 @@ def test_archive_keeps_large_texts(spark):
     texts = spark.createDataFrame([("o/r", "a.ipynb", "0123456789", '{"cells": [],  "x":1}')], "repo_full_name string, file_path string, file_sha string, _text string")
     (row,) = archive_rows(with_document(texts, large_bytes=3)).collect()
     assert row.raw == '{"cells": [],  "x":1}'
+
+
+def test_outputs_of_both_kinds_in_one_pass(spark):
+    """A union of short and large documents would decode and read every document twice."""
+    docs = [*documents(5, 150), *BROKEN]
+    rows = spark.createDataFrame(list(enumerate(docs)), "nb_id int, _text string")
+    listed = lambda large_bytes: shred.explode_outputs(with_document(rows, large_bytes))
+    mixed, plain = listed(400), listed(1 << 25)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("ArrowEvalPython"), plan.count("Union")) == (1, 0)
+    found = lambda df: sorted(map(tuple, shred.explode_mime(df).collect()))
+    assert found(mixed) == found(plain) and found(plain)
+
+
+def test_whole_cells_are_read_as_sign_by_sign(monkeypatch):
+    docs = [d.encode() for d in [*documents(6, 200), *BROKEN]]
+    whole = [read_notebook(d) for d in docs]
+    used = []
+    monkeypatch.setattr(large, "_whole_cell", lambda text, at: used.append(at))
+    assert [read_notebook(d) for d in docs] == whole and len(used) > 50
